@@ -30,6 +30,41 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` written out and counted; marked for broadcast only if it has at most ``rows`` rows.
+
+    Beyond that it is joined by a shuffle, with the same result. Callers give
+    narrow tables, so that the bound on rows is one on bytes.
+    """
+    df = checkpoint(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of id and text: what belongs to a row can be joined to it, repeated rows and null ids included."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """All matches of a pattern that never matches nothing, as array<struct<start, end, value, before, after>>.
+
+    Positions count code points; before and after are the text up to the next
+    match on either side. The text is cut only where something matches.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def cut(found: Column) -> Column:
+        pieces = F.split(text, pattern, -1)
+        n = F.size(found)
+        steps = F.zip_with(F.slice(pieces, F.lit(1), n), found, lambda p, m: F.length(p) + F.length(m))
+        ends = F.aggregate(steps, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        parts = F.arrays_zip(F.slice(ends, F.lit(2), n).alias("end"), found.alias("value"), F.slice(pieces, F.lit(1), n).alias("before"), F.slice(pieces, F.lit(2), n).alias("after"))
+        return F.transform(parts, lambda x: F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+    return F.when(F.size(found) > 0, cut(found)).otherwise(none)
+
+
 def id_remainder(column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % divisor

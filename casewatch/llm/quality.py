@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .grams import Vocabulary, pairs, whole_words, word_grams
 
@@ -133,10 +134,10 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.margins().astype(np.float32))
     bits, sizes = model.bits, model.sizes
-    at, names = docs.columns.index("text"), [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c != "score"]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index("text")
-    schema = docs.schema.add("score", "double", False)
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value.astype(np.float64), bits, sizes)

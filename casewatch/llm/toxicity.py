@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .grams import Vocabulary, word_grams
 from .quality import REMEMBERED, training_rows
@@ -128,7 +129,7 @@ def score(docs: DataFrame, model: RatioModel) -> DataFrame:
             found = scorer.scores([t.as_py() or b"" for t in b.column(at).cast(pa.binary())])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double", False))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType(), False)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", rows: int = 3000, **options) -> RatioModel:
