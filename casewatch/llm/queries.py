@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import cws, pii, quality, secrets, simhash, toxicity
 from .common import id_remainder, table
 
 #: Held-out fold of the two classifiers: remainder 0 of crc32 modulo 5.
@@ -30,8 +30,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3, segments=2)
 
 
+def _span(kind, start, end):
+    return F.concat_ws(":", kind, start.cast("string"), end.cast("string"))
+
+
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.array_join(F.transform("spans", lambda s: _span(s["kind"], s["start"], s["end"])), ",")
+    added = F.array_join(F.transform("added", lambda s: _span(s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    spans = F.concat_ws(",", F.when(base != "", base), F.when(added != "", added))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: _span(s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op5_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op5_toxicity, op6_sanitise, op8_weighted_sampling, op9_secrets, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
