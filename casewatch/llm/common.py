@@ -70,12 +70,11 @@ def id_remainder(column: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % divisor
 
 
-def words(text: Column, lower: bool = True) -> Column:
-    """The words of a text as an array; A-Z are lower-cased, other letters stay."""
-    t = F.coalesce(text, F.lit(""))
-    if lower:
-        t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(t, SPACES), lambda w: w != "")
+def n_words(text: Column) -> Column:
+    """Number of words of a text; 0 for null."""
+    parts = F.split(F.coalesce(text, F.lit("")), SPACES)
+    blank = lambda i: F.when(F.element_at(parts, i) == "", 1).otherwise(0)
+    return F.greatest(F.size(parts) - blank(1) - blank(-1), F.lit(0))
 
 
 def components(edges: DataFrame) -> DataFrame:

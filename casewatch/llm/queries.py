@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, pii, quality, secrets, simhash, toxicity
+from . import cws, lm, mixing, packing, pii, quality, secrets, simhash, topk, toxicity
 from .common import id_remainder, table
 
 #: Held-out fold of the two classifiers: remainder 0 of crc32 modulo 5.
@@ -19,6 +19,31 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+OP3_SQL = """
+WITH v AS (SELECT DISTINCT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, id_remainder(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, id_remainder(F.col("doc_id"), FOLDS) != 0)
@@ -47,6 +72,51 @@ def _is_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+#: Target weights of the mixture: domains, then languages; all sources weigh the same.
+WEIGHTS = ({"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {})
+
+
+def domain():
+    """Sources are put into four domains by their number."""
+    return F.concat(F.lit("d"), F.coalesce(F.regexp_extract(F.col("source"), "([0-9]{1,9})$", 1).try_cast("int") % 4, F.lit(0)))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS)
+    return mixed.select("doc_id", "domain_", "lang_", "source_", "n_tokens", F.col("epoch_").cast("long").alias("epoch_"))
+
+
+OP7_SQL = """
+WITH docs AS (
+  SELECT doc_id, text, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS int) % 4, 0) AS domain_,
+    coalesce(lang, '(none)') AS lang_, coalesce(source, '(none)') AS source_,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents),
+rows_ AS (SELECT * FROM docs WHERE n_tokens > 0),
+leaves AS (SELECT domain_, lang_, source_, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS cap FROM rows_ GROUP BY ALL),
+l1 AS (SELECT domain_, sum(cap)::BIGINT AS cap, CASE domain_ WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight,
+  (SELECT least(sum(tokens) // 2, sum(cap))::BIGINT FROM leaves) AS budget FROM leaves GROUP BY domain_),
+f1 AS (SELECT *, cap * (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) <= weight * (budget - coalesce(sum(cap) OVER o, 0)) AS is_full FROM l1
+  WINDOW o AS (ORDER BY cap / weight, weight, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p1 AS (SELECT domain_, CASE WHEN is_full THEN cap ELSE greatest(0, (weight * (budget - coalesce(sum(cap) FILTER (is_full) OVER (), 0))) // sum(weight) FILTER (NOT is_full) OVER ()) END::BIGINT AS budget FROM f1),
+l2 AS (SELECT domain_, lang_, sum(cap)::BIGINT AS cap, CASE lang_ WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(budget) AS budget
+  FROM leaves JOIN p1 USING (domain_) GROUP BY domain_, lang_),
+f2 AS (SELECT *, cap * (sum(weight) OVER (PARTITION BY domain_) - coalesce(sum(weight) OVER o, 0)) <= weight * (budget - coalesce(sum(cap) OVER o, 0)) AS is_full FROM l2
+  WINDOW o AS (PARTITION BY domain_ ORDER BY cap / weight, weight, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p2 AS (SELECT domain_, lang_, CASE WHEN is_full THEN cap ELSE greatest(0, (weight * (budget - coalesce(sum(cap) FILTER (is_full) OVER g, 0))) // sum(weight) FILTER (NOT is_full) OVER g) END::BIGINT AS budget FROM f2
+  WINDOW g AS (PARTITION BY domain_)),
+l3 AS (SELECT l.*, 1 AS weight, budget FROM leaves l JOIN p2 USING (domain_, lang_)),
+f3 AS (SELECT *, cap * (sum(weight) OVER (PARTITION BY domain_, lang_) - coalesce(sum(weight) OVER o, 0)) <= weight * (budget - coalesce(sum(cap) OVER o, 0)) AS is_full FROM l3
+  WINDOW o AS (PARTITION BY domain_, lang_ ORDER BY cap / weight, weight, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p3 AS (SELECT domain_, lang_, source_, tokens, CASE WHEN is_full THEN cap ELSE greatest(0, (weight * (budget - coalesce(sum(cap) FILTER (is_full) OVER g, 0))) // sum(weight) FILTER (NOT is_full) OVER g) END::BIGINT AS part FROM f3
+  WINDOW g AS (PARTITION BY domain_, lang_)),
+placed AS (SELECT r.*, part // tokens AS whole, part % tokens AS rest, md5('17:' || (part // tokens) || ':' || coalesce(doc_id::VARCHAR, '(none)')) AS place
+  FROM rows_ r JOIN p3 USING (domain_, lang_, source_)),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain_, lang_, source_ ORDER BY place, doc_id, text ROWS UNBOUNDED PRECEDING) AS so_far FROM placed)
+SELECT doc_id, domain_, lang_, source_, n_tokens::BIGINT AS n_tokens, unnest(range(whole + (so_far <= rest)::INT))::BIGINT AS epoch_ FROM summed
+"""
+
+
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,9 +129,21 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op5_toxicity, op6_sanitise, op8_weighted_sampling, op9_secrets, op10_simhash)}
+    import corpus_pipeline  # noqa: F401  where it is absent, so is this registry
+
+    found = (op1_quality, op2_packing, op3_topk, op4_lm, op5_toxicity, op6_sanitise, op7_mixing, op8_weighted_sampling, op9_secrets, op10_simhash, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    import corpus_pipeline
+
+    found = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

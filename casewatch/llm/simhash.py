@@ -103,3 +103,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segmen
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     names = roots.join(least, "root").select("fp", "component_id")
     return fps.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Of the pipeline: shingles of five words.
+PIPELINE = {"shingle": 5, "distance": 3, "segments": 2}
+
+
+def survivors(groups: DataFrame) -> DataFrame:
+    """(doc_id): the least id of each group."""
+    return groups.select(F.col("component_id").alias("doc_id")).distinct()
