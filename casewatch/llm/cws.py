@@ -92,18 +92,22 @@ def with_edited(docs: DataFrame, run: int = 256) -> DataFrame:
 
 
 def signatures(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(run_, place, a, b): the codes of each row's text and edited text, for rows dealt by run_; rows without words are left out.
+    """(run_, place, own_, doc_id, n_chars, edited_sha256, a, b): facts of each row, codes of its text and edited text.
 
-    All steps keep the dealing by run_, so nothing but the rows themselves is shuffled.
+    Facts are grouped by along with the terms, so that rows dealt by run_ need
+    no join and no second shuffle: text moves once in all.
     """
-    texts = rows.select("run_", "place", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("text").alias("t")), F.struct(F.lit(False).alias("first"), F.col("edited").alias("t")))).alias("x"))
-    words = texts.select("run_", "place", "x.first", F.explode(F.split(F.lower("x.t"), SPACES)).alias("word")).where("word <> ''")
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    terms = words.groupBy("run_", "place", F.xxhash64("word").alias("term")).agg(one(F.col("first")).alias("in_a"), one(~F.col("first")).alias("in_b"))
+    facts = ["run_", "place", "own_", "doc_id", "n_chars", "edited_sha256"]
+    both = F.array(F.struct(F.lit(True).alias("first"), F.col("text").alias("t")), F.struct(F.lit(False).alias("first"), F.col("edited").alias("t")))
+    texts = rows.select("run_", "place", "own_", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(both).alias("x"))
+    # A text without words gives one empty word, which weighs nothing: its row stays.
+    words = texts.select(*facts, "x.first", F.explode(F.split(F.lower("x.t"), SPACES)).alias("word"))
+    one = lambda c: F.sum(F.when(c & (F.col("word") != ""), 1).otherwise(0))
+    terms = words.groupBy(*facts, F.xxhash64("word").alias("term")).agg(one(F.col("first")).alias("in_a"), one(~F.col("first")).alias("in_b"))
     least = [F.min(sample(F.col("term"), F.col(side), k)).alias(f"{side}{k}") for side in ("in_a", "in_b") for k in range(samples)]
-    found = terms.groupBy("run_", "place").agg(*least)
+    found = terms.groupBy(*facts).agg(*least)
     codes = lambda side: F.array(*[_code(F.col(f"{side}{k}")) for k in range(samples)])
-    return found.select("run_", "place", codes("in_a").alias("a"), codes("in_b").alias("b"))
+    return found.select(*facts, codes("in_a").alias("a"), codes("in_b").alias("b"))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -115,9 +119,6 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     Repeated rows are each other's next and have equal fingerprints. Other
     columns are ignored; an empty table gives an empty result.
     """
-    rows = with_edited(docs)
-    facts = rows.select("run_", "place", "own_", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    none = F.array(*[F.lit(EMPTY).cast("long")] * samples)
-    both = facts.join(signatures(rows, samples), ["run_", "place"], "left").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
+    both = signatures(with_edited(docs), samples)
     both = both.withColumn("next_", F.lead("a").over(Window.partitionBy("run_").orderBy("place"))).where("own_")
     return both.select("doc_id", "n_chars", "edited_sha256", _hex(F.col("a")).alias("fingerprint"), _hex(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_")).alias("near_next"))
