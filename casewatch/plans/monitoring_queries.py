@@ -1 +1,102 @@
-"""Queries."""
+"""Queries of monitoring and volumes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import monitoring
+from . import bindings as b
+from .bindings import table, with_ctes
+from .catalog import query
+
+
+def _runs(spark, d):
+    return b.execucao(spark, d).select(F.col("event_id").alias("id"), "ts", "tribunal", "sucesso", F.lit(1).alias("consultas"), (~F.col("sucesso")).cast("int").alias("erros"), (F.col("event_type") == "purchase").cast("long").alias("novos"), F.col("event_type").alias("operacao"), F.col("value").alias("latencia"), "user_id")
+
+
+@query(with_ctes("""SELECT tribunal, count(*) AS consultas, sum((NOT sucesso)::INT)::BIGINT AS erros, CASE WHEN count(*) >= 10 THEN sum((NOT sucesso)::INT) * 100 > count(*) * 20 END::VARCHAR AS abre FROM execucao WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY tribunal""", "execucao"))
+def g01_error_rate_alarm(spark, d):
+    return monitoring.error_rate(_runs(spark, d), F.lit("2024-01-15 00:00:00").cast("timestamp"), F.lit("2024-01-15 12:00:00").cast("timestamp"), percent=20).withColumn("abre", F.col("abre").cast("string"))
+
+
+_DAYS = "SELECT tribunal, (ts - INTERVAL 3 HOUR)::DATE AS dia, sum((event_type = 'purchase')::INT)::BIGINT AS total FROM execucao GROUP BY ALL"
+_VOLUME = """SELECT tribunal, dia, total, CASE WHEN n >= 7 AND s >= 3 * n THEN total * n * 2 < s END AS abre FROM (SELECT *, count(*) OVER w AS n, sum(total) OVER w AS s FROM dias WINDOW w AS (PARTITION BY tribunal ORDER BY dia RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))"""
+
+
+@query(with_ctes(f"SELECT tribunal, dia::VARCHAR AS dia, total, abre::VARCHAR AS abre FROM ({_VOLUME})", "execucao", dias=_DAYS))
+def g02_low_volume_alarm(spark, d):
+    return monitoring.low_volume(_runs(spark, d)).withColumn("abre", F.col("abre").cast("string"))
+
+
+@query(with_ctes("""SELECT user_id AS sentinela, CASE WHEN max(CASE WHEN n = 1 THEN sucesso::INT END) = 1 THEN false WHEN count(*) = 2 AND NOT bool_or(sucesso) THEN true END::VARCHAR AS abre FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM execucao) WHERE n <= 2 GROUP BY user_id""", "execucao"))
+def g03_canary_alarm(spark, d):
+    return monitoring.canary_alarm(_runs(spark, d).withColumn("sentinela", F.col("user_id"))).select("sentinela", F.col("abre").cast("string").alias("abre"))
+
+
+@query(with_ctes("""SELECT id, 'vara' AS campo, '2a Vara' AS esperado, '3ª vara' AS obtido FROM processo WHERE id % 5 = 0 UNION ALL SELECT id, 'valor', valor_causa_centavos::VARCHAR, (valor_causa_centavos + 1)::VARCHAR FROM processo WHERE id % 7 = 0""", "processo"))
+def g04_compare_canary(spark, d):
+    p, k = b.processo(spark, d), F.col("id")
+    expected = p.select("id", F.upper("classe_nome").alias("classe"), F.lit("2a Vara").alias("vara"), F.col("valor_causa_centavos").alias("valor"))
+    got = p.select("id", text.remove_accents(F.col("classe_nome")).alias("classe"), F.when(k % 5 == 0, "3ª vara").otherwise("2ª  VARA").alias("vara"), (F.col("valor_causa_centavos") + F.when(k % 7 == 0, 1).otherwise(0)).alias("valor"))
+    return monitoring.compare_canary(expected, got, "id", ["classe", "vara", "valor"])
+
+
+@query(with_ctes("""SELECT user_id, event_id, CASE WHEN abre THEN 'aberto' ELSE 'resolvido' END AS evento FROM (SELECT *, coalesce(lag(abre) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS era FROM (SELECT user_id, event_id, ts, NOT sucesso AS abre FROM execucao WHERE event_type <> 'signup')) WHERE abre <> era""", "execucao"))
+def g05_alarm_transitions(spark, d):
+    e = b.execucao(spark, d).select("user_id", "event_id", "ts", F.when(F.col("event_type") != "signup", ~F.col("sucesso")).alias("abre"))
+    return monitoring.alarm_transitions(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "evento")
+
+
+@query("SELECT n_name AS tribunal FROM nation WHERE n_nationkey % 3 > 0 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 30 <= 20)")
+def g06_missing_units(spark, d):
+    courts = table(spark, d, "nation").select(F.col("n_nationkey").alias("tribunal"), "n_name", (F.col("n_nationkey") % 3 > 0).alias("ativo"))
+    k = F.col("s_suppkey")
+    units = table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("tribunal"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("vigente_desde"))
+    return monitoring.missing_units(courts, units, F.lit("2024-01-21").cast("date")).select(F.col("n_name").alias("tribunal"))
+
+
+@query(with_ctes("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS inicio, tribunal, event_type AS operacao, count(*) AS consultas, sum((NOT sucesso)::INT)::BIGINT AS erros, round(quantile_cont(value, 0.95), 6) AS p95 FROM execucao GROUP BY 1, 2, 3""", "execucao"))
+def g07_collection_metrics(spark, d):
+    m = monitoring.collection_metrics(_runs(spark, d), "1 day")
+    return m.withColumn("inicio", F.to_date("inicio")).withColumn("p95", F.round("p95", 6))
+
+
+@query(with_ctes("""SELECT n_nationkey AS tribunal, CASE WHEN n_nationkey % 4 = 0 THEN 'inativo' WHEN n_nationkey % 5 = 0 THEN 'bloqueado' WHEN n_nationkey % 3 = 0 THEN 'pausado' ELSE 'ok' END AS estado, r.event_id AS ultima, coalesce(a.n, 0) AS alarmes FROM nation
+  LEFT JOIN (SELECT tribunal, arg_max(event_id, (ts, event_id)) AS event_id FROM execucao GROUP BY 1) r ON r.tribunal = n_nationkey LEFT JOIN (SELECT user_id % 25 AS t, count(*) AS n FROM execucao WHERE NOT sucesso GROUP BY 1) a ON a.t = n_nationkey""", "execucao"))
+def g08_court_health(spark, d):
+    k = F.col("n_nationkey")
+    courts = table(spark, d, "nation").select(k.cast("long").alias("tribunal"), (k % 4 > 0).alias("ativo"), F.when(k % 5 == 0, "motivo").alias("bloqueado_motivo"), F.when(k % 3 == 0, F.lit("2024-03-01").cast("timestamp")).alias("pausado_ate"))
+    runs = b.execucao(spark, d).select("tribunal", "ts", F.col("event_id").alias("id"), F.col("event_id").alias("sucesso"))
+    alarms = b.execucao(spark, d).where("not sucesso").select((F.col("user_id") % 25).alias("tribunal"))
+    return monitoring.court_health(courts, runs, alarms, F.lit("2024-02-01").cast("timestamp")).select("tribunal", "estado", F.col("ultima_ok").alias("ultima"), "alarmes")
+
+
+@query(with_ctes("""SELECT cliente_id, count(*) FILTER (status = 'ativa') AS ativa, count(*) FILTER (status = 'atrasada') AS atrasada, count(*) FILTER (status = 'suspensa') AS suspensa, count(*) FILTER (status = 'cancelada') AS cancelada FROM assinatura GROUP BY cliente_id""", "assinatura"))
+def g09_client_status_counts(spark, d):
+    return monitoring.status_counts(b.assinatura(spark, d), "cliente_id", ["ativa", "atrasada", "suspensa", "cancelada"])
+
+
+@query(with_ctes("""SELECT count(*) FILTER (id % 2 = 0) AS pares, count(*) FILTER (segredo) AS sigilosos, count(*) FILTER (valor_causa_centavos > 10000000) AS caros FROM processo""", "processo"))
+def g11_run_summary(spark, d):
+    return monitoring.run_summary(b.processo(spark, d), {"pares": F.col("id") % 2 == 0, "sigilosos": F.col("segredo"), "caros": F.col("valor_causa_centavos") > 10_000_000})
+
+
+_DIMS = "classe_nome, comarca, strftime(data_distribuicao, '%Y-%m')"
+_VOL = "SELECT classe_nome, comarca, strftime(data_distribuicao, '%Y-%m') AS mes, valor_causa_centavos FROM processo WHERE valor_causa_centavos >= 20000000"
+
+
+@query(with_ctes("SELECT classe_nome, comarca, mes, grouping(classe_nome, comarca, mes)::BIGINT AS nivel, count(*) AS processos, sum(valor_causa_centavos)::BIGINT AS centavos FROM v GROUP BY ROLLUP (classe_nome, comarca, mes)", "processo", v=_VOL))
+def g12_market_volume_rollup(spark, d):
+    p = b.processo(spark, d).withColumn("mes", F.date_format("data_distribuicao", "yyyy-MM"))
+    return monitoring.market_volume(p, ["classe_nome", "comarca", "mes"], 20_000_000)
+
+
+@query(with_ctes("SELECT classe_nome, comarca, grouping(classe_nome, comarca)::BIGINT AS nivel, count(*) AS processos, sum(valor_causa_centavos)::BIGINT AS centavos FROM v GROUP BY CUBE (classe_nome, comarca)", "processo", v=_VOL))
+def g12_market_volume_cube(spark, d):
+    return monitoring.market_volume(b.processo(spark, d), ["classe_nome", "comarca"], 20_000_000, cube=True)
+
+
+@query(with_ctes("SELECT processo_id, polo, count(DISTINCT pessoa_id) AS pessoas FROM parte GROUP BY ALL", "parte"))
+def g13_distinct_parties(spark, d):
+    return b.parte(spark, d).groupBy("processo_id", "polo").agg(F.countDistinct("pessoa_id").alias("pessoas"))
