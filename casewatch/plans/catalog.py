@@ -39,7 +39,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import alert_queries, entity_queries, matching_queries, monitoring_queries, scalar_queries, subscription_queries  # noqa: F401
+    from . import alert_queries, entity_queries, matching_queries, monitoring_queries, scalar_queries, streaming_queries, subscription_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
