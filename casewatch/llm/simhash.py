@@ -6,6 +6,10 @@ in at most ``distance`` bits agree, in some segment, but for
 enumerated, looked up in the table of segments and every match is verified by
 the distance over all bits. Only distinct fingerprints are compared: copies
 share one, and stand in the result through it.
+
+Where groups of near copies may be large, their pairs are never all made:
+``rounds`` of links to one leader of each bucket come first, and only pairs
+that these leave in different components are compared after.
 """
 
 from __future__ import annotations
@@ -22,91 +26,148 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components
 
-BITS = 64
+WORD = 64
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The fingerprint as a signed 64-bit integer; 0 for a text without words.
+def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
+    """The fingerprint as signed 64-bit integers, the first from the shingles' XXH64, others from what is mixed from it.
+
+    All are 0 for a text without words.
 
     >>> fingerprint(b"", 3)
-    0
+    [0]
     """
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+    said = text.lower().split()
+    if not said:
+        return [0] * words
+    if len(said) <= shingle:
+        hashes = [xxhash.xxh64_intdigest(b" ".join(said), 42)]
     else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: len(words) - shingle].tolist()]
+        joined = b" ".join(said)
+        ends = np.cumsum([len(w) + 1 for w in said])
+        starts = [0, *ends[: len(said) - shingle].tolist()]
         hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(over, bitorder="little").view("<i8")[0])
+    h = np.array(hashes, dtype="<u8")
+    out = []
+    for k in range(words):
+        x = _mix(h + np.uint64(GOLDEN * k % 2**64)) if k else h
+        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
+        out.append(int(np.packbits(over, bitorder="little").view("<i8")[0]))
+    return out
+
 
+def _columns(words: int) -> list[str]:
+    return ["fp", *[f"fp{k}" for k in range(1, words)]]
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of whole texts; a null text counts as empty."""
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp long, fp1 long, ...) of whole texts; a null text counts as empty."""
+    names = _columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py() or b"", shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py() or b"", shingle, words) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[k] for f in found], pa.int64()) for k in range(words)]], ["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+
+
+def _segments(n: int, words: int = 1) -> list[tuple[str, int, int]]:
+    """(column, shift, width) of ``n`` segments, as even as can be; no segment crosses words."""
+    per = n // words
+    at = [round(i * WORD / per) for i in range(per + 1)]
+    return [(c, a, b - a) for c in _columns(words) for a, b in zip(at, at[1:])]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
+def _segment(name: str, shift: int, width: int):
+    return F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << width) - 1))
 
-def _segments(n: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``n`` segments, as even as can be."""
-    at = [round(i * BITS / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:])]
 
+def _distance(words: int, a: str, b: str):
+    return sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in _columns(words)), F.lit(0))
 
-def _segment(fp, shift: int, width: int):
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
+def _table(fps: DataFrame, segments: int, words: int, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(seg, key) of each segment of each fingerprint, whose columns get the prefix ``side``."""
+    own = F.array(*[F.struct(F.lit(i).alias("seg"), _segment(*x).alias("key")) for i, x in enumerate(_segments(segments, words))])
+    kept = [F.col(c).alias(side + c) for c in (*_columns(words), *extra)]
+    return fps.select(*kept, F.explode(own).alias("t")).select(*[side + c for c in (*_columns(words), *extra)], "t.*")
 
-def links(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
-    """Pairs (a, b) of distinct values of ``fp`` differing in at most ``distance`` bits, a < b as signed."""
-    radius = distance // segments
-    own, flips = [], []
-    for i, (shift, width) in enumerate(_segments(segments)):
-        own.append(F.struct(F.lit(i).alias("seg"), _segment(F.col("fp"), shift, width).alias("key")))
-        flips += [(i, sum(1 << k for k in c)) for r in range(radius + 1) for c in combinations(range(width), r)]
+
+def _probes(fps: DataFrame, segments: int, words: int, radius: int, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(seg, key) of each value in the ball of ``radius`` round each segment."""
+    if radius == 0:
+        return _table(fps, segments, words, side, extra)
+    flips = [(i, sum(1 << k for k in c)) for i, (_, _, width) in enumerate(_segments(segments, words)) for r in range(radius + 1) for c in combinations(range(width), r)]
     balls = F.from_json(F.lit(json.dumps([{"s": i, "x": x} for i, x in flips])), "array<struct<s int, x long>>")
-    left = fps.select(F.col("fp").alias("b"), F.explode(F.array(*own)).alias("t")).select("b", "t.*")
-    segment = F.array(*[_segment(F.col("fp"), *x) for x in _segments(segments)])
-    right = fps.select(F.col("fp").alias("a"), segment.alias("keys"), F.explode(balls).alias("t"))
-    right = right.select("a", F.col("t.s").alias("seg"), F.get("keys", F.col("t.s")).bitwiseXOR(F.col("t.x")).alias("key"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return right.join(left, ["seg", "key"]).where(near & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    kept = [F.col(c).alias(side + c) for c in (*_columns(words), *extra)]
+    out = fps.select(*kept, F.array(*[_segment(*x) for x in _segments(segments, words)]).alias("keys"), F.explode(balls).alias("t"))
+    return out.select(*[side + c for c in (*_columns(words), *extra)], F.col("t.s").alias("seg"), F.get("keys", F.col("t.s")).bitwiseXOR(F.col("t.x")).alias("key"))
+
+
+def links(fps: DataFrame, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, apart: str | None = None) -> DataFrame:
+    """Pairs (a, b) of values of ``node`` whose fingerprints differ in at most ``distance`` bits, a < b.
+
+    ``apart`` names a column: only pairs that differ in it are given. With
+    ``radius`` (by default distance // segments) of at least that, none is
+    missed; a smaller one finds pairs by the segments they happen to share.
+    """
+    radius = distance // segments if radius is None else radius
+    extra = ("node",) if apart is None else ("node", apart)
+    pairs = _probes(fps, segments, words, radius, "a_", extra).join(_table(fps, segments, words, "b_", extra), ["seg", "key"])
+    first = F.col("a_node") < F.col("b_node") if apart is None else F.col(f"a_{apart}") < F.col(f"b_{apart}")
+    return pairs.where((_distance(words, "a_", "b_") <= distance) & first).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
 
+def leader_links(fps: DataFrame, distance: int, segments: int, words: int, rounds: int) -> DataFrame:
+    """Pairs (a, b) of which a is a leader of a bucket that b is in: one leader a bucket and round, drawn by a hash."""
+    rows = _table(fps, segments, words, "b_", ("node",))
+    kept = [f"b_{c}" for c in (*_columns(words), "node")]
+    draws = [F.min_by(F.struct(*kept), F.xxhash64("b_node", F.lit(k))).alias(f"l{k}") for k in range(rounds)]
+    leaders = rows.groupBy("seg", "key").agg(*draws).select("seg", "key", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(rounds)]))).alias("l"))
+    leaders = leaders.select("seg", "key", *[F.col(f"l.{c}").alias("a_" + c[2:]) for c in kept])
+    near = (_distance(words, "a_", "b_") <= distance) & (F.col("a_node") != F.col("b_node"))
+    return rows.join(leaders, ["seg", "key"]).where(near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, rounds: int = 0) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
-    fingerprint is 16 lowercase hex digits; component_id the smallest doc_id
-    that links reach, the row's own included. Texts without words (null, empty,
-    white space) have fingerprint zero and are linked like any other. Repeated
-    rows stay; rows without an id get the id of their component all the same,
-    or null where it has none. Other columns are ignored; an empty table gives
-    an empty result.
+    fingerprint is 16 lowercase hex digits for each of ``words``; component_id
+    the smallest doc_id that links reach, the row's own included. Texts without
+    words (null, empty, white space) have fingerprint zero and are linked like
+    any other. Repeated rows stay; rows without an id get the id of their
+    component all the same, or null where it has none. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    fps = checkpoint(fingerprints(docs, shingle))
-    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    pairs = links(classes, distance, segments)
-    # Components are found over fingerprints, labels are ids: the smallest id of all classes of a component.
-    found = components(pairs)
-    roots = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    roots = checkpoint(roots)
+    names = _columns(words)
+    fps = checkpoint(fingerprints(docs, shingle, words))
+    node = F.col("fp") if words == 1 else F.coalesce("rep", F.xxhash64(*names))
+    classes = checkpoint(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).withColumn("node", node))
+    if rounds:
+        pairs = checkpoint(leader_links(classes, distance, segments, words, rounds))
+        marked = classes.join(components(pairs).withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        pairs = pairs.union(links(checkpoint(marked), distance, segments, words, radius, "group"))
+    else:
+        pairs = links(classes, distance, segments, words, radius)
+    # Components are found over nodes, labels are ids: the smallest id of all classes of a component.
+    roots = checkpoint(classes.join(components(pairs), "node", "left").withColumn("root", F.coalesce("component", "node")))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    names = roots.join(least, "root").select("fp", "component_id")
-    return fps.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = roots.join(least, "root").select(*names, "component_id")
+    return fps.join(named, names).select("doc_id", F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names]).alias("fingerprint"), "component_id")
 
 
-#: Of the pipeline: shingles of five words.
-PIPELINE = {"shingle": 5, "distance": 3, "segments": 2}
+#: Of the pipeline: shingles of five words and a similarity of 0.8, which 256 bits show as some 39 differing ones, give
+#: or take 6; segments of 12 or 13 bits, of which two such texts share one of the 20 in 19 cases of 20.
+PIPELINE = {"shingle": 5, "distance": 45, "segments": 20, "words": 4, "radius": 0, "rounds": 3}
 
 
 def survivors(groups: DataFrame) -> DataFrame:
