@@ -6,8 +6,9 @@ bounded size by a hash; within a shard they are packed best-fit in falling
 order of length over bins of all sizes at once. Where no open bin has room, the
 bin is opened whose cost per token is least, counted over what it may yet
 hold; at the end every bin is downsized to the smallest permitted length that
-holds its contents. This is repeated with each limit on the size opened, and the
-plan of least cost is kept.
+holds its contents. This is repeated with each limit on the size opened, and
+with bins opened at that limit whatever they cost, and the plan of least cost is
+kept.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ def cost(size: int) -> float:
     return size + OVERHEAD + size * size / 16_384
 
 
-def _plan(lengths: list[int], sizes: tuple[int, ...], limit: int) -> tuple[float, list[list[int]]]:
-    """Best fit with bins opened at ``limit`` at most, if the piece allows: (cost, bins as lists of piece numbers); lengths fall."""
+def _plan(lengths: list[int], sizes: tuple[int, ...], limit: int, cheapest: bool) -> tuple[float, list[list[int]]]:
+    """Best fit with bins opened at ``limit`` at most, if the piece allows: (cost, bins as lists of piece numbers); lengths fall.
+
+    Opened at the size of least cost per token if ``cheapest``, else at the largest.
+    """
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (room left, bin), in order
     left = sum(lengths)
@@ -42,7 +46,8 @@ def _plan(lengths: list[int], sizes: tuple[int, ...], limit: int) -> tuple[float
             space, b = room.pop(at)
         else:
             fit = [s for s in sizes if s >= n]
-            space = min([s for s in fit if s <= limit] or fit[:1], key=lambda s: (cost(s) / min(s, left), s))
+            fit = [s for s in fit if s <= limit] or fit[:1]
+            space = min(fit, key=lambda s: (cost(s) / min(s, left), s)) if cheapest else fit[-1]
             b = len(bins)
             bins.append([])
         bins[b].append(i)
@@ -59,7 +64,7 @@ def pack_shard(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[tuple
         return []
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     falling = [lengths[i] for i in order]
-    plans = [_plan(falling, sizes, limit) for limit in sizes]
+    plans = [_plan(falling, sizes, limit, cheapest) for limit in sizes for cheapest in (True, False)]
     _, bins = min(plans, key=lambda p: p[0])
     return [(next(s for s in sizes if s >= sum(falling[i] for i in b)), [order[i] for i in b]) for b in bins]
 
