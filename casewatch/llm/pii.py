@@ -2,7 +2,8 @@
 
 Patterns find the protected entities. Then the corpus tells how strongly a term
 reveals one: with p(t|e), the share of an entity's contexts that hold a term,
-p(t), the share of documents that hold it, and p(e), that of contexts,
+p(t), the share of documents that hold it, and p(e), contexts of the entity for
+each document,
 
     disclosure(t, e) = log2(p(t|e) / p(t)) / -log2 p(e)
 
@@ -105,9 +106,9 @@ def disclosures(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remo
     asked = small_side(both.select("term").distinct())
     corpus = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
     of_t = corpus.join(asked, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    size = docs.agg(F.count("*").alias("n_docs")).crossJoin(near.agg(F.count_distinct("place").alias("n_places")))  # one row
-    share = (F.log2(F.col("n_et") / F.col("n_e")) - F.log2(F.col("n_t") / F.col("n_docs"))) / F.log2(F.col("n_places") / F.col("n_e"))
-    strong = both.join(of_e, ["e_kind", "e"]).join(of_t, "term").join(F.broadcast(size)).where(F.col("n_places") > F.col("n_e"))
+    size = docs.agg(F.count("*").alias("n_docs"))  # one row
+    share = (F.log2(F.col("n_et") / F.col("n_e")) - F.log2(F.col("n_t") / F.col("n_docs"))) / F.log2(F.col("n_docs") / F.col("n_e"))
+    strong = both.join(of_e, ["e_kind", "e"]).join(of_t, "term").join(F.broadcast(size)).where(F.col("n_docs") > F.col("n_e"))
     strong = strong.withColumn("share", share).where(F.col("share") >= generalise).select("e_kind", "e", "term", "share")
     hit = terms.join(strong, ["e_kind", "e", "term"]).groupBy("key_", "start", "end").agg(F.max("share").alias("share"))
     return hit.select("key_", "start", "end", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("kind"))
