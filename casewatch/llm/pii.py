@@ -105,7 +105,8 @@ def disclosures(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remo
     both = checkpoint(both)
     asked = small_side(both.select("term").distinct())
     corpus = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    of_t = corpus.join(asked, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted before they are joined: what the join gives is bounded by the terms asked for.
+    of_t = corpus.groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term")
     size = docs.agg(F.count("*").alias("n_docs"))  # one row
     share = (F.log2(F.col("n_et") / F.col("n_e")) - F.log2(F.col("n_t") / F.col("n_docs"))) / F.log2(F.col("n_docs") / F.col("n_e"))
     strong = both.join(of_e, ["e_kind", "e"]).join(of_t, "term").join(F.broadcast(size)).where(F.col("n_docs") > F.col("n_e"))
