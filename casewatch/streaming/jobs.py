@@ -69,7 +69,7 @@ def stream_payments(payments: DataFrame) -> DataFrame:
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         until, seen = state.get if state.exists else (None, [])
         done = set(seen)
-        for r in pd.concat(list(frames)).sort_values(["pago_em", "pagamento"], kind="stable").itertuples():
+        for r in pd.concat(list(frames)).sort_values(["pago_em", "pagamento", "meses"], kind="stable").itertuples():
             if r.pagamento not in done:
                 done.add(r.pagamento)
                 start = max(pd.Timestamp(until if until is not None else r.vigente_ate), pd.Timestamp(r.pago_em))

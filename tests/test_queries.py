@@ -17,7 +17,7 @@ def plain(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         df[c] = df[c].map(lambda v: "~" if v is None or v is pd.NA or v is pd.NaT or v != v else repr(round(float(v), 6)) if isinstance(v, float) else str(v))
-        df[c] = df[c].str.replace(r"\.0$", "", regex=True)
+        df[c] = df[c].astype(str).str.replace(r"\.0$", "", regex=True)
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
