@@ -107,7 +107,7 @@ def test_language_model_predictions_are_probabilities():
     """Over all known words and the unknown one, what each context foretells sums to 1."""
     rows = [(i, f"{a}x {a}y {a}x b".encode(), True) for i, a in enumerate("aabbccdd")]
     packed = lm._pack(rows, 0, 1).to_pylist()
-    b = lm.Bucket(0, packed)
+    b = lm.Bucket(0, packed, False)
     every = np.arange(len(b.words))
     for fine in np.unique(b.fine):
         missing = np.setdiff1d(every * lm.FINE + fine, b.key)
