@@ -128,7 +128,7 @@ def match_terms(cases: DataFrame, terms: DataFrame) -> DataFrame:
     """
     t = terms.select("regra_id", "tipo_termo", text.tpu_key(F.col("texto_termo")).alias("key_"), F.upper("tribunal_sigla").alias("sigla_")).where("key_ <> ''")
     words = F.split("capa", " ")
-    lengths = [r.n for r in t.where("tipo_termo = 'frase'").select(F.size(F.split("key_", " ")).alias("n")).distinct().limit(64).collect()]
+    lengths = [r.n for r in t.where("tipo_termo = 'frase'").select(F.size(F.split("key_", " ")).alias("n")).distinct().collect()]  # as many as there are lengths of phrases
     runs = [F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)), _run(words, n)) for n in lengths]
     said = F.concat(
         F.array(F.struct(F.lit("acao").alias("tipo_termo"), text.tpu_key(F.col("classe_nome")).alias("key_"))), F.transform("assunto_nomes", lambda a: F.struct(F.lit("assunto").alias("tipo_termo"), text.tpu_key(a).alias("key_"))),

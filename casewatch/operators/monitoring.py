@@ -5,6 +5,9 @@ An alarm's evaluation is true (open), false (resolved) or null (no change).
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,17 +132,28 @@ def page_after(rows: DataFrame, after: int | None, limit: int) -> DataFrame:
 
 
 def rate_limit_attempts(attempts: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Attempts with permitida: fewer than ``most`` permitted ones of the same action and key in the ``seconds`` before.
+    """Attempts (acao, chave, id) with permitida: fewer than ``most`` permitted ones of the same action and key in the ``seconds`` before.
 
-    A fold: refused attempts aren't recorded, so they don't count. Attempts of a
-    key are folded in order; of those kept so far only the last ``most`` matter.
+    A fold: refused attempts aren't recorded, so they don't count. Nothing
+    reaches over a pause of ``seconds``, so a key's attempts are cut at its
+    pauses and the stretches between are folded apart, each in one pass.
     """
-    def step(acc: Column, x: Column) -> Column:
-        recent = F.filter(acc["kept"], lambda t: t > x["s"] - seconds)
-        ok = F.size(recent) < most
-        kept = F.when(ok, F.concat(recent, F.array(x["s"]))).otherwise(recent)
-        return F.struct(kept.alias("kept"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("permitida")))).alias("out"))
-
-    g = attempts.groupBy("acao", "chave").agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("s"), "id"))).alias("l"))
-    none = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<struct<id:bigint,permitida:boolean>>").alias("out"))
-    return g.select("acao", "chave", F.explode(F.aggregate("l", none, step, lambda acc: acc["out"])).alias("x")).select("acao", "chave", "x.*")
+    line = Window.partitionBy("acao", "chave").orderBy("s_", "id")
+    rows = attempts.select("acao", "chave", "id", F.unix_timestamp("ts").alias("s_"))
+    rows = rows.withColumn("new_", (F.col("s_") - F.lag("s_").over(line) >= seconds).cast("long"))
+    rows = rows.withColumn("stretch_", F.coalesce(F.sum("new_").over(line), F.lit(0)))
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["s_", "id"], kind="stable")
+        kept: deque[int] = deque()
+        out = []
+        for s in f["s_"]:
+            while kept and kept[0] <= s - seconds:
+                kept.popleft()
+            out.append(len(kept) < most)
+            if out[-1]:
+                kept.append(s)
+        return f[["acao", "chave", "id"]].assign(permitida=out)
+
+    kinds = dict(attempts.dtypes)
+    return rows.groupBy("acao", "chave", "stretch_").applyInPandas(fold, f"acao {kinds['acao']}, chave {kinds['chave']}, id {kinds['id']}, permitida boolean")

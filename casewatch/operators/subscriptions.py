@@ -33,10 +33,12 @@ def classify_payment_events(events: DataFrame, subscriptions: DataFrame) -> Data
 
     ``events``: evento, tipo, pagamento, assinatura, ordem; ``subscriptions``: assinatura, status.
     """
-    first_event = F.row_number().over(Window.partitionBy("evento").orderBy("ordem")) == 1
+    # Rows without an event or a payment aren't one group: each is by itself.
+    alone = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.concat(F.lit("o"), F.col("ordem").cast("string")))
+    first_event = F.row_number().over(Window.partitionBy(alone("evento")).orderBy("ordem")) == 1
     e = events.withColumn("first_", first_event).join(subscriptions.withColumnRenamed("status", "s_"), "assinatura", "left")
     applies = F.col("first_") & F.col("tipo").isin(*CONFIRMED) & F.col("pagamento").isNotNull() & F.col("s_").isNotNull() & (F.col("s_") != "cancelada")
-    e = e.withColumn("n_", F.sum(applies.cast("int")).over(Window.partitionBy("pagamento").orderBy("ordem").rowsBetween(Window.unboundedPreceding, -1)))
+    e = e.withColumn("n_", F.sum(applies.cast("int")).over(Window.partitionBy(alone("pagamento")).orderBy("ordem").rowsBetween(Window.unboundedPreceding, -1)))
     known = F.col("s_").isNotNull()
     result = (
         F.when(F.col("evento").isNull(), "invalido").when(~F.col("first_"), "duplicado").when(F.col("assinatura").isNull(), "sem_assinatura").when(~known, "ignorado")

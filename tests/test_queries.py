@@ -34,7 +34,9 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
-    got = catalog.queries()[name](spark, str(DATA)).toPandas()
+    df = catalog.queries()[name](spark, str(DATA))
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    got = df.toPandas()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
         assert len(got)
@@ -53,3 +55,14 @@ def test_llm_is_not_imported_by_the_rest():
     for p in Path(catalog.__file__).parents[1].rglob("*.py"):
         if "llm" not in p.parts:
             assert "casewatch.llm" not in p.read_text() and "from ..llm" not in p.read_text()
+
+
+def test_filters_and_columns_reach_the_scan(spark, duck):
+    from casewatch.operators import normalize
+    from casewatch.plans import bindings
+
+    rows = bindings.table(spark, str(DATA), "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    plan = rows.where("o_totalprice > 1000").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in plan and "o_custkey" not in plan.split("ReadSchema")[1]
+    p = normalize.filter_rows(bindings.processo(spark, str(DATA)), 3, status="O")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderstatus,O)" in p
