@@ -9,7 +9,9 @@ share one, and stand in the result through it.
 
 Where groups of near copies may be large, their pairs are never all made:
 ``rounds`` of links to one leader of each bucket come first, and only pairs
-that these leave in different components are compared after.
+that these leave in different components are compared after. With ``jaccard``
+fingerprints only find candidates: a link is kept only if the texts' sets of
+shingles are that similar, counted exactly.
 """
 
 from __future__ import annotations
@@ -36,17 +38,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
-    """The fingerprint as signed 64-bit integers, the first from the shingles' XXH64, others from what is mixed from it.
-
-    All are 0 for a text without words.
-
-    >>> fingerprint(b"", 3)
-    [0]
-    """
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, or of all words where there are no more; none for a text without words."""
     said = text.lower().split()
     if not said:
-        return [0] * words
+        return np.empty(0, dtype="<u8")
     if len(said) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(said), 42)]
     else:
@@ -54,12 +50,27 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
         ends = np.cumsum([len(w) + 1 for w in said])
         starts = [0, *ends[: len(said) - shingle].tolist()]
         hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int, words: int = 1, distinct: bool = False) -> list[int]:
+    """The fingerprint as signed 64-bit integers, the first from the shingles' XXH64, others from what is mixed from it.
+
+    With ``distinct`` a shingle counts once however often it is said. All are 0
+    for a text without words.
+
+    >>> fingerprint(b"", 3)
+    [0]
+    """
+    h = shingles(text, shingle)
+    if not len(h):
+        return [0] * words
+    h = np.unique(h) if distinct else h
     out = []
     for k in range(words):
         x = _mix(h + np.uint64(GOLDEN * k % 2**64)) if k else h
         bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
+        over = 2 * bits.sum(axis=0, dtype=np.int64) > len(h)
         out.append(int(np.packbits(over, bitorder="little").view("<i8")[0]))
     return out
 
@@ -68,16 +79,39 @@ def _columns(words: int) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(1, words)]]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp long, fp1 long, ...) of whole texts; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, told, fp long, fp1 long, ...) of whole texts, told being a hash of the text; a null text counts as empty."""
     names = _columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_py() or b"", shingle, words) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[k] for f in found], pa.int64()) for k in range(words)]], ["doc_id", *names])
+            found = [fingerprint(t.as_py() or b"", shingle, words, distinct) for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([f[k] for f in found], pa.int64()) for k in range(words)]], ["doc_id", "told", *names])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"), "text")
+    return rows.mapInArrow(run, "doc_id long, told long, " + ", ".join(f"{c} long" for c in names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+
+def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """Those ``pairs`` (a, b) whose texts' sets of shingles have a Jaccard index of at least ``jaccard``.
+
+    Only the texts of nodes in a pair are read again, one for each class; classes
+    whose least id is the same share a node, and any of them links it.
+    """
+    pairs = checkpoint(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = checkpoint(classes.join(asked, "node", "left_semi").select("node", "told"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(t.as_py() or b"", shingle)).view("<i8") for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
+
+    texts = docs.select(F.xxhash64("text").alias("told"), "text").join(asked, "told").dropDuplicates(["node", "told"])
+    sets = checkpoint(texts.select("node", "text").mapInArrow(run, "node long, set array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= jaccard).select("a", "b").distinct()
 
 
 def _segments(n: int, words: int = 1) -> list[tuple[str, int, int]]:
@@ -95,50 +129,59 @@ def _distance(words: int, a: str, b: str):
     return sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in _columns(words)), F.lit(0))
 
 
-def _table(fps: DataFrame, segments: int, words: int, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(seg, key) of each segment of each fingerprint, whose columns get the prefix ``side``."""
+def _table(fps: DataFrame, segments: int, words: int, side: str, extra: tuple[str, ...] = (), checked: int | None = None) -> DataFrame:
+    """(seg, key) of each segment of each fingerprint; its columns, the first ``checked`` ones, get the prefix ``side``."""
     own = F.array(*[F.struct(F.lit(i).alias("seg"), _segment(*x).alias("key")) for i, x in enumerate(_segments(segments, words))])
-    kept = [F.col(c).alias(side + c) for c in (*_columns(words), *extra)]
-    return fps.select(*kept, F.explode(own).alias("t")).select(*[side + c for c in (*_columns(words), *extra)], "t.*")
+    names = (*_columns(checked or words), *extra)
+    return fps.select(*[F.col(c).alias(side + c) for c in names], F.explode(own).alias("t")).select(*[side + c for c in names], "t.*")
 
 
-def _probes(fps: DataFrame, segments: int, words: int, radius: int, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _probes(fps: DataFrame, segments: int, words: int, radius: int, side: str, extra: tuple[str, ...] = (), checked: int | None = None) -> DataFrame:
     """(seg, key) of each value in the ball of ``radius`` round each segment."""
     if radius == 0:
-        return _table(fps, segments, words, side, extra)
+        return _table(fps, segments, words, side, extra, checked)
     flips = [(i, sum(1 << k for k in c)) for i, (_, _, width) in enumerate(_segments(segments, words)) for r in range(radius + 1) for c in combinations(range(width), r)]
     balls = F.from_json(F.lit(json.dumps([{"s": i, "x": x} for i, x in flips])), "array<struct<s int, x long>>")
-    kept = [F.col(c).alias(side + c) for c in (*_columns(words), *extra)]
+    names = (*_columns(checked or words), *extra)
+    kept = [F.col(c).alias(side + c) for c in names]
     out = fps.select(*kept, F.array(*[_segment(*x) for x in _segments(segments, words)]).alias("keys"), F.explode(balls).alias("t"))
-    return out.select(*[side + c for c in (*_columns(words), *extra)], F.col("t.s").alias("seg"), F.get("keys", F.col("t.s")).bitwiseXOR(F.col("t.x")).alias("key"))
+    return out.select(*[side + c for c in names], F.col("t.s").alias("seg"), F.get("keys", F.col("t.s")).bitwiseXOR(F.col("t.x")).alias("key"))
 
 
-def links(fps: DataFrame, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, apart: str | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, apart: str | None = None, checked: int | None = None) -> DataFrame:
     """Pairs (a, b) of values of ``node`` whose fingerprints differ in at most ``distance`` bits, a < b.
 
     ``apart`` names a column: only pairs that differ in it are given. With
     ``radius`` (by default distance // segments) of at least that, none is
-    missed; a smaller one finds pairs by the segments they happen to share.
+    missed; a smaller one finds pairs by the segments they happen to share. Bits
+    are counted over the first ``checked`` words, all by default; segments are of all.
     """
     radius = distance // segments if radius is None else radius
     extra = ("node",) if apart is None else ("node", apart)
-    pairs = _probes(fps, segments, words, radius, "a_", extra).join(_table(fps, segments, words, "b_", extra), ["seg", "key"])
+    pairs = _probes(fps, segments, words, radius, "a_", extra, checked).join(_table(fps, segments, words, "b_", extra, checked), ["seg", "key"])
     first = F.col("a_node") < F.col("b_node") if apart is None else F.col(f"a_{apart}") < F.col(f"b_{apart}")
-    return pairs.where((_distance(words, "a_", "b_") <= distance) & first).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return pairs.where((_distance(checked or words, "a_", "b_") <= distance) & first).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
 
+def leader_links(fps: DataFrame, distance: int, segments: int, words: int, rounds: int, checked: int | None = None, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of which a is a leader of a bucket that b is in: one leader a bucket and round, drawn by a hash.
 
-def leader_links(fps: DataFrame, distance: int, segments: int, words: int, rounds: int) -> DataFrame:
-    """Pairs (a, b) of which a is a leader of a bucket that b is in: one leader a bucket and round, drawn by a hash."""
-    rows = _table(fps, segments, words, "b_", ("node",))
-    kept = [f"b_{c}" for c in (*_columns(words), "node")]
-    draws = [F.min_by(F.struct(*kept), F.xxhash64("b_node", F.lit(k))).alias(f"l{k}") for k in range(rounds)]
+    With ``nearest`` of each round's leaders only the one nearest to b is given.
+    """
+    rows = _table(fps, segments, words, "b_", ("node",), checked)
+    kept = [f"b_{c}" for c in (*_columns(checked or words), "node")]
+    draws = [F.min_by(F.struct(F.lit(k).alias("k") if nearest else F.lit(0).alias("k"), *kept), F.xxhash64("b_node", F.lit(k))).alias(f"l{k}") for k in range(rounds)]
     leaders = rows.groupBy("seg", "key").agg(*draws).select("seg", "key", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(rounds)]))).alias("l"))
-    leaders = leaders.select("seg", "key", *[F.col(f"l.{c}").alias("a_" + c[2:]) for c in kept])
-    near = (_distance(words, "a_", "b_") <= distance) & (F.col("a_node") != F.col("b_node"))
-    return rows.join(leaders, ["seg", "key"]).where(near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    leaders = leaders.select("seg", "key", "l.k", *[F.col(f"l.{c}").alias("a_" + c[2:]) for c in kept])
+    apart = _distance(checked or words, "a_", "b_")
+    found = rows.join(leaders, ["seg", "key"]).where((apart <= distance) & (F.col("a_node") != F.col("b_node")))
+    if nearest:
+        least = F.min(F.struct(apart.alias("d"), F.col("a_node").alias("a"))).alias("least")
+        found = found.groupBy("b_node", "k").agg(least).select(F.col("least.a").alias("a_node"), "b_node")
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, rounds: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, rounds: int = 0, checked: int | None = None, jaccard: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
     fingerprint is 16 lowercase hex digits for each of ``words``; component_id
@@ -146,18 +189,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segmen
     words (null, empty, white space) have fingerprint zero and are linked like
     any other. Repeated rows stay; rows without an id get the id of their
     component all the same, or null where it has none. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. With ``jaccard`` fingerprints
+    are of distinct shingles, and links of texts less similar than that are dropped.
     """
     names = _columns(words)
-    fps = checkpoint(fingerprints(docs, shingle, words))
+    fps = checkpoint(fingerprints(docs, shingle, words, jaccard is not None))
     node = F.col("fp") if words == 1 else F.coalesce("rep", F.xxhash64(*names))
-    classes = checkpoint(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).withColumn("node", node))
+    classes = checkpoint(fps.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min("told").alias("told")).withColumn("node", node))
+    kept = (lambda pairs: pairs) if jaccard is None else (lambda pairs: similar(pairs, classes, docs, shingle, jaccard))
     if rounds:
-        pairs = checkpoint(leader_links(classes, distance, segments, words, rounds))
+        pairs = checkpoint(kept(leader_links(classes, distance, segments, words, rounds, checked, jaccard is not None)))
         marked = classes.join(components(pairs).withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        pairs = pairs.union(links(checkpoint(marked), distance, segments, words, radius, "group"))
+        pairs = pairs.union(kept(links(checkpoint(marked), distance, segments, words, radius, "group", checked)))
     else:
-        pairs = links(classes, distance, segments, words, radius)
+        pairs = kept(links(classes, distance, segments, words, radius, checked=checked))
     # Components are found over nodes, labels are ids: the smallest id of all classes of a component.
     roots = checkpoint(classes.join(components(pairs), "node", "left").withColumn("root", F.coalesce("component", "node")))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -165,9 +210,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segmen
     return fps.join(named, names).select("doc_id", F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names]).alias("fingerprint"), "component_id")
 
 
-#: Of the pipeline: shingles of five words and a similarity of 0.8, which 256 bits show as some 39 differing ones, give
-#: or take 6; segments of 12 or 13 bits, of which two such texts share one of the 20 in some 93 cases of 100.
-PIPELINE = {"shingle": 5, "distance": 45, "segments": 20, "words": 4, "radius": 0, "rounds": 3}
+#: Of the pipeline: a Jaccard index of 0.8 of five-word shingles, counted exactly. Such texts differ in some 39 of 256
+#: bits, give or take 6, so 57 let all but one in a thousand pass; of 40 segments of 12 or 13 bits out of 512 they share
+#: one in 99.4 cases of 100.
+PIPELINE = {"shingle": 5, "distance": 57, "segments": 40, "words": 8, "radius": 0, "rounds": 3, "checked": 4, "jaccard": 0.8}
 
 
 def survivors(groups: DataFrame) -> DataFrame:

@@ -98,6 +98,26 @@ def test_large_groups_of_near_copies_are_joined(spark):
     assert all(out[1000 + i] == 1000 + i for i in range(60))
 
 
+def test_the_pipeline_links_by_the_exact_similarity(spark):
+    """Groups of two at 0.80-0.85 are found but for one in a hundred, those at 0.7 are left apart."""
+    rng = np.random.default_rng(4)
+    texts, near, far = [], [], []
+    for i in range(500):
+        n, j = int(rng.integers(40, 300)), 0.7 if i % 5 == 4 else rng.uniform(0.80, 0.85)
+        words = [f"g{i}w{k}" for k in range(n + 4)]  # n shingles
+        # Dropping the last k words of n shingles leaves n - k of n.
+        k = int(n * (1 - j))
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n + 4 - k]))]
+        (far if i % 5 == 4 else near).append(2 * i)
+    # One line over and over with unlike ends: the line outweighs the rest in a count, not in a set.
+    texts += [(5000 + i, "again and again and so on " * 40 + " ".join(f"e{i}x{k}" for k in range(60))) for i in range(2)]
+    df = spark.createDataFrame([(i, t, "") for i, t in texts], SCHEMA)
+    out = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, **simhash.PIPELINE).collect()}
+    linked = lambda ids: sum(out[i + 1] == i for i in ids)
+    assert linked(near) >= 0.99 * len(near) and linked(far) == 0
+    assert out[5001] == 5001
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)] + [(500, 500 + i) for i in range(1, 40)]
     out = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
