@@ -145,6 +145,14 @@ def test_anonymised_batch_leaves_no_name(spark):
     assert out == {1: ("Pessoa 1-2 Ltda e Pessoa 1-1", False), 2: ("ação de Pessoa 1-2 Ltda.", False)}
 
 
+def test_names_of_other_pages_are_anonymised_too(spark):
+    pages = spark.createDataFrame([(1, "Jane Smith, autora"), (2, "ouvida JANE SMITH e Acme"), (3, "a Jane-Smith, de Maria Clara de Souza e Silva Neto"), (4, "Maria Clara de Souza")], "id long, texto string")
+    names = spark.createDataFrame([(1, "Jane Smith"), (1, "Maria Clara de Souza e Silva Neto"), (2, "Acme")], "id long, nome string")
+    out = {r.id: (r.texto, r.sobrou) for r in subscriptions.anonymize_names(pages, names).collect()}
+    assert out[1] == ("Pessoa 1-1, autora", False) and out[2] == ("ouvida Pessoa 1-1 e Pessoa 2-1", False)
+    assert out[3] == ("a Jane-Smith, de Pessoa 1-2", True) and out[4] == ("Maria Clara de Souza", False)
+
+
 def test_outbox_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([("o1", "email", "a"), ("o1", "email", "a"), ("o2", "email", "b")], "ocorrencia string, canal string, destino string")
     for _ in range(2):
