@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,34 +16,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset and Spark is on one machine (tests) a temporary one."""
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if folder:
-        sc.setCheckpointDir(folder)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        return folder
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        return tempfile.mkdtemp(prefix="checkpoint-")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty() or sc.getConf().get("spark.checkpoint.dir"):
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` written out and counted; marked for broadcast only if it has at most ``rows`` rows.
+def small_side(df: DataFrame, most: int = 100_000, weight: Column | None = None) -> DataFrame:
+    """``df`` written out and measured; marked for broadcast only if it has at most ``most`` rows.
 
     Beyond that it is joined by a shuffle, with the same result. Callers give
-    narrow tables, so that the bound on rows is one on bytes.
+    narrow tables; where a row has an array, ``weight`` is its size, and it is the
+    sum of weights that is bounded, so that the bound is always one on bytes.
     """
     df = checkpoint(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = df.limit(most + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; a null text counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
 
 def row_key(docs: DataFrame) -> Column:
-    """A hash of id and text: what belongs to a row can be joined to it, repeated rows and null ids included."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    """128 bits that stand for id and text: what belongs to a row can be joined to it, repeated rows and null ids included."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
+    return F.struct(F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(1), *own).alias("h2"))
+
+
+def wrapped(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that those an operator adds clash with none, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Sums of an array up to each element; by blocks, so that a long array costs little more than in proportion."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)) / block),
+        lambda b: F.slice(F.aggregate(F.slice(values, (b * block + 1).cast("int"), F.lit(block)), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 2, block),
+    )
+    before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0)))))
+    return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, o: F.transform(b, lambda x: x + o)))
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -57,8 +88,8 @@ def located(text: Column, pattern: str) -> Column:
         pieces = F.split(text, pattern, -1)
         n = F.size(found)
         steps = F.zip_with(F.slice(pieces, F.lit(1), n), found, lambda p, m: F.length(p) + F.length(m))
-        ends = F.aggregate(steps, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        parts = F.arrays_zip(F.slice(ends, F.lit(2), n).alias("end"), found.alias("value"), F.slice(pieces, F.lit(1), n).alias("before"), F.slice(pieces, F.lit(2), n).alias("after"))
+        ends = running_sums(steps)
+        parts = F.arrays_zip(ends.alias("end"), found.alias("value"), F.slice(pieces, F.lit(1), n).alias("before"), F.slice(pieces, F.lit(2), n).alias("after"))
         return F.transform(parts, lambda x: F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))
 
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
@@ -77,30 +108,57 @@ def n_words(text: Column) -> Column:
     return F.greatest(F.size(parts) - blank(1) - blank(-1), F.lit(0))
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path. Unlike a checkpoint it is read with its true size in view,
+    which Spark otherwise multiplies from join to join; loops over joins need that."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a long, b long), by alternating large and small stars.
 
     Returns (node, component), component being the smallest node reached; nodes
-    without an edge don't appear. Every round is written to the checkpoint
-    folder, so a lost executor costs one round at most. Minima are aggregated
-    before they are joined back, so that a node with many edges isn't gathered.
+    without an edge don't appear. Every step is written to the shared folder, so
+    a lost executor costs one step at most. Minima are aggregated and written
+    before they are joined back: Spark can split the rows of a node with many
+    edges, which are never gathered.
     """
-    e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    spark, old = edges.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        table, path = written(df)
+        old.append(path)
+        return table
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    e = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = state(e)
     while seen[0]:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = kept(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = checkpoint(small.where("u <> v").distinct())
+        e = kept(small.where("u <> v").distinct())
+        removed(spark, old[:-1])
+        del old[:-1]
         now = state(e)
         if now == seen:
             break
         seen = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", "v").distinct())
+    out = written(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", "v").distinct()))[0]
+    removed(spark, old)
+    return out

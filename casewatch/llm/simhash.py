@@ -1,35 +1,53 @@
 """SimHash near-duplicate detection by multi-index hashing.
 
-Fingerprints are cut into segments. By the pigeonhole principle two that differ
-in at most ``distance`` bits agree, in some segment, but for
-``distance // segments`` bits; the ball of that radius round each segment is
-enumerated, looked up in the table of segments and every match is verified by
-the distance over all bits. Only distinct fingerprints are compared: copies
-share one, and stand in the result through it.
-
-Where groups of near copies may be large, their pairs are never all made:
-``rounds`` of links to one leader of each bucket come first, and only pairs
-that these leave in different components are compared after. With ``jaccard``
-fingerprints only find candidates: a link is kept only if the texts' sets of
-shingles are that similar, counted exactly.
+Fingerprints are cut into segments, each the key of a table. Round each segment
+a small Hamming ball is enumerated, every table match fetched and verified by
+the distance over all bits. Balls are of two kinds:
+
+- ``full_balls``: all values within ``distance // segments`` bits. By the
+  pigeonhole principle no pair within ``distance`` is missed.
+- ``sure_balls``, for pairs of a given similarity, whose distance is large: the
+  values got by flipping the bits that a text is least sure of, those with the
+  most even votes, which are the ones that near copies differ in. Width and
+  number of segments follow the number of texts, so that a segment is shared by
+  few texts by chance and a pair at the limit is missed once in ``MISSED`` times.
+
+Only distinct fingerprints are compared: copies share one, and stand in the
+result through it. Large groups of near copies never meet in pairs: members of
+a crowded table entry are linked to leaders of it first, over and over while
+that joins them; then only rows of different groups are compared, an entry's
+large groups against its other rows. That pass is exact whatever came before.
+Where a similarity is given, fingerprints only find candidates: a link is kept
+only if the Jaccard index of the texts' sets of shingles, counted exactly, is
+that high.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, small_side, text_key, wrapped
 
 WORD = 64
 GOLDEN = 0x9E3779B97F4A7C15
+#: Rows of a table entry, and members of a group, from which they count as many.
+CROWD = 64
+#: Bits flipped in a segment, by their rank from the least sure on.
+FLIPS = ((0,), (1,), (2,), (0, 1))
+#: Share of pairs right at the limit that may share no entry.
+MISSED = 0.005
+#: Where the number of a segment is put into the key of an entry.
+KEY_BITS = 48
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,169 +71,249 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.array(hashes, dtype="<u8")
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1, distinct: bool = False) -> list[int]:
-    """The fingerprint as signed 64-bit integers, the first from the shingles' XXH64, others from what is mixed from it.
-
-    With ``distinct`` a shingle counts once however often it is said. All are 0
-    for a text without words.
-
-    >>> fingerprint(b"", 3)
-    [0]
-    """
-    h = shingles(text, shingle)
-    if not len(h):
-        return [0] * words
-    h = np.unique(h) if distinct else h
+def votes(h: np.ndarray, words: int) -> np.ndarray:
+    """For each bit, by how many hashes it is set in more than it isn't; later words are mixed from the first."""
     out = []
     for k in range(words):
         x = _mix(h + np.uint64(GOLDEN * k % 2**64)) if k else h
         bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        over = 2 * bits.sum(axis=0, dtype=np.int64) > len(h)
-        out.append(int(np.packbits(over, bitorder="little").view("<i8")[0]))
-    return out
+        out.append(2 * bits.sum(axis=0, dtype=np.int64) - len(h))
+    return np.concatenate(out)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The fingerprint of the shingles' XXH64, repeats included, as a signed integer; 0 for a text without words.
+
+    >>> fingerprint(b"", 3)
+    0
+    """
+    return int(np.packbits(votes(shingles(text, shingle), 1) > 0, bitorder="little").view("<i8")[0])
 
 
 def _columns(words: int) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(1, words)]]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, told, fp long, fp1 long, ...) of whole texts, told being a hash of the text; a null text counts as empty."""
-    names = _columns(words)
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("told"), "text")
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, told, fp long) of whole texts, told standing for the text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_py() or b"", shingle, words, distinct) for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([f[k] for f in found], pa.int64()) for k in range(words)]], ["doc_id", "told", *names])
+            found = [fingerprint(t.as_py() or b"", shingle) for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["doc_id", "told", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"), "text")
-    return rows.mapInArrow(run, "doc_id long, told long, " + ", ".join(f"{c} long" for c in names))
+    return _given(docs).mapInArrow(run, "doc_id long, told struct<h1:long,h2:long>, fp long")
 
 
-def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """Those ``pairs`` (a, b) whose texts' sets of shingles have a Jaccard index of at least ``jaccard``.
+@lru_cache
+def sizes(texts: int, similarity: float) -> tuple[int, int, int, int]:
+    """(segments, width, distance over all their bits, distance over one word) for so many texts and pairs that similar.
 
-    Only the texts of nodes in a pair are read again, one for each class; classes
-    whose least id is the same share a node, and any of them links it.
+    Bits of two sets of Jaccard index j vote like normal variables with
+    correlation 2j / (1 + j); the chance that a pair meets in an entry is drawn
+    from such variables. Distances hold for all but one pair in a thousand.
     """
-    pairs = checkpoint(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = checkpoint(classes.join(asked, "node", "left_semi").select("node", "told"))
+    width = min(KEY_BITS - 4, max(12, math.ceil(math.log2(max(texts, 2))) - 2))
+    alike = 2 * similarity / (1 + similarity)
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((20_000, width))
+    b = alike * a + math.sqrt(1 - alike * alike) * rng.standard_normal(a.shape)
+    differ, met = (a > 0) != (b > 0), np.zeros(len(a), bool)
+    for side in (a, b):
+        d = np.take_along_axis(differ, np.argsort(np.abs(side), axis=1), 1)
+        for flips in ((), *FLIPS):
+            met |= (d == np.isin(np.arange(width), flips)).all(1)
+    segments = math.ceil(math.log(MISSED) / math.log(1 - met.mean()))
+    flip = math.acos(alike) / math.pi
+    most = lambda n: math.ceil(n * flip + 3.1 * math.sqrt(n * flip * (1 - flip)))
+    return segments, width, most(-(-segments * width // WORD) * WORD), most(WORD)
+
+
+def keyed(text: bytes, shingle: int, segments: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of the fingerprint of distinct shingles, keys of its entries, keys of the balls round them)."""
+    v = votes(np.unique(shingles(text, shingle)), -(-segments * width // WORD))
+    bits = v > 0
+    cut = lambda x: x[: segments * width].reshape(segments, width)
+    own = cut(bits) @ (1 << np.arange(width)) + (np.arange(segments) << KEY_BITS)
+    unsure = 1 << np.argsort(np.abs(cut(v)), axis=1, kind="stable")[:, : max(map(max, FLIPS)) + 1]
+    balls = [own ^ np.bitwise_or.reduce(unsure[:, list(f)], axis=1) for f in FLIPS]
+    return np.packbits(bits, bitorder="little").view("<i8"), own, np.concatenate(balls)
+
+
+def keyed_fingerprints(docs: DataFrame, shingle: int, segments: int, width: int) -> DataFrame:
+    """(doc_id, told, fp long, fp1 long, ..., own array<long>, ball array<long>) of whole texts."""
+    names = _columns(-(-segments * width // WORD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingles(t.as_py() or b"", shingle)).view("<i8") for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
+            found = [keyed(t.as_py() or b"", shingle, segments, width) for t in b.column(2).cast(pa.binary())]
+            words = np.stack([f[0] for f in found]) if found else np.empty((0, len(names)), np.int64)
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(w) for w in words.T], *lists], ["doc_id", "told", *names, "own", "ball"])
 
-    texts = docs.select(F.xxhash64("text").alias("told"), "text").join(asked, "told").dropDuplicates(["node", "told"])
-    sets = checkpoint(texts.select("node", "text").mapInArrow(run, "node long, set array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared / (F.size("x") + F.size("y") - shared) >= jaccard).select("a", "b").distinct()
+    return _given(docs).mapInArrow(run, "doc_id long, told struct<h1:long,h2:long>, " + ", ".join(f"{c} long" for c in names) + ", own array<long>, ball array<long>")
 
 
-def _segments(n: int, words: int = 1) -> list[tuple[str, int, int]]:
-    """(column, shift, width) of ``n`` segments, as even as can be; no segment crosses words."""
-    per = n // words
-    at = [round(i * WORD / per) for i in range(per + 1)]
-    return [(c, a, b - a) for c in _columns(words) for a, b in zip(at, at[1:])]
+def full_balls(classes: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``classes`` with own and ball: keys of its entries, and of all others within ``distance // segments`` bits of each."""
+    at = [round(i * WORD / segments) for i in range(segments + 1)]
+    segment = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(i << KEY_BITS) for i, (a, b) in enumerate(zip(at, at[1:]))]
+    flips = [{"s": i, "x": sum(1 << k for k in c)} for i, (a, b) in enumerate(zip(at, at[1:])) for r in range(1, distance // segments + 1) for c in combinations(range(b - a), r)]
+    balls = F.from_json(F.lit(json.dumps(flips)), "array<struct<s:int,x:long>>")
+    return classes.withColumn("own", F.array(*segment)).withColumn("ball", F.transform(balls, lambda t: F.get("own", t["s"]).bitwiseXOR(t["x"])))
 
 
-def _segment(name: str, shift: int, width: int):
-    return F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << width) - 1))
+def _entries(classes: DataFrame, keys: str | Column, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node, fp, extra) of each entry of each fingerprint; all but the key get the prefix ``side``."""
+    return classes.select(F.explode(keys).alias("key"), *[F.col(c).alias(side + c) for c in ("node", "fp", *extra)])
 
 
-def _distance(words: int, a: str, b: str):
-    return sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in _columns(words)), F.lit(0))
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _table(fps: DataFrame, segments: int, words: int, side: str, extra: tuple[str, ...] = (), checked: int | None = None) -> DataFrame:
-    """(seg, key) of each segment of each fingerprint; its columns, the first ``checked`` ones, get the prefix ``side``."""
-    own = F.array(*[F.struct(F.lit(i).alias("seg"), _segment(*x).alias("key")) for i, x in enumerate(_segments(segments, words))])
-    names = (*_columns(checked or words), *extra)
-    return fps.select(*[F.col(c).alias(side + c) for c in names], F.explode(own).alias("t")).select(*[side + c for c in names], "t.*")
+def leader_links(classes: DataFrame, distance: int, draw: int) -> DataFrame:
+    """(a, b): b's nearest leader a within ``distance``; a leader of each entry with more than CROWD rows is drawn by a hash."""
+    rows = _entries(classes, "own", "b_")
+    leaders = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("b_node", "b_fp"), F.xxhash64("b_node", F.lit(draw))).alias("l"))
+    leaders = small_side(leaders.where(F.col("n") > CROWD).select("key", F.col("l.b_node").alias("a_node"), F.col("l.b_fp").alias("a_fp")))
+    found = rows.join(leaders, "key").where((_apart("a_fp", "b_fp") <= distance) & (F.col("a_node") != F.col("b_node")))
+    nearest = found.groupBy("b_node").agg(F.min(F.struct(_apart("a_fp", "b_fp").alias("d"), F.col("a_node").alias("a"))).alias("x"))
+    return nearest.select("x.a", F.col("b_node").alias("b"))
 
 
-def _probes(fps: DataFrame, segments: int, words: int, radius: int, side: str, extra: tuple[str, ...] = (), checked: int | None = None) -> DataFrame:
-    """(seg, key) of each value in the ball of ``radius`` round each segment."""
-    if radius == 0:
-        return _table(fps, segments, words, side, extra, checked)
-    flips = [(i, sum(1 << k for k in c)) for i, (_, _, width) in enumerate(_segments(segments, words)) for r in range(radius + 1) for c in combinations(range(width), r)]
-    balls = F.from_json(F.lit(json.dumps([{"s": i, "x": x} for i, x in flips])), "array<struct<s int, x long>>")
-    names = (*_columns(checked or words), *extra)
-    kept = [F.col(c).alias(side + c) for c in names]
-    out = fps.select(*kept, F.array(*[_segment(*x) for x in _segments(segments, words)]).alias("keys"), F.explode(balls).alias("t"))
-    return out.select(*[side + c for c in names], F.col("t.s").alias("seg"), F.get("keys", F.col("t.s")).bitwiseXOR(F.col("t.x")).alias("key"))
+def crossing_links(classes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups that meet in an entry and are within ``distance``.
 
+    ``classes`` has (node, fp, own, ball, group, many). Rows of groups with many
+    members meet all rows of other groups, but never those of their own.
+    """
+    few, many = classes.where("not many"), classes.where("many")
+    every = F.concat("own", "ball")
+    sides = [
+        (_entries(few, every, "a_", ("group",)), _entries(classes, "own", "b_", ("group",))),
+        (_entries(few, "own", "a_", ("group",)), _entries(many, "ball", "b_", ("group",))),
+    ]
+    close = (F.col("a_group") != F.col("b_group")) & (_apart("a_fp", "b_fp") <= distance)
+    pair = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
+    found = [a.join(b, "key").where(close).select(*pair) for a, b in sides]
+    # Entries that two large groups share: found from the groups alone, then their rows meet.
+    rows = _entries(many, every, "a_", ("group",))
+    own = _entries(many, "own", "b_", ("group",))
+    shared = rows.select("key", "a_group").distinct().join(own.select("key", "b_group").distinct(), "key").where("a_group <> b_group")
+    found.append(rows.join(shared, ["key", "a_group"]).join(own, ["key", "b_group"]).where(close).select(*pair))
+    out = found[0].union(found[1]).union(found[2])
+    return out.distinct()
+
+
+def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links between nodes, enough of them that components are those of all links.
+
+    ``distance`` is over ``fp``, ``keep`` takes pairs and gives those that are links.
+    """
+    crowded = classes.select(F.explode("own").alias("key")).groupBy("key").count().where(F.col("count") > CROWD).limit(1).count()
+    grouped, links, left = classes.withColumn("group", F.col("node")).withColumn("many", F.lit(False)), None, None
+    for draw in range(8 if crowded else 0):
+        found = checkpoint(keep(leader_links(grouped.where("not many"), distance, draw)))
+        links = found if links is None else links.union(found)
+        found = components(links)
+        count = found.groupBy("component").count().where(F.col("count") > CROWD).select("component", F.lit(True).alias("many"))
+        marked = checkpoint(classes.join(found, "node", "left").select("*", F.coalesce("component", "node").alias("group")).drop("component"))
+        grouped = checkpoint(marked.join(small_side(count.withColumnRenamed("component", "group")), "group", "left").withColumn("many", F.coalesce("many", F.lit(False))))
+        # Leaders go on while entries are crowded with rows of small groups, and each round joins a good part of them.
+        lone = grouped.where("not many").select(F.explode("own").alias("key")).groupBy("key").count().where(F.col("count") > CROWD).agg(F.sum("count")).first()[0] or 0
+        if not lone or left is not None and lone > 0.8 * left:
+            break
+        left = lone
+    rest = keep(crossing_links(grouped, distance))
+    return rest if links is None else links.union(rest)
+
+
+def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, distance: int, shingle: int, similarity: float) -> DataFrame:
+    """Those ``pairs`` (a, b) within ``distance`` over all bits whose sets of shingles have a Jaccard index of ``similarity`` or more.
+
+    Only the texts of nodes in such a pair are read again, one for each node.
+    """
+    pairs = checkpoint(pairs)
+    names = _columns(words)
+    bits = lambda side: classes.select(F.col("node").alias(side), *[F.col(c).alias(side + c) for c in names])
+    whole = sum((_apart("a" + c, "b" + c) for c in names), F.lit(0))
+    pairs = checkpoint(pairs.join(bits("a"), "a").join(bits("b"), "b").where(whole <= distance).select("a", "b"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = small_side(classes.join(asked, "node", "left_semi").select("node", "told"))
 
-def links(fps: DataFrame, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, apart: str | None = None, checked: int | None = None) -> DataFrame:
-    """Pairs (a, b) of values of ``node`` whose fingerprints differ in at most ``distance`` bits, a < b.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(t.as_py() or b"", shingle)).view("<i8") for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
 
-    ``apart`` names a column: only pairs that differ in it are given. With
-    ``radius`` (by default distance // segments) of at least that, none is
-    missed; a smaller one finds pairs by the segments they happen to share. Bits
-    are counted over the first ``checked`` words, all by default; segments are of all.
-    """
-    radius = distance // segments if radius is None else radius
-    extra = ("node",) if apart is None else ("node", apart)
-    pairs = _probes(fps, segments, words, radius, "a_", extra, checked).join(_table(fps, segments, words, "b_", extra, checked), ["seg", "key"])
-    first = F.col("a_node") < F.col("b_node") if apart is None else F.col(f"a_{apart}") < F.col(f"b_{apart}")
-    return pairs.where((_distance(checked or words, "a_", "b_") <= distance) & first).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    texts = docs.select(text_key(F.col("text")).alias("told"), "text").join(asked, "told").dropDuplicates(["node"])
+    sets = checkpoint(texts.select("node", "text").mapInArrow(run, "node long, set array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
 
-def leader_links(fps: DataFrame, distance: int, segments: int, words: int, rounds: int, checked: int | None = None, nearest: bool = False) -> DataFrame:
-    """Pairs (a, b) of which a is a leader of a bucket that b is in: one leader a bucket and round, drawn by a hash.
+def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with root, a node of its component, and component_id, the least of its component's ids."""
+    found = components(links).withColumnRenamed("component", "root")
+    least = small_side(found.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id")))
+    named = classes.join(found.join(least, "root"), "node", "left")
+    return checkpoint(named.withColumn("component_id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id"))).withColumn("root", F.coalesce("root", "node")))
 
-    With ``nearest`` of each round's leaders only the one nearest to b is given.
-    """
-    rows = _table(fps, segments, words, "b_", ("node",), checked)
-    kept = [f"b_{c}" for c in (*_columns(checked or words), "node")]
-    draws = [F.min_by(F.struct(F.lit(k).alias("k") if nearest else F.lit(0).alias("k"), *kept), F.xxhash64("b_node", F.lit(k))).alias(f"l{k}") for k in range(rounds)]
-    leaders = rows.groupBy("seg", "key").agg(*draws).select("seg", "key", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(rounds)]))).alias("l"))
-    leaders = leaders.select("seg", "key", "l.k", *[F.col(f"l.{c}").alias("a_" + c[2:]) for c in kept])
-    apart = _distance(checked or words, "a_", "b_")
-    found = rows.join(leaders, ["seg", "key"]).where((apart <= distance) & (F.col("a_node") != F.col("b_node")))
-    if nearest:
-        least = F.min(F.struct(apart.alias("d"), F.col("a_node").alias("a"))).alias("least")
-        found = found.groupBy("b_node", "k").agg(least).select(F.col("least.a").alias("a_node"), "b_node")
-    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2, words: int = 1, radius: int | None = None, rounds: int = 0, checked: int | None = None, jaccard: float | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``.
-
-    fingerprint is 16 lowercase hex digits for each of ``words``; component_id
-    the smallest doc_id that links reach, the row's own included. Texts without
-    words (null, empty, white space) have fingerprint zero and are linked like
-    any other. Repeated rows stay; rows without an id get the id of their
-    component all the same, or null where it has none. Other columns are
-    ignored; an empty table gives an empty result. With ``jaccard`` fingerprints
-    are of distinct shingles, and links of texts less similar than that are dropped.
-    """
-    names = _columns(words)
-    fps = checkpoint(fingerprints(docs, shingle, words, jaccard is not None))
-    node = F.col("fp") if words == 1 else F.coalesce("rep", F.xxhash64(*names))
-    classes = checkpoint(fps.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min("told").alias("told")).withColumn("node", node))
-    kept = (lambda pairs: pairs) if jaccard is None else (lambda pairs: similar(pairs, classes, docs, shingle, jaccard))
-    if rounds:
-        pairs = checkpoint(kept(leader_links(classes, distance, segments, words, rounds, checked, jaccard is not None)))
-        marked = classes.join(components(pairs).withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        pairs = pairs.union(kept(links(checkpoint(marked), distance, segments, words, radius, "group", checked)))
-    else:
-        pairs = kept(links(classes, distance, segments, words, radius, checked=checked))
-    # Components are found over nodes, labels are ids: the smallest id of all classes of a component.
-    roots = checkpoint(classes.join(components(pairs), "node", "left").withColumn("root", F.coalesce("component", "node")))
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = roots.join(least, "root").select(*names, "component_id")
-    return fps.join(named, names).select("doc_id", F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names]).alias("fingerprint"), "component_id")
 
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segments: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``: links are fingerprints at most ``distance`` bits apart.
+
+    fingerprint is 16 lowercase hex digits, component_id the smallest doc_id that
+    links reach, the row's own included. Texts without words (null, empty, white
+    space) have fingerprint zero and are linked like any other. Repeated rows
+    stay; rows without an id (ids are whole numbers, others count as none) get
+    the id of their component all the same, or null where it has none. Other
+    columns are ignored; an empty table gives an empty result. No link is missed.
+    """
+    fps = checkpoint(fingerprints(docs, shingle))
+    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("node", F.col("fp")))
+    links = linked(full_balls(classes, distance, segments), distance, lambda pairs: pairs)
+    named = _labels(classes, links).select("fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-#: Of the pipeline: a Jaccard index of 0.8 of five-word shingles, counted exactly. Such texts differ in some 39 of 256
-#: bits, give or take 6, so 57 let all but one in a thousand pass; of 40 segments of 12 or 13 bits out of 512 they share
-#: one in 99.4 cases of 100.
-PIPELINE = {"shingle": 5, "distance": 57, "segments": 40, "words": 8, "radius": 0, "rounds": 3, "checked": 4, "jaccard": 0.8}
 
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, told, root, component_id) for every row of ``docs``: links are texts of ``similarity`` in sets of shingles.
 
-def survivors(groups: DataFrame) -> DataFrame:
-    """(doc_id): the least id of each group."""
-    return groups.select(F.col("component_id").alias("doc_id")).distinct()
+    root names the component, component_id is its least doc_id. Texts without
+    words are one group; ids, repeated rows, other columns and empty tables are
+    as in ``near_duplicates``, rows with one id and different texts are two.
+    """
+    n = docs.count()
+    segments, width, whole, word = sizes(max(n, 2), similarity)
+    names = _columns(-(-segments * width // WORD))
+    fps = checkpoint(keyed_fingerprints(docs, shingle, segments, width))
+    classes = fps.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min(F.struct("told", "own", "ball")).alias("x"))
+    classes = checkpoint(classes.select(*names, "rep", "x.told", "x.own", "x.ball").withColumn("node", F.monotonically_increasing_id()))
+    links = linked(classes, word, lambda pairs: similar(pairs, classes, docs, len(names), whole, shingle, similarity))
+    named = _labels(classes, links).select(*names, "root", "component_id")
+    return fps.select("doc_id", "told", *names).join(named, names).select("doc_id", "told", "root", "component_id")
+
+
+def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: that with the least id, then by a hash of its text.
+
+    Rows without an id come after all others of their group. A row of a group of
+    its own always stays, also if another text has its id. Of rows with the same
+    id and text one is kept, the least by all its columns.
+    """
+    groups = similar_groups(docs, shingle, similarity)
+    each = groups.groupBy("root", "doc_id", "told").agg(F.count("*").alias("copies"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told", "copies")).alias("x"))
+    kept = checkpoint(first.select(F.col("x.doc_id").alias("id"), F.col("x.told").alias("told"), F.col("x.copies").alias("copies")))
+    rows = docs.select(wrapped(docs).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key(F.col("text")).alias("own_told"))
+    same = lambda k: rows.join(k, F.col("own_id").eqNullSafe(k["id"]) & (F.col("own_told") == k["told"]))
+    single = same(kept.where("copies = 1")).select("row.*")
+    several = same(small_side(kept.where("copies > 1"))).groupBy("id", "told").agg(F.min("row").alias("row")).select("row.*")
+    return single.union(several)
