@@ -7,48 +7,58 @@ return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch.llm import mixing, packing, pii, quality, simhash
-from casewatch.llm.common import id_remainder, table
+from casewatch.llm.common import id_remainder, shared_folder, table
 from casewatch.llm.queries import FOLDS, WEIGHTS, domain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.3 or more; it learns from the labels of the documents given."""
+    """Documents that the classifier scores at 0.3 or more; it learns from the labels of the documents given.
+
+    Null and empty texts have the score of a text without features and stay or go
+    together; repeated rows and ids are scored each by itself. Without labels all stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), FOLDS) != 0)
     return quality.score(docs, model).where("score >= 0.3").select(*COLUMNS)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies the document with the least id.
+    """One document of each group of texts with 0.8 or more of their five-word shingles in common: that with the least id.
 
-    Rows that repeat an id are one document, the first by a hash of the text;
-    a row without an id can't be told from others and goes.
+    Null and empty texts are one group. Rows without an id come after all others
+    of their group and stay where they have none; of rows that repeat id and
+    text one stays, rows with one id and different texts are different documents.
     """
-    groups = simhash.near_duplicates(docs, **simhash.PIPELINE)
-    kept = docs.join(simhash.survivors(groups), "doc_id", "left_semi")
-    line = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source")
-    return kept.withColumn("n_", F.row_number().over(line)).where("n_ = 1").select(*COLUMNS)
+    return simhash.survivors(docs).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and what gives it away taken out of their texts; n_chars follows."""
+    """All documents, personal data and what gives it away taken out of their texts; n_chars follows.
+
+    Null texts stay null and have a null n_chars, empty ones stay empty; repeated rows stay.
+    """
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen to the target weights, once for each epoch they are used in."""
+    """Documents chosen to the target weights, once for each epoch they are used in.
+
+    Documents without words go. Null languages and sources are leaves of their
+    own, ties in the order are broken by id and text, repeated rows count each.
+    """
     return mixing.mix(docs, domain(), WEIGHTS).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences: one row for each piece of a document in each bin."""
+    """The sequences: one row for each piece of a document in each bin.
+
+    Null and empty texts take the place of a separator; repeated rows are packed each.
+    """
     return packing.pack(docs)
 
 
@@ -66,10 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``, by way of the shared checkpoint folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
