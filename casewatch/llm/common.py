@@ -67,13 +67,17 @@ def wrapped(docs: DataFrame) -> Column:
 
 
 def running_sums(values: Column, block: int = 256) -> Column:
-    """Sums of an array up to each element; by blocks, so that a long array costs little more than in proportion."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)) / block),
-        lambda b: F.slice(F.aggregate(F.slice(values, (b * block + 1).cast("int"), F.lit(block)), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 2, block),
-    )
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0)))))
-    return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, o: F.transform(b, lambda x: x + o)))
+    """Sums of an array of int up to each element; by blocks, so that a long array costs little more than in proportion."""
+    add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+
+    def whole(v: Column) -> Column:
+        cuts = F.sequence(F.lit(0), (F.greatest(F.size(v) - 1, F.lit(0)) / block).cast("int"))
+        blocks = F.transform(cuts, lambda b: F.slice(F.aggregate(F.slice(v, b * block + 1, F.lit(block)), F.array(F.lit(0)), add), 2, block))
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: add(acc, F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, o: F.transform(b, lambda x: x + o)))
+
+    # The array is bound to a variable, or else it would be made anew for each use.
+    return F.element_at(F.transform(F.array(values), whole), 1)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -102,10 +106,13 @@ def id_remainder(column: Column, divisor: int) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words of a text; 0 for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACES)
-    blank = lambda i: F.when(F.element_at(parts, i) == "", 1).otherwise(0)
-    return F.greatest(F.size(parts) - blank(1) - blank(-1), F.lit(0))
+    """Number of words of a text; 0 for null. Counted by its single spaces; only a text that still has two running is split."""
+    text = F.coalesce(text, F.lit(""))
+    for space in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    text = F.trim(F.replace(F.replace(text, F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" ")))
+    single = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    return F.when(text == "", 0).when(F.contains(text, F.lit("  ")), F.size(F.array_remove(F.split(text, " "), ""))).otherwise(single)
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:

@@ -1,17 +1,17 @@
-"""Personal data: patterns, and information-theoretic sanitisation of what stands round them.
+"""Personal data: patterns, and information-theoretic sanitisation of what stands in the same texts.
 
 Patterns find the protected entities. Then the corpus tells how strongly a term
-reveals one: with p(t|e), the share of an entity's contexts that hold a term,
-p(t), the share of documents that hold it, and p(e), contexts of the entity for
-each document,
+reveals one. All shares are of distinct texts (copies count once): p(e) of those
+that hold the entity, p(t) of those that hold the term, p(t|e) of the entity's
+texts that hold the term, wherever in the text either stands. Then
 
     disclosure(t, e) = log2(p(t|e) / p(t)) / -log2 p(e)
 
 is the part of the entity's information content that the term gives away, 1 for
-a term that is seen with the entity always and nowhere else. Contexts that are
-copies of each other count once, and a pair must be seen in two at least. Terms
-above one threshold are generalised, above another removed, wherever they
-stand in a context of that entity. Built-in functions only.
+a term that is seen with the entity always and nowhere else. A pair must be seen
+in ``support`` different texts to be judged. Terms above one threshold are
+generalised, above another removed, wherever they stand in a text of that
+entity. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, located, row_key, small_side
+from .common import checkpoint, located, small_side, text_key, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,9 +34,7 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
-SPAN = "array<struct<kind:string,start:int,end:int,value:string,context:string,at:int>>"
-#: Characters of context on either side, cut to whole terms.
-REACH = 80
+SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 TERM = r"\p{L}{3,}"
 
 
@@ -64,7 +62,7 @@ _NORMAL = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digit
 
 
 def entities(text: Column) -> dict[str, Column]:
-    """For each kind the matches that pass its test, with their contexts."""
+    """For each kind the matches that pass its test."""
     found = {}
     for kind in KINDS:
         spans = F.filter(located(text, PATTERNS[kind]), _passes(kind))
@@ -77,69 +75,91 @@ def _passes(kind: str):
 
 
 def _shape(kind: str):
-    def shape(s: Column) -> Column:
-        left = F.when(F.length(s["before"]) > REACH, F.regexp_replace(F.right(s["before"], F.lit(REACH)), r"^\p{L}+", "")).otherwise(s["before"])
-        right = F.when(F.length(s["after"]) > REACH, F.regexp_replace(F.left(s["after"], F.lit(REACH)), r"\p{L}+$", "")).otherwise(s["after"])
-        blank = F.repeat(F.lit(" "), s["end"] - s["start"])
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _NORMAL[kind](s["value"]).alias("value"), F.concat(left, blank, right).alias("context"), (s["start"] - F.length(left)).alias("at"))
-
-    return shape
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _NORMAL[kind](s["value"]).alias("value"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, key_, spans): the base entities of every row, in order of kind, then start; written out."""
-    rows = docs.select("doc_id", row_key(docs).alias("key_"), F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, told, spans): the base entities of every row, in order of kind, then start; written out. told stands for the text."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("told"), F.coalesce("text", F.lit("")).alias("text"))
     for kind, spans in entities(F.col("text")).items():
         rows = rows.withColumn(kind, spans)
-    return checkpoint(rows.select("doc_id", "key_", F.concat(*KINDS).alias("spans")))
+    return checkpoint(rows.select("doc_id", "told", F.concat(*KINDS).alias("spans")))
+
+
+def _terms(text: Column) -> Column:
+    """A text's distinct terms, in lower case; pieces shorter than a term are left in, they never match one."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
-    """(key_, start, end, kind) of terms that give away an entity; kind is ``term`` or ``removed``."""
-    near = found.select("key_", F.explode("spans").alias("s")).select("key_", F.col("s.kind").alias("e_kind"), F.col("s.value").alias("e"), F.col("s.context").alias("context"), F.col("s.at").alias("at"))
-    near = near.withColumn("place", F.xxhash64("context"))
-    terms = near.withColumn("t", F.explode(located(F.col("context"), TERM)))
-    terms = terms.select("key_", "e_kind", "e", "place", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
-    of_e = near.groupBy("e_kind", "e").agg(F.countDistinct("place").alias("n_e"))
-    both = terms.groupBy("e_kind", "e", "term").agg(F.countDistinct("place").alias("n_et")).where(F.col("n_et") >= support)
-    both = checkpoint(both)
+    """(told, marks array<struct<term, kind>>): a text's terms that give away an entity of it; kind is ``term`` or ``removed``.
+
+    ``found`` is what ``detect`` gives of ``docs``. Null and empty texts have no
+    terms; copies are one text; without an entity in ``support`` texts, and for
+    an empty table, there are no rows.
+    """
+    counts = found.groupBy("told").agg(F.count("*").alias("copies"))
+    n_docs = counts.count()
+    copied = small_side(counts.where("copies > 1"))
+    # (text, entity), once each; of entities in several texts, for no other can be judged.
+    holds = found.select("told", F.explode("spans").alias("s")).select("told", F.col("s.kind").alias("e_kind"), F.col("s.value").alias("e")).distinct()
+    often = small_side(holds.groupBy("e_kind", "e").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < n_docs)))
+    holds = small_side(holds.join(often, ["e_kind", "e"]).groupBy("told").agg(F.collect_list(F.struct("e_kind", "e", "n_e")).alias("es")), weight=F.size("es"))
+    rows = docs.select(text_key(F.col("text")).alias("told"), F.coalesce("text", F.lit("")).alias("text"))
+    # Of copies one has the terms: the others weigh nothing.
+    texts = rows.join(holds, "told").groupBy("told").agg(F.first("text").alias("text"), F.first("es").alias("es"))
+    texts = checkpoint(texts.select("told", "es", _terms(F.col("text")).alias("terms")))
+    pairs = texts.select("told", "es", F.explode("terms").alias("term")).where(F.length("term") > 2).select("told", "term", F.explode("es").alias("x")).select("told", "term", "x.*")
+    both = checkpoint(pairs.groupBy("e_kind", "e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support))
     asked = small_side(both.select("term").distinct())
-    corpus = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
     # Counted before they are joined: what the join gives is bounded by the terms asked for.
-    of_t = corpus.groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term")
-    size = docs.agg(F.count("*").alias("n_docs"))  # one row
-    share = (F.log2(F.col("n_et") / F.col("n_e")) - F.log2(F.col("n_t") / F.col("n_docs"))) / F.log2(F.col("n_docs") / F.col("n_e"))
-    strong = both.join(of_e, ["e_kind", "e"]).join(of_t, "term").join(F.broadcast(size)).where(F.col("n_docs") > F.col("n_e"))
-    strong = strong.withColumn("share", share).where(F.col("share") >= generalise).select("e_kind", "e", "term", "share")
-    hit = terms.join(strong, ["e_kind", "e", "term"]).groupBy("key_", "start", "end").agg(F.max("share").alias("share"))
-    return hit.select("key_", "start", "end", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("kind"))
+    weigh = rows.join(copied, "told", "left").select(_terms(F.col("text")).alias("terms"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    of_t = weigh.select(F.explode("terms").alias("term"), "copies").groupBy("term", "copies").agg(F.count("*").alias("n")).join(asked, "term")
+    of_t = of_t.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t"))
+    share = (F.log2(F.col("n_et") / F.col("n_e")) - F.log2(F.col("n_t") / n_docs)) / F.log2(n_docs / F.col("n_e"))
+    strong = both.join(of_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("e_kind", "e", "term", "share")
+    hit = pairs.join(small_side(strong), ["e_kind", "e", "term"]).groupBy("told", "term").agg(F.max("share").alias("share"))
+    mark = F.struct("term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("kind"))
+    return hit.groupBy("told").agg(F.collect_list(mark).alias("marks"))
+
+
+def _added(docs: DataFrame, found: DataFrame, **thresholds) -> DataFrame:
+    """(told, added array<struct<kind, start, end>>): where a text's marked terms stand, by place; bounded or else to be shuffled."""
+    marks = small_side(disclosures(docs, found, **thresholds), weight=F.size("marks"))
+    rows = docs.select(text_key(F.col("text")).alias("told"), F.col("text")).join(marks, "told").dropDuplicates(["told"])
+    kinds = F.map_from_entries("marks")
+    hits = F.filter(F.transform(located(F.col("text"), TERM), lambda s: F.struct(F.try_element_at(kinds, F.lower(s["value"])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), lambda s: s["kind"].isNotNull())
+    return small_side(rows.select("told", hits.alias("added")), weight=F.size("added"))
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:
-    """(doc_id, key_, spans, added) for every row: base entities, and terms that the method adds, each by place.
+    """(doc_id, told, spans, added) for every row: base entities, and terms that the method adds, each by place.
 
     Null texts count as empty and have no spans; repeated rows have the same
-    spans each. Terms inside an entity's span are left to the entity.
+    spans each. Terms inside an entity's span are left to the entity. Other
+    columns are ignored; an empty table gives an empty result.
     """
     found = detect(docs)
-    extra = disclosures(docs, found, **thresholds).groupBy("key_").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
-    extra = small_side(extra.select("key_", "added"))
-    joined = found.join(extra, "key_", "left")
+    joined = found.join(_added(docs, found, **thresholds), "told", "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     inside = lambda a: F.exists("spans", lambda s: (a["start"] < s["end"]) & (s["start"] < a["end"]))
-    return joined.withColumn("added", F.coalesce(F.filter("added", lambda a: ~inside(a)), none))
+    return joined.select("doc_id", "told", "spans", F.coalesce(F.filter("added", lambda a: ~inside(a)), none).alias("added"))
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced: ``[KIND]`` for entities and generalised terms, nothing for removed ones.
 
-    Rows, other columns and texts without spans stay as they are; null stays null.
+    Rows, other columns (whatever their names) and texts without spans stay as
+    they are; null stays null.
     """
     found = find(docs, **thresholds).where((F.size("spans") > 0) | (F.size("added") > 0))
     marks = F.concat(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))), F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "removed", "").otherwise("[TERM]").alias("put"))))
-    marks = small_side(found.select("key_", F.array_sort(marks).alias("marks_")).dropDuplicates(["key_"]), 50_000)
-    text = F.col("text")
-    step = lambda acc, m: F.when(m["start"] >= acc["pos"], F.struct(m["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, m["start"] - acc["pos"]), m["put"]).alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], m["end"]).alias("pos"), acc["out"].alias("out")))
-    done = F.aggregate("marks_", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    joined = docs.withColumn("key_", row_key(docs)).join(marks, "key_", "left")
-    return joined.withColumn("text", F.when(F.col("marks_").isNotNull(), done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Marks depend on the text alone, which told stands for in 128 bits: copies share them.
+    marks = small_side(found.select("told", F.array_sort(marks).alias("marks")).dropDuplicates(["told"]), 200_000, F.size("marks"))
+    text = F.col("row.text")
+    step = lambda acc, m: F.when(m["start"] >= acc["pos"], F.struct(m["end"].alias("pos"), F.concat(acc["out"], F.array(F.substring(text, acc["pos"] + 1, m["start"] - acc["pos"]), m["put"])).alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], m["end"]).alias("pos"), acc["out"].alias("out")))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate("marks", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
+    joined = docs.select(wrapped(docs).alias("row"), text_key(F.col("text")).alias("told")).join(marks, "told", "left")
+    put = F.when(F.col("marks").isNotNull(), done).otherwise(text)
+    return joined.select(*[put.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

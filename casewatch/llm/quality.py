@@ -114,15 +114,17 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int) -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled texts, the same on every run: those whose id hashes lowest.
+    """At most ``rows`` labelled texts, the same on every run: those whose id hashes lowest, then the text.
 
-    ``allowed`` is a condition on doc_id. Labels other than 0 and 1 are left out.
-    The sample is taken on ids; its texts alone are fetched.
+    ``allowed`` is a condition on doc_id. Labels other than 0 and 1 are left out;
+    an id with both labels gives both. The sample is taken on ids first, so that
+    texts of its ids alone are read, and again on the rows that repeat them.
     """
     picked = labels.where(F.col(label).isin(0, 1) & allowed).select("doc_id", F.col(label).cast("int").alias("label_")).distinct()
     picked = picked.orderBy(F.xxhash64("doc_id", "label_"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text_")).join(F.broadcast(picked), "doc_id")
-    return [(bytes(r.text_), r.label_) for r in found.orderBy(F.xxhash64("doc_id"), "text_").collect()]
+    lowest = found.orderBy(F.xxhash64("doc_id", "label_"), "doc_id", F.xxhash64("text_"), F.xxhash64(F.lit(1), "text_")).limit(rows)
+    return [(bytes(r.text_), r.label_) for r in lowest.collect()]
 
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:

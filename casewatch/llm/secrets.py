@@ -1,10 +1,14 @@
 """Secret scans through a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that
-every match must hold: an AND of ORs of ANDs. Postings (trigram, row) are built
-for the trigrams that the rules ask for, lower-cased; postings are intersected
-into candidate rows, and only those are verified with the expression. A rule
-without mandatory trigrams scans all texts. Built-in functions only.
+every match must hold: an AND of ORs of ANDs. The inverted index (trigram, text)
+is built for the trigrams that the rules ask for, lower-cased, and written out;
+the queries are joined to its postings, which are intersected into candidate
+texts, and only those are verified with the expression. A rule without mandatory
+trigrams scans all texts. Built-in functions only.
+
+Expressions are parsed by Python's own parser, module ``re._parser`` of CPython
+3.11 to 3.14, which has no public name.
 """
 
 from __future__ import annotations
@@ -14,10 +18,10 @@ import re._parser as parser
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, row_key, small_side
+from .common import checkpoint, located, small_side, text_key
 
 #: A set of literals grows no further than this while a query is derived.
 MOST = 32
@@ -127,27 +131,32 @@ def _products(once: set[str], n: int) -> list[tuple[str, ...]]:
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, key_): the inverted index, for the trigrams asked for; texts are lower-cased."""
+    """(trigram, told): the inverted index, for the trigrams asked for; told stands for a text, copies have one posting.
+
+    Texts are lower-cased; null and empty ones have no postings, an empty table gives none.
+    """
     text = F.lower(F.coalesce("text", F.lit("")))
-    here = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("low_"), t))
-    return docs.select(row_key(docs).alias("key_"), text.alias("low_")).select("key_", F.explode(here).alias("trigram"))
+    here = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("low"), t))
+    rows = docs.select(text_key(F.col("text")).alias("told"), text.alias("low"))
+    return rows.select(F.explode(here).alias("trigram"), "told").distinct()
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(key_, rules array<string>): rows whose postings satisfy a rule's query."""
+def asked(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """(rule, clauses, clause, way, need, trigram): the rules' queries as a table, a few rows each."""
+    rows = [(r.kind, len(r.query), c, w, len(grams), g) for r in rules for c, clause in enumerate(r.query) for w, grams in enumerate(clause) for g in grams]
+    return spark.createDataFrame(rows, "rule string, clauses int, clause int, way int, need int, trigram string")
 
-    def holds(query: Query) -> Column:
-        every = F.lit(True)
-        for clause in query:
-            some = F.lit(False)
-            for grams in clause:
-                some = some | (F.size(F.array_intersect("grams", F.array(*map(F.lit, grams)))) == len(grams))
-            every = every & some
-        return every
 
-    sets = index.groupBy("key_").agg(F.collect_set("trigram").alias("grams"))
-    named = F.array_compact(F.array(*[F.when(holds(r.query), F.lit(r.kind)) for r in rules]))
-    return sets.select("key_", named.alias("rules")).where(F.size("rules") > 0)
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(told, rules array<string>): texts whose postings satisfy a rule's query. Texts without any have no row.
+
+    A way is satisfied if all its trigrams have the text, a clause if one of its
+    ways is, a rule if all its clauses are.
+    """
+    met = index.join(F.broadcast(asked(index.sparkSession, rules)), "trigram")  # the queries are of fixed size
+    ways = met.groupBy("told", "rule", "clauses", "clause", "way", "need").agg(F.count("*").alias("n")).where("n = need")
+    full = ways.groupBy("told", "rule", "clauses").agg(F.countDistinct("clause").alias("n")).where("n = clauses")
+    return full.groupBy("told").agg(F.collect_list("rule").alias("rules"))
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -167,11 +176,10 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     indexed = tuple(r for r in rules if r.query)
     docs = docs.select("doc_id", "text")
-    rows = docs.select("doc_id", row_key(docs).alias("key_"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("told"), F.coalesce("text", F.lit("")).alias("text"))
     if indexed:
-        grams = sorted({g for r in indexed for clause in r.query for way in clause for g in way})
-        asked = small_side(candidates(postings(docs, grams), indexed))
-        rows = rows.join(asked, "key_", "left")
+        index = checkpoint(postings(docs, sorted({g for r in indexed for clause in r.query for way in clause for g in way})))
+        rows = rows.join(small_side(candidates(index, indexed)), "told", "left")
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     parts = [F.when(F.array_contains("rules", r.kind), matches(F.col("text"), r)).otherwise(none) if r.query else matches(F.col("text"), r) for r in rules]
     names = [f"m{i}_" for i in range(len(rules))]

@@ -27,6 +27,8 @@ class RatioModel:
     bits: int = 18
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     smoothing: float = 1.0
+    #: Training documents that must hold an n-gram for it to count: one seen more seldom says nothing of new texts.
+    least: int = 3
     penalty: float = 1e-3
     epochs: int = 8
     rate: float = 0.05
@@ -49,11 +51,10 @@ class RatioModel:
                 n[x] += 1
             share.append(n / (self.smoothing * 2 + sum(k == c for k in labels)))
         ratio = np.log(share[0] / share[1])
-        # Seldom seen n-grams say nothing of new texts.
         seen = np.zeros(size)
         for x in data:
             seen[x] += 1
-        ratio[seen < 3] = 0
+        ratio[seen < self.least] = 0
         rng, w, self.bias = np.random.default_rng(self.seed), np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         square = np.full(size, 1e-8)
         for _ in range(self.epochs):
