@@ -29,11 +29,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH v AS (SELECT DISTINCT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS n, vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.n <> c.n AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
 """
 
@@ -129,21 +129,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict:
-    import corpus_pipeline  # noqa: F401  where it is absent, so is this registry
-
-    found = (op1_quality, op2_packing, op3_topk, op4_lm, op5_toxicity, op6_sanitise, op7_mixing, op8_weighted_sampling, op9_secrets, op10_simhash, pipeline)
+    found = (op1_quality, op2_packing, op3_topk, op4_lm, op5_toxicity, op6_sanitise, op7_mixing, op8_weighted_sampling, op9_secrets, op10_simhash)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    found = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}

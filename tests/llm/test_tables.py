@@ -104,26 +104,32 @@ def test_mixing_takes_prefixes_of_a_seeded_order(spark):
             assert (i, 0) in out and ((i, 1) in out) == (so_far <= rest)
 
 
-def test_top_k_is_exact(spark):
+def test_top_k_is_exact(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(size=16)]) for i in range(0, 700)]
-    rows += [(1000 + i, rows[50][1]) for i in range(10)] + [(2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] + [0.0] * 15), (None, [0.0] * 16), (3000, rows[0][1]), (3000, rows[0][1]), (4000, [1.0])]
+    rows += [(1000 + i, rows[50][1]) for i in range(10)] + [(2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] + [0.0] * 15), (None, [0.0] * 16), (3000, rows[0][1]), (3000, rows[0][1]), (50, rows[50][1]), (100, rows[7][1]), (4000, [1.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     v = topk.integer_vectors(df)
     got = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect())
-    kept = {i: np.floor(256 * np.array(x, np.float32).astype(float)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()}
+    kept = [(i, np.floor(256 * np.array(x, np.float32).astype(float))) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
     want = []
-    for q in (i for i in kept if i % 50 == 0):
-        found = sorted((-int(kept[q] @ x), i) for i, x in kept.items() if i != q and len(x) == len(kept[q]))[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    for n, (q, x) in enumerate(kept):
+        if q % 50 == 0:
+            found = sorted((-int(x @ y), i) for m, (i, y) in enumerate(kept) if m != n and len(x) == len(y))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     assert got == sorted(want)
+    # Many cells: floors go from one to the others.
+    monkeypatch.setattr(topk, "ROWS", 90)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    assert sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()) == sorted(want)
     assert topk.top_k(v.where("vec_id < 0"), v.where("vec_id < 0"), 5).count() == 0
 
 
 def test_top_k_skips_blocks():
     vectors = np.repeat(np.arange(40)[:, None], 8, axis=1).astype(float)
-    found = topk.search_blocks(np.ones((1, 8)), np.array([-1]), vectors, np.arange(40), 3, block=4)
-    assert found == [(-1, 39, 312), (-1, 38, 304), (-1, 37, 296)]
+    found = topk.search_blocks(np.ones((1, 8)), np.array([-1]), vectors, np.arange(40), np.arange(40), 3, block=4)
+    assert found == [(0, 39, 312), (0, 38, 304), (0, 37, 296)]
+    assert topk.search_blocks(np.ones((1, 8)), np.array([39]), vectors, np.arange(40), np.arange(40), 3, 4, np.array([304.0])) == [(0, 38, 304)]
 
 
 def test_weighted_sampling(spark):
@@ -133,7 +139,7 @@ def test_weighted_sampling(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, fingerprint string")
     out = cws.fingerprints(df).collect()
     rows = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and len(out[0].fingerprint) == 6 * cws.SAMPLES
     got = {r.doc_id: r for r in out}
     errors = []
     for k, (i, t) in enumerate(rows):
