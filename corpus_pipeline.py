@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch.llm import mixing, packing, pii, quality, simhash
-from casewatch.llm.common import id_remainder, shared_folder, table
+from casewatch.llm.common import id_remainder, removed, shared_folder, table
 from casewatch.llm.queries import FOLDS, WEIGHTS, domain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -75,10 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``, by way of the shared checkpoint folder."""
+    """All stages on the documents of ``sf_dir``, by way of the shared checkpoint folder; what stages hand on is removed."""
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, [f"{folder}/{k - 1}"])
     return docs
