@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Separators of words in every operator here: space and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Edges of a graph to a task.
+EDGES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,15 +146,18 @@ def components(edges: DataFrame) -> DataFrame:
     spark, old = edges.sparkSession, []
 
     def kept(df: DataFrame) -> DataFrame:
-        table, path = written(df)
+        # A small graph isn't dealt over more tasks than it has work for.
+        table, path = written(df.coalesce(1 + edges_left // EDGES))
         old.append(path)
         return table
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    edges_left = 1 << 40
     e = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = state(e)
+    edges_left = seen[0]
     while seen[0]:
         both = e.union(e.select("v", "u"))
         low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -165,7 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = state(e)
         if now == seen:
             break
-        seen = now
-    out = written(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", "v").distinct()))[0]
+        seen, edges_left = now, now[0]
+    out = written(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", "v").distinct()).coalesce(1 + edges_left // EDGES))[0]
     removed(spark, old)
     return out

@@ -210,25 +210,33 @@ def crossing_links(classes: DataFrame, distance: int) -> DataFrame:
     return out.distinct()
 
 
+def _crowding(classes: DataFrame) -> int:
+    """Pairs that entries with more than CROWD rows would make; 0 if they are fewer than CROWD times all rows."""
+    each = classes.select(F.explode("own").alias("key")).groupBy("key").count()
+    pairs, rows = each.agg(F.sum(F.when(F.col("count") > CROWD, F.col("count") * F.col("count"))), F.sum("count")).first()
+    return pairs if (pairs or 0) > CROWD * (rows or 0) else 0
+
+
 def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): links between nodes, enough of them that components are those of all links.
 
     ``distance`` is over ``fp``, ``keep`` takes pairs and gives those that are links.
     """
-    crowded = classes.select(F.explode("own").alias("key")).groupBy("key").count().where(F.col("count") > CROWD).limit(1).count()
-    grouped, links, left = classes.withColumn("group", F.col("node")).withColumn("many", F.lit(False)), None, None
-    for draw in range(8 if crowded else 0):
+    grouped, links, work = classes.withColumn("group", F.col("node")).withColumn("many", F.lit(False)), None, _crowding(classes)
+    # Leaders go on while crowded entries would make more pairs than CROWD times all rows, and each round spares a good part of them.
+    for draw in range(8):
+        if not work:
+            break
         found = checkpoint(keep(leader_links(grouped.where("not many"), distance, draw)))
         links = found if links is None else links.union(found)
         found = components(links)
-        count = found.groupBy("component").count().where(F.col("count") > CROWD).select("component", F.lit(True).alias("many"))
-        marked = checkpoint(classes.join(found, "node", "left").select("*", F.coalesce("component", "node").alias("group")).drop("component"))
-        grouped = checkpoint(marked.join(small_side(count.withColumnRenamed("component", "group")), "group", "left").withColumn("many", F.coalesce("many", F.lit(False))))
-        # Leaders go on while entries are crowded with rows of small groups, and each round joins a good part of them.
-        lone = grouped.where("not many").select(F.explode("own").alias("key")).groupBy("key").count().where(F.col("count") > CROWD).agg(F.sum("count")).first()[0] or 0
-        if not lone or left is not None and lone > 0.8 * left:
+        count = found.groupBy("component").count().where(F.col("count") > CROWD).select(F.col("component").alias("group"), F.lit(True).alias("many"))
+        marked = classes.join(small_side(found), "node", "left").select("*", F.coalesce("component", "node").alias("group")).drop("component")
+        grouped = checkpoint(marked.join(small_side(count), "group", "left").withColumn("many", F.coalesce("many", F.lit(False))))
+        left = _crowding(grouped.where("not many"))
+        if left > 0.8 * work:
             break
-        left = lone
+        work = left
     rest = keep(crossing_links(grouped, distance))
     return rest if links is None else links.union(rest)
 
