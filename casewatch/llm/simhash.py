@@ -16,7 +16,8 @@ Only distinct fingerprints are compared: copies share one, and stand in the
 result through it. Large groups of near copies never meet in pairs: members of
 a crowded table entry are linked to leaders of it first, over and over while
 that joins them; then only rows of different groups are compared, an entry's
-large groups against its other rows. That pass is exact whatever came before.
+large groups against its other rows. That pass is exact whatever came before;
+where a cluster is dense, pairs that can't be links are told by counts alone.
 Where a similarity is given, fingerprints only find candidates: a link is kept
 only if the Jaccard index of the texts' sets of shingles, counted exactly, is
 that high.
@@ -42,6 +43,8 @@ WORD = 64
 GOLDEN = 0x9E3779B97F4A7C15
 #: Rows of a table entry, and members of a group, from which they count as many.
 CROWD = 64
+#: Leaders of such an entry, and how many of the leaders that a row meets are tried.
+LEADERS, NEAREST = 8, 3
 #: Bits flipped in a segment, by their rank from the least sure on.
 FLIPS = ((0,), (1,), (2,), (0, 1))
 #: Share of pairs right at the limit that may share no entry.
@@ -177,53 +180,88 @@ def _apart(a: str, b: str) -> Column:
 
 
 def leader_links(classes: DataFrame, distance: int, draw: int) -> DataFrame:
-    """(a, b): b's nearest leader a within ``distance``; a leader of each entry with more than CROWD rows is drawn by a hash."""
-    rows = _entries(classes, "own", "b_")
-    leaders = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("b_node", "b_fp"), F.xxhash64("b_node", F.lit(draw))).alias("l"))
-    leaders = small_side(leaders.where(F.col("n") > CROWD).select("key", F.col("l.b_node").alias("a_node"), F.col("l.b_fp").alias("a_fp")))
-    found = rows.join(leaders, "key").where((_apart("a_fp", "b_fp") <= distance) & (F.col("a_node") != F.col("b_node")))
-    nearest = found.groupBy("b_node").agg(F.min(F.struct(_apart("a_fp", "b_fp").alias("d"), F.col("a_node").alias("a"))).alias("x"))
-    return nearest.select("x.a", F.col("b_node").alias("b"))
+    """(a, b): b's NEAREST leaders a, over all bits, of those within ``distance`` over one word.
 
-
-def crossing_links(classes: DataFrame, distance: int) -> DataFrame:
+    Of each entry with more than CROWD rows LEADERS leaders are drawn by hashes:
+    a row meets so many for each of its segments, however large the entry is.
+    """
+    names = [c for c in classes.columns if c.startswith("fp")]
+    rows = classes.select(F.explode("own").alias("key"), F.struct("node", *names).alias("b"))
+    crowded = small_side(rows.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+    rows = rows.join(crowded, "key")
+    leaders = rows.groupBy("key").agg(*[F.min_by("b", F.xxhash64("b.node", F.lit(draw * LEADERS + i))).alias(f"l{i}") for i in range(LEADERS)])
+    leaders = small_side(leaders.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("a")))
+    found = rows.join(leaders, "key").where((_apart("a.fp", "b.fp") <= distance) & (F.col("a.node") != F.col("b.node")))
+    whole = sum((_apart(f"a.{c}", f"b.{c}") for c in names), F.lit(0))
+    # A set of LEADERS for each segment at most.
+    nearest = found.groupBy(F.col("b.node").alias("b")).agg(F.slice(F.array_sort(F.collect_set(F.struct(whole.alias("d"), F.col("a.node").alias("a")))), 1, NEAREST).alias("x"))
+    return nearest.select(F.explode("x.a").alias("a"), "b")
+
+
+def _reach(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets may be similar: known of each are its size and how many of its shingles others have, at most those
+    are common. Both numbers are in one long, null where they aren't known."""
+    size = lambda c: F.shiftright(c, 31)
+    common = F.least(*[F.col(c).bitwiseAND(F.lit((1 << 31) - 1)) for c in (a, b)])
+    return F.col(a).isNull() | F.col(b).isNull() | (common >= similarity * (size(a) + size(b) - common))
+
+
+def crossing_links(classes: DataFrame, distance: int, similarity: float = 0.0) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different groups that meet in an entry and are within ``distance``.
 
-    ``classes`` has (node, fp, own, ball, group, many). Rows of groups with many
-    members meet all rows of other groups, but never those of their own.
+    ``classes`` has (node, fp, own, ball, group, many), and bound for ``_reach``.
+    Rows of groups with many members meet all rows of other groups, but never
+    those of their own.
     """
     few, many = classes.where("not many"), classes.where("many")
-    every = F.concat("own", "ball")
+    every, extra = F.concat("own", "ball"), ("group", "bound")
     sides = [
-        (_entries(few, every, "a_", ("group",)), _entries(classes, "own", "b_", ("group",))),
-        (_entries(few, "own", "a_", ("group",)), _entries(many, "ball", "b_", ("group",))),
+        (_entries(few, every, "a_", extra), _entries(classes, "own", "b_", extra)),
+        (_entries(few, "own", "a_", extra), _entries(many, "ball", "b_", extra)),
     ]
-    close = (F.col("a_group") != F.col("b_group")) & (_apart("a_fp", "b_fp") <= distance)
+    close = (F.col("a_group") != F.col("b_group")) & (_apart("a_fp", "b_fp") <= distance) & _reach("a_bound", "b_bound", similarity)
     pair = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
     found = [a.join(b, "key").where(close).select(*pair) for a, b in sides]
     # Entries that two large groups share: found from the groups alone, then their rows meet.
-    rows = _entries(many, every, "a_", ("group",))
-    own = _entries(many, "own", "b_", ("group",))
+    rows = _entries(many, every, "a_", extra)
+    own = _entries(many, "own", "b_", extra)
     shared = rows.select("key", "a_group").distinct().join(own.select("key", "b_group").distinct(), "key").where("a_group <> b_group")
     found.append(rows.join(shared, ["key", "a_group"]).join(own, ["key", "b_group"]).where(close).select(*pair))
     out = found[0].union(found[1]).union(found[2])
     return out.distinct()
 
 
+def _bounds(classes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, bound) of the nodes with a crowded entry: size of the set of shingles, and how many of them another such node has.
+
+    A dense cluster of texts a little less similar than asked for would make all
+    its pairs; edits that no other text has rule most of them out beforehand, and
+    none that is a link.
+    """
+    entries = classes.select("node", F.explode(F.concat("own", "ball")).alias("key"))
+    crowded = entries.groupBy("key").count().where(F.col("count") > CROWD).select("key")
+    nodes = entries.join(small_side(crowded), "key").select("node").distinct()
+    said = checkpoint(sets(nodes)).select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    single = said.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = said.groupBy("node").agg(F.first("n").alias("n")).join(single, "node", "left")
+    return sizes.select("node", (F.shiftleft(F.col("n").cast("long"), 31) + F.col("n") - F.coalesce("alone", F.lit(0))).alias("bound"))
+
+
 def _crowding(classes: DataFrame) -> int:
-    """Pairs that entries with more than CROWD rows would make; 0 if they are fewer than CROWD times all rows."""
+    """Pairs that entries with more than CROWD rows would make; 0 if they are fewer than all entries' rows."""
     each = classes.select(F.explode("own").alias("key")).groupBy("key").count()
     pairs, rows = each.agg(F.sum(F.when(F.col("count") > CROWD, F.col("count") * F.col("count"))), F.sum("count")).first()
-    return pairs if (pairs or 0) > CROWD * (rows or 0) else 0
+    return pairs if (pairs or 0) > (rows or 0) else 0
 
 
-def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
     """(a, b): links between nodes, enough of them that components are those of all links.
 
-    ``distance`` is over ``fp``, ``keep`` takes pairs and gives those that are links.
+    ``distance`` is over ``fp``, ``keep`` takes pairs and gives those that are
+    links, ``sets`` takes nodes and gives their sets of shingles.
     """
     grouped, links, work = classes.withColumn("group", F.col("node")).withColumn("many", F.lit(False)), None, _crowding(classes)
-    # Leaders go on while crowded entries would make more pairs than CROWD times all rows, and each round spares a good part of them.
+    # Leaders go on while crowded entries would make more pairs than there are rows, and each round spares a good part of them.
     for draw in range(8):
         if not work:
             break
@@ -237,10 +275,25 @@ def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFr
         if left > 0.8 * work:
             break
         work = left
-    rest = keep(crossing_links(grouped, distance))
+    bounds = None if sets is None else small_side(_bounds(grouped, sets))
+    grouped = grouped.withColumn("bound", F.lit(None).cast("long")) if bounds is None else grouped.join(bounds, "node", "left")
+    rest = keep(crossing_links(grouped, distance, similarity))
     return rest if links is None else links.union(rest)
 
 
+def shingle_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, set array<long>) of the texts that ``nodes`` stand for, read again from ``docs``, one for each node."""
+    asked = small_side(classes.join(nodes, "node", "left_semi").select("node", "told"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(t.as_py() or b"", shingle)).view("<i8") for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
+
+    texts = docs.select(text_key(F.col("text")).alias("told"), "text").join(asked, "told").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")
+
+
 def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, distance: int, shingle: int, similarity: float) -> DataFrame:
     """Those ``pairs`` (a, b) within ``distance`` over all bits whose sets of shingles have a Jaccard index of ``similarity`` or more.
 
@@ -251,16 +304,7 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, d
     bits = lambda side: classes.select(F.col("node").alias(side), *[F.col(c).alias(side + c) for c in names])
     whole = sum((_apart("a" + c, "b" + c) for c in names), F.lit(0))
     pairs = checkpoint(pairs.join(bits("a"), "a").join(bits("b"), "b").where(whole <= distance).select("a", "b"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = small_side(classes.join(asked, "node", "left_semi").select("node", "told"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(shingles(t.as_py() or b"", shingle)).view("<i8") for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
-
-    texts = docs.select(text_key(F.col("text")).alias("told"), "text").join(asked, "told").dropDuplicates(["node"])
-    sets = checkpoint(texts.select("node", "text").mapInArrow(run, "node long, set array<long>"))
+    sets = checkpoint(shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, shingle))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
@@ -304,7 +348,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     fps = checkpoint(keyed_fingerprints(docs, shingle, segments, width))
     classes = fps.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min(F.struct("told", "own", "ball")).alias("x"))
     classes = checkpoint(classes.select(*names, "rep", "x.told", "x.own", "x.ball").withColumn("node", F.monotonically_increasing_id()))
-    links = linked(classes, word, lambda pairs: similar(pairs, classes, docs, len(names), whole, shingle, similarity))
+    keep = lambda pairs: similar(pairs, classes, docs, len(names), whole, shingle, similarity)
+    links = linked(classes, word, keep, lambda nodes: shingle_sets(nodes, classes, docs, shingle), similarity)
     named = _labels(classes, links).select(*names, "root", "component_id")
     return fps.select("doc_id", "told", *names).join(named, names).select("doc_id", "told", "root", "component_id")
 

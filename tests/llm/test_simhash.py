@@ -67,7 +67,7 @@ def test_no_link_is_missed_at_any_radius(spark):
             for k in rng.choice(63, n, replace=False):
                 x ^= 1 << int(k)
             fps.add(x)
-    df = spark.createDataFrame([(f, f, f, False) for f in fps], "fp long, node long, group long, many boolean")
+    df = spark.createDataFrame([(f, f, f, False, None) for f in fps], "fp long, node long, group long, many boolean, bound long")
     for distance, segments in ((3, 2), (3, 4), (5, 3)):
         want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= distance}
         assert {tuple(r) for r in simhash.crossing_links(simhash.full_balls(df, distance, segments), distance).collect()} == want
@@ -119,6 +119,28 @@ def test_large_groups_of_near_copies_are_joined(spark):
     assert all(out[1000 + i] == 1000 + i for i in range(60))
 
 
+def test_a_dense_cluster_below_the_limit(spark, monkeypatch):
+    """Copies with edits of their own, so that most pairs are just under the limit: the same groups as by brute force."""
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.choice(90, 1 + i % 5, replace=False):
+            words[k] = f"e{i}x{k}"
+        texts.append((i, " ".join(words)))
+    out = groups(spark, texts)
+    root = list(range(120))
+    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for _, t in texts]
+    for i in range(120):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert [out[i] for i in range(120)] == root and len(set(root)) > 10
+
+
 def test_links_are_those_of_brute_force(spark, monkeypatch):
     """Of all pairs of a corpus with edits of every kind, by range of similarity, hardly one is missed, and none below the limit is linked."""
     rng = np.random.default_rng(4)
