@@ -12,6 +12,8 @@ from ..functions.similarity import similarity_join
 
 #: Orders of preference among the matches of one case and target.
 CONFIDENCES, CRITERIA, SIDES = ("confirmada", "a_verificar"), ("documento", "busca_documento", "nome", "regra"), ("passivo", "ativo", "terceiro")
+#: Parts over which cases are dealt where a rule is asked of all of them.
+SHARES = 64
 
 
 def rank(c: Column, values: tuple[str, ...]) -> Column:
@@ -91,8 +93,10 @@ def match_rules(cases: DataFrame, rules: DataFrame, sides: DataFrame) -> DataFra
         "classe": (F.explode(F.array_distinct("classes").cast("array<string>")), F.array(F.col("classe_codigo").cast("string"))),
         "assunto": (F.explode(F.array_distinct("assuntos").cast("array<string>")), F.array_distinct("assuntos").cast("array<string>")),
         "comarca": (F.explode(F.array_distinct("comarcas")), F.array("comarca")),
-        "todas": (F.lit("*"), F.array(F.lit("*"))),
     }
+    # Rules that name no value are asked of every case: where there are any, cases are dealt over SHARES parts that each have all of them.
+    if r.where("lead_ = 'todas'").limit(1).count():
+        by["todas"] = (F.explode(F.array(*[F.lit(str(i)) for i in range(SHARES)])), F.array(F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("string")))
     values = cases.select(F.struct("classe_codigo", F.col("assuntos").alias("c_assuntos"), "comarca", "valor_causa_centavos", "capa").alias("c"), F.col("id").alias("processo_id"), *[F.transform(by[k][1], _tag(k)).alias(f"k_{k}") for k in by])
     keyed = values.withColumn("key_", F.explode(F.concat(*[f"k_{k}" for k in by]))).where("key_ is not null").select("processo_id", "c", "key_")
     kept = ["regra_id", "cliente_id", "classes", "assuntos", "comarcas", "termos", "valor_min_centavos", F.col("polo").alias("r_polo")]

@@ -6,8 +6,9 @@ An alarm's evaluation is true (open), false (resolved) or null (no change).
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,26 +135,33 @@ def page_after(rows: DataFrame, after: int | None, limit: int) -> DataFrame:
 def rate_limit_attempts(attempts: DataFrame, most: int, seconds: int) -> DataFrame:
     """Attempts (acao, chave, id) with permitida: fewer than ``most`` permitted ones of the same action and key in the ``seconds`` before.
 
-    A fold: refused attempts aren't recorded, so they don't count. Nothing
-    reaches over a pause of ``seconds``, so a key's attempts are cut at its
-    pauses and the stretches between are folded apart, each in one pass.
+    A fold: refused attempts aren't recorded, so they don't count. Rows are put
+    in line by action, key and time once and go by in one stream, of which the
+    last ``most`` permitted times are remembered; a key with many attempts is never
+    gathered. Without a time permitida is null.
     """
-    line = Window.partitionBy("acao", "chave").orderBy("s_", "id")
-    rows = attempts.select("acao", "chave", "id", F.unix_timestamp("ts").alias("s_"))
-    rows = rows.withColumn("new_", (F.col("s_") - F.lag("s_").over(line) >= seconds).cast("long"))
-    rows = rows.withColumn("stretch_", F.coalesce(F.sum("new_").over(line), F.lit(0)))
+    key = ["acao", "chave"]
+    line = Window.partitionBy(*key).orderBy("s_", "id")
+    rows = attempts.select(*key, "id", F.unix_timestamp("ts").alias("s_"))
+    # The sort is the window's own: Spark sorts once.
+    rows = rows.withColumn("first_", F.row_number().over(line) == 1).sortWithinPartitions(*key, "s_", "id")
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["s_", "id"], kind="stable")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: deque[int] = deque()
-        out = []
-        for s in f["s_"]:
-            while kept and kept[0] <= s - seconds:
-                kept.popleft()
-            out.append(len(kept) < most)
-            if out[-1]:
-                kept.append(s)
-        return f[["acao", "chave", "id"]].assign(permitida=out)
+        for b in batches:
+            out: list[bool | None] = []
+            for s, first in zip(b.column("s_").to_pylist(), b.column("first_").to_pylist()):
+                if first:
+                    kept.clear()
+                if s is None:
+                    out.append(None)
+                    continue
+                while kept and kept[0] <= s - seconds:
+                    kept.popleft()
+                out.append(len(kept) < most)
+                if out[-1]:
+                    kept.append(s)
+            yield pa.RecordBatch.from_arrays([b.column("acao"), b.column("chave"), b.column("id"), pa.array(out, pa.bool_())], ["acao", "chave", "id", "permitida"])
 
     kinds = dict(attempts.dtypes)
-    return rows.groupBy("acao", "chave", "stretch_").applyInPandas(fold, f"acao {kinds['acao']}, chave {kinds['chave']}, id {kinds['id']}, permitida boolean")
+    return rows.mapInArrow(fold, f"acao {kinds['acao']}, chave {kinds['chave']}, id {kinds['id']}, permitida boolean")
