@@ -22,9 +22,9 @@ def e01_match_by_document(spark, d):
     return by_document(spark, d)
 
 
-@query(with_ctes("""SELECT p.id AS processo_id, a.alvo_id, a.cliente_id, CASE WHEN p.id % 3 = 0 THEN 'ativo' END AS polo, 'busca_documento' AS criterio FROM processo p JOIN alvo a ON a.alvo_id = p.custkey WHERE p.id % 2 = 0 AND p.segredo""", "processo", "alvo"))
+@query(with_ctes("""SELECT p.id AS processo_id, a.alvo_id, a.cliente_id, CASE WHEN p.id % 3 = 0 THEN 'ativo' END AS polo, 'busca_documento' AS criterio FROM processo p JOIN alvo a ON a.alvo_id = p.custkey WHERE p.segredo""", "processo", "alvo"))
 def e02_match_by_searched_document(spark, d):
-    cases, targets = b.processo(spark, d).where("id % 2 = 0"), b.alvo(spark, d)
+    cases, targets = b.processo(spark, d), b.alvo(spark, d)
     searched = cases.join(targets, F.col("custkey") == F.col("alvo_id")).select(F.col("id").alias("processo_id"), F.col("valor").alias("documento"))
     names = searched.where("processo_id % 3 = 0").join(targets, F.col("documento") == F.col("valor")).select("processo_id", "alvo_id", F.explode(F.array(F.lit("terceiro"), F.lit("ativo"))).alias("polo"))
     return matching.match_by_searched_document(searched, targets, by_document(spark, d), names).select("processo_id", "alvo_id", "cliente_id", "polo", "criterio")
@@ -115,11 +115,11 @@ def e10_search_terms(spark, d):
     return out.select("tipo", "valor", F.array_join(F.transform("alvos", lambda x: F.concat_ws("/", x["cliente_id"].cast("string"), x["alvo_id"].cast("string"))), " ").alias("alvos"), "varrido_ate")
 
 
-@query(with_ctes("""SELECT p.id AS publicacao_id, c_custkey AS alvo_id, CASE WHEN p.disponivel < DATE '2024-01-15' THEN 'carga_inicial' ELSE 'monitoramento' END AS origem FROM publicacao p JOIN customer ON p.id % 100 = c_custkey % 100 WHERE c_custkey <= 300 AND p.disponivel >= DATE '2024-01-01' + (c_custkey % 20)::INT AND (p.id + c_custkey) % 3 > 0""", "publicacao"))
+@query(with_ctes("""SELECT p.id AS publicacao_id, c_custkey AS alvo_id, CASE WHEN p.disponivel < DATE '2024-01-15' THEN 'carga_inicial' ELSE 'monitoramento' END AS origem FROM publicacao p JOIN customer ON p.id // 2 = c_custkey // 3 WHERE p.disponivel >= DATE '2024-01-01' + (c_custkey % 20)::INT AND (p.id + c_custkey) % 3 > 0""", "publicacao"))
 def e11_link_publications(spark, d):
-    hits = b.publicacao(spark, d).select(F.col("id").alias("publicacao_id"), (F.col("id") % 100).alias("termo"), "disponivel")
+    hits = b.publicacao(spark, d).select(F.col("id").alias("publicacao_id"), F.floor(F.col("id") / 2).alias("termo"), "disponivel")
     k = F.col("c_custkey")
-    targets = table(spark, d, "customer").where(k <= 300).select((k % 100).alias("termo"), k.alias("alvo_id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 20).cast("int")).alias("inicio"), F.lit("2024-01-15").cast("date").alias("criado"))
+    targets = table(spark, d, "customer").select(F.floor(k / 3).alias("termo"), k.alias("alvo_id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 20).cast("int")).alias("inicio"), F.lit("2024-01-15").cast("date").alias("criado"))
     known = hits.join(targets, "termo").where("(publicacao_id + alvo_id) % 3 = 0").select("publicacao_id", "alvo_id")
     return matching.link_publications(hits, targets, known)
 
@@ -151,8 +151,8 @@ def e15_term_tasks(spark, d):
     return matching.term_tasks(rules, courts, cursors)
 
 
-@query(with_ctes("""SELECT p.id, max(u.desde)::VARCHAR AS vigente_desde FROM processo p LEFT JOIN (SELECT DISTINCT cliente_id, DATE '1995-01-01' + (150 * (id % 12))::INT AS desde FROM processo) u ON u.cliente_id = p.cliente_id AND u.desde <= p.data_distribuicao WHERE p.id % 4 = 0 GROUP BY p.id""", "processo"))
+@query(with_ctes("""SELECT p.id, max(u.desde)::VARCHAR AS vigente_desde FROM processo p LEFT JOIN (SELECT DISTINCT cliente_id, DATE '1995-01-01' + (150 * (id % 12))::INT AS desde FROM processo) u ON u.cliente_id = p.cliente_id AND u.desde <= p.data_distribuicao GROUP BY p.id""", "processo"))
 def e16_effective_units(spark, d):
     p = b.processo(spark, d)
     units = p.select("cliente_id", F.date_add(F.lit("1995-01-01").cast("date"), (150 * (F.col("id") % 12)).cast("int")).alias("vigente_desde")).distinct().withColumn("unidade", F.lit("u"))
-    return matching.effective_units(units, p.where("id % 4 = 0").select("cliente_id", "id", F.col("data_distribuicao").alias("dia")), ["cliente_id"]).select("id", "vigente_desde")
+    return matching.effective_units(units, p.select("cliente_id", "id", F.col("data_distribuicao").alias("dia")), ["cliente_id"]).select("id", "vigente_desde")

@@ -122,6 +122,6 @@ _FOLD = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 65), lambda
 
 
 @query(with_ctes(f"""SELECT id, q || '-' || lpad((98 - (q || substr(numero_cnj, 12, 4) || '8260100')::HUGEINT * 100 % 97)::VARCHAR, 2, '0') || '.' || substr(numero_cnj, 12, 4) || '.8.26.0100' AS ficticio
-  FROM (SELECT *, lpad(({_FOLD})::VARCHAR, 7, '0') AS q FROM (SELECT *, sha256(replace(replace(numero_cnj, '-', ''), '.', '')) AS h FROM processo WHERE id % 10 = 0))""", "processo"))
+  FROM (SELECT *, lpad(({_FOLD})::VARCHAR, 7, '0') AS q FROM (SELECT *, sha256(replace(replace(numero_cnj, '-', ''), '.', '')) AS h FROM processo))""", "processo"))
 def s07_pseudonymize_ids(spark, d):
-    return b.processo(spark, d).where("id % 10 = 0").select("id", ids.pseudonymous_cnj(F.col("numero_cnj")).alias("ficticio"))
+    return b.processo(spark, d).select("id", ids.pseudonymous_cnj(F.col("numero_cnj")).alias("ficticio"))
