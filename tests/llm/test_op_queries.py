@@ -1,4 +1,4 @@
-"""Each registered query over the smallest tables: columns, types, rows and digests as its contract has them."""
+"""Each registered query over small tables: columns, types, rows and digests as its contract has them."""
 
 import hashlib
 import re
@@ -22,8 +22,8 @@ def docs(spark):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
 
 
-def run(spark, docs, name, types):
-    out = queries.queries()[name](spark, SF)
+def run(spark, docs, name, types, sf=SF):
+    out = queries.queries()[name](spark, sf)
     assert dict(out.dtypes) | types == dict(out.dtypes)
     rows = {r.doc_id: r for r in out.collect()}
     assert set(rows) == set(docs) and out.count() == len(docs)
@@ -54,15 +54,17 @@ def test_personal_data(spark, docs):
     assert any(r.n_email for r in rows.values())
 
 
-def test_secrets(spark, docs):
-    rows = run(spark, docs, "op9_secrets", {"n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"})
+def test_secrets(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest tables have no secret
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = run(spark, docs, "op9_secrets", {"n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"}, sf)
     for i, r in rows.items():
         t = (docs[i] or "").replace("ſ", "#")
         base = sorted((m.start(), n, k, m.end()) for n, (k, p, g, least, f) in enumerate(BASE) for m in re.finditer(p, t, f) if len(m[g]) >= least)
         text = [f"{k}:{a}:{b}" for a, _, k, b in base]
         assert r.base_sha256 == hashlib.sha256(",".join(text).encode()).hexdigest() and set(text) <= set(r.spans.split(",") if r.spans else [])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[2] == k for x in base) for k in ("assign", "access", "hex")]
-    assert any(r.n_assign or r.n_access or r.n_hex for r in rows.values())
+    assert sum(r.n_assign > 0 for r in rows.values()) > 5 and sum(r.n_hex > 0 for r in rows.values()) > 5
 
 
 def test_weighted_sampling(spark, docs):
