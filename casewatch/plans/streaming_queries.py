@@ -15,8 +15,12 @@ from .matching_queries import E1
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset and Spark is on one machine."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="stream-")
     return f"{shared.rstrip('/')}/stream-{spark.sql('select uuid()').first()[0]}"
 
 
