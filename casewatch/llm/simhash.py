@@ -49,6 +49,9 @@ LEADERS, NEAREST = 8, 3
 FLIPS = ((0,), (1,), (2,), (0, 1))
 #: Share of pairs right at the limit that may share no entry.
 MISSED = 0.005
+#: Words of 64 bits in the bitmap of a set of shingles, and what ``_bounds`` gives.
+BITMAP = 4
+BOUND = "struct<n:long,shared:long," + ",".join(f"{name}{k}:long" for name in ("all", "mine") for k in range(BITMAP)) + ">"
 #: Where the number of a segment is put into the key of an entry.
 KEY_BITS = 48
 
@@ -199,11 +202,14 @@ def leader_links(classes: DataFrame, distance: int, draw: int) -> DataFrame:
 
 
 def _reach(a: str, b: str, similarity: float) -> Column:
-    """Whether two sets may be similar: known of each are its size and how many of its shingles others have, at most those
-    are common. Both numbers are in one long, null where they aren't known."""
-    size = lambda c: F.shiftright(c, 31)
-    common = F.least(*[F.col(c).bitwiseAND(F.lit((1 << 31) - 1)) for c in (a, b)])
-    return F.col(a).isNull() | F.col(b).isNull() | (common >= similarity * (size(a) + size(b) - common))
+    """Whether two sets may be similar, by their ``_bounds``; null where a bound isn't known.
+
+    Each bit of one set's ``mine`` that the other's ``all`` has not is by a shingle that the other lacks, and so are the
+    shingles that no other node has: the rest at most are common.
+    """
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}.mine{k}").bitwiseAND(F.bitwise_not(f"{y}.all{k}"))) for k in range(BITMAP)), F.lit(0))
+    common = F.least(F.col(f"{a}.shared") - lacks(a, b), F.col(f"{b}.shared") - lacks(b, a))
+    return F.col(a).isNull() | F.col(b).isNull() | (common >= similarity * (F.col(f"{a}.n") + F.col(f"{b}.n") - common))
 
 
 def crossing_links(classes: DataFrame, distance: int, similarity: float = 0.0) -> DataFrame:
@@ -215,13 +221,14 @@ def crossing_links(classes: DataFrame, distance: int, similarity: float = 0.0) -
     """
     few, many = classes.where("not many"), classes.where("many")
     every, extra = F.concat("own", "ball"), ("group", "bound")
-    sides = [
-        (_entries(few, every, "a_", extra), _entries(classes, "own", "b_", extra)),
-        (_entries(few, "own", "a_", extra), _entries(many, "ball", "b_", extra)),
-    ]
     close = (F.col("a_group") != F.col("b_group")) & (_apart("a_fp", "b_fp") <= distance) & _reach("a_bound", "b_bound", similarity)
+    once = F.col("b_many") | ~F.col("a_first") | (F.col("a_node") < F.col("b_node"))  # two rows of small groups share an entry once, not once each way
+    first = _entries(few, "own", "a_", extra).withColumn("a_first", F.lit(True)).union(_entries(few, "ball", "a_", extra).withColumn("a_first", F.lit(False)))
     pair = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
-    found = [a.join(b, "key").where(close).select(*pair) for a, b in sides]
+    found = [
+        first.join(_entries(classes, "own", "b_", (*extra, "many")), "key").where(close & once).select(*pair),
+        _entries(few, "own", "a_", extra).join(_entries(many, "ball", "b_", extra), "key").where(close).select(*pair),
+    ]
     # Entries that two large groups share: found from the groups alone, then their rows meet.
     rows = _entries(many, every, "a_", extra)
     own = _entries(many, "own", "b_", extra)
@@ -232,19 +239,25 @@ def crossing_links(classes: DataFrame, distance: int, similarity: float = 0.0) -
 
 
 def _bounds(classes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, bound) of the nodes with a crowded entry: size of the set of shingles, and how many of them another such node has.
+    """(node, bound) of the nodes with a crowded entry, for ``_reach``.
 
-    A dense cluster of texts a little less similar than asked for would make all
-    its pairs; edits that no other text has rule most of them out beforehand, and
-    none that is a link.
+    bound has the size n of the set of shingles, how many of them (shared) some
+    other such node has, a bitmap of all in BITMAP words, and the bits of it that
+    none but shared ones set. A dense cluster of texts a little less similar than
+    asked for would make all its pairs; what each text has that the other lacks
+    rules most of them out beforehand, and none that is a link.
     """
     entries = classes.select("node", F.explode(F.concat("own", "ball")).alias("key"))
     crowded = entries.groupBy("key").count().where(F.col("count") > CROWD).select("key")
     nodes = entries.join(small_side(crowded), "key").select("node").distinct()
     said = checkpoint(sets(nodes)).select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    single = said.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = said.groupBy("node").agg(F.first("n").alias("n")).join(single, "node", "left")
-    return sizes.select("node", (F.shiftleft(F.col("n").cast("long"), 31) + F.col("n") - F.coalesce("alone", F.lit(0))).alias("bound"))
+    bits = lambda name: [F.expr(f"coalesce(bit_or(if(pmod(shingle, {BITMAP}) = {k}, shiftleft(1L, cast(pmod(shiftright(shingle, 8), 64) as int)), 0L)), 0L)").alias(f"{name}{k}") for k in range(BITMAP)]
+    single = said.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    alone = single.groupBy("node").agg(F.count("*").alias("alone"), *bits("own"))
+    whole = said.groupBy("node").agg(F.first("n").cast("long").alias("n"), *bits("all")).join(alone, "node", "left")
+    mine = [F.col(f"all{k}").bitwiseAND(F.bitwise_not(F.coalesce(f"own{k}", F.lit(0)))).alias(f"mine{k}") for k in range(BITMAP)]
+    shared = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")
+    return whole.select("node", F.struct("n", shared, *[f"all{k}" for k in range(BITMAP)], *mine).alias("bound"))
 
 
 def _crowding(classes: DataFrame) -> int:
@@ -276,7 +289,7 @@ def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFr
             break
         work = left
     bounds = None if sets is None else small_side(_bounds(grouped, sets))
-    grouped = grouped.withColumn("bound", F.lit(None).cast("long")) if bounds is None else grouped.join(bounds, "node", "left")
+    grouped = grouped.withColumn("bound", F.lit(None).cast(BOUND)) if bounds is None else grouped.join(bounds, "node", "left")
     rest = keep(crossing_links(grouped, distance, similarity))
     return rest if links is None else links.union(rest)
 

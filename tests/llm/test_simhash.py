@@ -67,7 +67,7 @@ def test_no_link_is_missed_at_any_radius(spark):
             for k in rng.choice(63, n, replace=False):
                 x ^= 1 << int(k)
             fps.add(x)
-    df = spark.createDataFrame([(f, f, f, False, None) for f in fps], "fp long, node long, group long, many boolean, bound long")
+    df = spark.createDataFrame([(f, f, f, False, None) for f in fps], "fp long, node long, group long, many boolean, bound " + simhash.BOUND)
     for distance, segments in ((3, 2), (3, 4), (5, 3)):
         want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= distance}
         assert {tuple(r) for r in simhash.crossing_links(simhash.full_balls(df, distance, segments), distance).collect()} == want
