@@ -25,6 +25,9 @@ def test_districts_and_sides(spark):
     assert values(spark, ["Comarca de São Paulo", "FORO DA CAPITAL", " ", None], text.canonical_district) == ["SAO PAULO", "CAPITAL", None, None]
     units = ["Foro Central Cível", "Foro de Ribeirão Preto", "Foro Distrital de Itupeva", "Araçatuba/DEECRIM UR2", "Foro 1 - Núcleo 4.0", "Foro das Execuções Fiscais", None]
     assert values(spark, units, text.district_from_court_unit) == ["São Paulo", "Ribeirão Preto", "Itupeva", "Araçatuba", None, None, None]
+    units = ["foro regional I - Santana", "Foro de", "Foro da Vara Única", " /x", "Assis / Vara", "Bauru/", "Foro  dos  Poços de Caldas", "Foro Distrital", "Lins 2/x", ""]
+    assert values(spark, units, text.district_from_court_unit) == ["São Paulo", None, None, None, "Assis", None, "Poços de Caldas", None, None, None]
+    assert values(spark, ["Comarca de", "foro dos índios do sul", "Comarca Nova", "Foro"], text.canonical_district) == ["COMARCA DE", "INDIOS DO SUL", "COMARCA NOVA", "FORO"]
     assert values(spark, ["Reqte.:", "Réu", "Perito", None], text.side_from_label) == ["ativo", "passivo", "terceiro", "terceiro"]
     assert values(spark, ["a", "P", "x", None], text.side_from_code) == ["ativo", "passivo", "desconhecido", "desconhecido"]
 
@@ -35,6 +38,8 @@ def test_documents(spark):
     assert values(spark, ["52998224725", "11222333000181"], ids.format_document) == ["529.982.247-25", "11.222.333/0001-81"]
     assert values(spark, ["52998224725", "123"], ids.mask_document) == ["52*******25", "***"]
     said = ["cpf 529.982.247-25, cnpj 11222333000181; 1000123-35.2024.8.26.0100 e 10001233520248260100"]
+    forms = ["52998224725 x52998224725 12.ABC.345/01DE-35 12ABC34501DE35 529982247-25 12.345.678/0001-9", None]
+    assert values(spark, forms, text.mask_documents_in_text) == ["[documento] x52998224725 [documento] [documento] 529982247-25 12.345.678/0001-9", None]
     assert values(spark, said, text.mask_documents_in_text) == ["cpf [documento], cnpj [documento]; 1000123-35.2024.8.26.0100 e 10001233520248260100"]
 
 
