@@ -24,16 +24,26 @@ def rank(c: Column, values: tuple[str, ...]) -> Column:
     return out
 
 
+def matchable(rows: DataFrame) -> DataFrame:
+    """Rows that take part in matching: not under seal (segredo) and not switched off (ativo), where those columns are given; null is neither."""
+    if "segredo" in rows.columns:
+        rows = rows.where(~F.coalesce("segredo", F.lit(False)))
+    if "ativo" in rows.columns:
+        rows = rows.where(F.coalesce("ativo", F.lit(True)))
+    return rows
+
+
 def match_by_document(parties: DataFrame, targets: DataFrame) -> DataFrame:
-    """(processo_id, alvo_id, cliente_id, polo, confianca, criterio): parties whose confirmed document is an active target's."""
-    p = parties.where("documento is not null")
+    """(processo_id, alvo_id, cliente_id, polo, confianca, criterio): parties whose confirmed document is an active target's; none of sealed cases (``matchable``)."""
+    p, targets = matchable(parties).where("documento is not null"), matchable(targets)
     if "confianca_vinculo" in p.columns:
         p = p.where("confianca_vinculo = 'confirmada'")
     return p.join(targets, p["documento"] == targets["valor"]).select("processo_id", "alvo_id", "cliente_id", "polo", F.lit("confirmada").alias("confianca"), F.lit("documento").alias("criterio"))
 
 
 def match_by_searched_document(searched: DataFrame, targets: DataFrame, by_document: DataFrame, by_name: DataFrame) -> DataFrame:
-    """Cases that a court's query for a document returned, where the document isn't on the cover; side of the best match by name, or null."""
+    """Cases that a court's query for a document returned, where the document isn't on the cover; side of the best match by name, or null. Sealed cases and inactive targets as in ``matchable``."""
+    searched, targets = matchable(searched), matchable(targets)
     found = searched.join(targets, searched["documento"] == targets["valor"]).select("processo_id", "alvo_id", "cliente_id").distinct()
     found = found.join(by_document, ["processo_id", "alvo_id"], "left_anti")
     side = by_name.groupBy("processo_id", "alvo_id").agg(F.min_by("polo", rank(F.col("polo"), SIDES)).alias("polo"))
@@ -46,8 +56,9 @@ def match_by_name(parties: DataFrame, targets: DataFrame, percent: int = 90) ->
     ``parties``: processo_id, polo, nome_normalizado, documento. ``targets``:
     alvo_id, cliente_id, tipo, nome, one row for each name (a name target's
     value, any target's variations). A party with a document is never matched
-    to a document target by name.
+    to a document target by name. Sealed cases and inactive targets as in ``matchable``.
     """
+    parties, targets = matchable(parties), matchable(targets)
     pairs = similarity_join(parties.select(F.col("nome_normalizado").alias("name")), targets.select(F.col("nome").alias("name")), percent)
     near = parties.join(pairs, parties["nome_normalizado"] == pairs["left_name"]).join(targets, F.col("right_name") == targets["nome"])
     near = near.where((F.col("tipo") != "documento") | F.col("documento").isNull())
@@ -82,8 +93,9 @@ def match_rules(cases: DataFrame, rules: DataFrame, sides: DataFrame) -> DataFra
     A rule is joined by an equality on its most selective filter (class, else
     subject, else district); the other filters are tested on what that finds.
     Rules without any of the three are joined to all cases. Rules without a
-    filter match nothing.
+    filter match nothing. Sealed cases and inactive rules as in ``matchable``.
     """
+    cases, rules = matchable(cases), matchable(rules)
     districts = F.transform("comarcas", text.canonical_district)
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     r = rules.withColumn("comarcas", districts).where(some("classes") | some("assuntos") | some("comarcas") | some("termos") | F.col("valor_min_centavos").isNotNull() | F.col("polo").isNotNull())
@@ -129,7 +141,9 @@ def match_terms(cases: DataFrame, terms: DataFrame) -> DataFrame:
     ``terms``: regra_id, tipo_termo (acao, assunto, frase), texto_termo, tribunal_sigla
     or null. Actions and subjects are matched by equality of keys; a phrase by
     equality with a run of as many words of the cover, so there is no cross join.
+    Sealed cases and inactive terms as in ``matchable``.
     """
+    cases, terms = matchable(cases), matchable(terms)
     t = terms.select("regra_id", "tipo_termo", text.tpu_key(F.col("texto_termo")).alias("key_"), F.upper("tribunal_sigla").alias("sigla_")).where("key_ <> ''")
     words = F.split("capa", " ")
     lengths = [r.n for r in t.where("tipo_termo = 'frase'").select(F.size(F.split("key_", " ")).alias("n")).distinct().collect()]  # as many as there are lengths of phrases

@@ -75,10 +75,15 @@ def parte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.col("l_orderkey").alias("processo_id"), F.col("l_suppkey").alias("pessoa_id"), side.alias("polo"), F.col("l_linenumber").cast("long").alias("ordem"))
 
 
+def reus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defendant of each case, sealed or not: the order's customer, by document."""
+    case = processo(spark, sf_dir).select(F.col("id").alias("processo_id"), "custkey", "segredo")
+    return case.join(pessoa(spark, sf_dir).select("custkey", "nome", "documento"), "custkey").select("processo_id", "nome", "documento", F.lit("passivo").alias("polo"), "segredo")
+
+
 def reu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The defendant of each case that isn't sealed: the order's customer, by document."""
-    case = processo(spark, sf_dir).where("not segredo").select(F.col("id").alias("processo_id"), "custkey")
-    return case.join(pessoa(spark, sf_dir).select("custkey", "nome", "documento"), "custkey").select("processo_id", "nome", "documento", F.lit("passivo").alias("polo"))
+    """The defendant of each case that isn't sealed."""
+    return reus(spark, sf_dir).where("not segredo").drop("segredo")
 
 
 def alvo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ E1 = "SELECT processo_id, alvo_id, a.cliente_id, polo, 'confirmada' AS confianca
 
 
 def by_document(spark, d):
-    return matching.match_by_document(b.reu(spark, d), b.alvo(spark, d))
+    return matching.match_by_document(b.reus(spark, d), b.alvo(spark, d))
 
 
 @query(with_ctes(E1, "reu", "alvo"))
@@ -59,8 +59,8 @@ def e04_best_match(spark, d):
 
 
 def _cases(spark, d):
-    p = b.processo(spark, d).where("not segredo")
-    return p.select("id", "classe_codigo", F.array("assunto_codigo").alias("assuntos"), text.canonical_district(F.col("comarca")).alias("comarca"), "valor_causa_centavos", matching.cover_text(F.col("classe_nome"), F.col("assunto_nome")).alias("capa"), "classe_nome", F.array("assunto_nome").alias("assunto_nomes"), F.when(F.col("id") % 2 == 0, "TJSP").otherwise("TJRJ").alias("tribunal"), "cliente_id")
+    p = b.processo(spark, d)
+    return p.select("id", "segredo", "classe_codigo", F.array("assunto_codigo").alias("assuntos"), text.canonical_district(F.col("comarca")).alias("comarca"), "valor_causa_centavos", matching.cover_text(F.col("classe_nome"), F.col("assunto_nome")).alias("capa"), "classe_nome", F.array("assunto_nome").alias("assunto_nomes"), F.when(F.col("id") % 2 == 0, "TJSP").otherwise("TJRJ").alias("tribunal"), "cliente_id")
 
 
 def _rules(spark, d):

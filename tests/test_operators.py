@@ -81,6 +81,23 @@ def test_rule_without_filter_matches_nothing_and_side_needs_target(spark):
     assert rows(matching.match_rules(cases, rules, sides).select("processo_id", "regra_id", "confianca")) == [(1, 2, "confirmada"), (1, 4, "a_verificar")]
 
 
+def test_sealed_cases_and_inactive_targets_never_match(spark):
+    parties = spark.createDataFrame([(1, "d1", "ANA LUZ SA", "passivo", False), (2, "d1", "ANA LUZ SA", "passivo", True), (3, "d2", "JOSE SOUZA", "ativo", None)], "processo_id long, documento string, nome_normalizado string, polo string, segredo boolean")
+    targets = spark.createDataFrame([(10, 1, "d1", "nome", "ANA LUZ SA", True), (11, 1, "d1", "nome", "ANA LUZ SA", False), (12, 1, "d2", "nome", "JOSE SOUZA", None)], "alvo_id long, cliente_id long, valor string, tipo string, nome string, ativo boolean")
+    found = matching.match_by_document(parties, targets)
+    assert rows(found.select("processo_id", "alvo_id")) == [(1, 10), (3, 12)]
+    assert rows(matching.match_by_name(parties, targets).select("processo_id", "alvo_id")) == [(1, 10), (3, 12)]
+    assert rows(matching.match_by_searched_document(parties, targets, found.where("false"), found).select("processo_id", "alvo_id")) == [(1, 10), (3, 12)]
+    cases = spark.createDataFrame([(1, 7, False), (2, 7, True)], "id long, classe_codigo long, segredo boolean").selectExpr(
+        "*", "array(1L) assuntos", "'X' comarca", "1L valor_causa_centavos", "'COMUM' capa", "'Comum' classe_nome", "array('a') assunto_nomes", "'TJSP' tribunal"
+    )
+    rules = spark.createDataFrame([(1, True), (2, False)], "regra_id long, ativo boolean").selectExpr(
+        "*", "1L cliente_id", "array(7L) classes", "array(1L) assuntos", "cast(null as array<string>) comarcas", "cast(null as array<string>) termos", "0L valor_min_centavos", "cast(null as string) polo", "'acao' tipo_termo", "'comum' texto_termo", "'TJSP' tribunal_sigla"
+    )
+    assert rows(matching.match_rules(cases, rules, found.where("false")).select("processo_id", "regra_id")) == [(1, 1)]
+    assert rows(matching.match_terms(cases, rules)) == [(1, 1)]
+
+
 def test_promotion_is_not_creation(spark):
     s = "processo_id long, alvo_id long, polo string, confianca string, criterio string"
     old = spark.createDataFrame([(1, 1, None, "a_verificar", "nome"), (2, 1, "ativo", "confirmada", "documento")], s)
