@@ -161,16 +161,20 @@ def _run(words: Column, n: int):
     return lambda i: F.struct(F.lit("frase").alias("tipo_termo"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("key_"))
 
 
-def merge_occurrences(existing: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """One row a key with criada and promovida: new ones are added, a_verificar becomes confirmada with the new criterion, a null side is filled."""
-    values = ["polo", "confianca", "criterio"]
+def merge_occurrences(existing: DataFrame, found: DataFrame, key: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key with criada and promovida: new ones are added, a_verificar becomes confirmada with the new criterion, a null side is filled.
+
+    ``carried`` are columns of both that keep what an occurrence was made with.
+    """
+    values = ["polo", "confianca", "criterio", *carried]
     a = existing.select(*key, *[F.col(c).alias(f"o_{c}") for c in values])
     b = found.select(*key, *[F.col(c).alias(f"n_{c}") for c in values])
     j = a.join(b, key, "full_outer")
     created = F.col("o_confianca").isNull()
     promoted = F.coalesce((F.col("o_confianca") == "a_verificar") & (F.col("n_confianca") == "confirmada"), F.lit(False))
     new = lambda c: F.when(created | promoted, F.coalesce(f"n_{c}", f"o_{c}")).otherwise(F.col(f"o_{c}")).alias(c)
-    return j.select(*key, F.coalesce("o_polo", "n_polo").alias("polo"), new("confianca"), new("criterio"), created.alias("criada"), promoted.alias("promovida"))
+    kept = [F.when(created, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in carried]
+    return j.select(*key, F.coalesce("o_polo", "n_polo").alias("polo"), new("confianca"), new("criterio"), *kept, created.alias("criada"), promoted.alias("promovida"))
 
 
 def search_terms(targets: DataFrame, state: DataFrame) -> DataFrame:

@@ -42,6 +42,12 @@ def load_alert_config(config: Column) -> Column:
     return F.struct(*[get(weights, n, w) for n, w in WEIGHTS.items()], *[get(raw, n, d) for n, (d, _) in top.items()])
 
 
+def default_config() -> Column:
+    """What ``load_alert_config`` gives for a client that sets nothing."""
+    top = {"limite_valor_centavos": None, "limiar_todos_canais": ALL_CHANNELS, "limiar_email_imediato": IMMEDIATE}
+    return F.struct(*[F.lit(v).cast("long").alias(n) for n, v in (WEIGHTS | top).items()])
+
+
 def is_fast_track_class(name: Column) -> Column:
     key = text.tpu_key(name)
     padded = F.concat(F.lit(" "), key, F.lit(" "))
@@ -69,7 +75,7 @@ def fan_out_alerts(occurrences: DataFrame, clients: DataFrame) -> DataFrame:
     """(ocorrencia, cliente_id, canal, destino, modalidade) of newly created occurrences.
 
     ``clients``: cliente_id, emails and whatsapp array<string>. Distinct valid
-    e-mail addresses; phones only where all channels are due. No contact, no alert.
+    e-mail addresses; distinct phones, which are always told at once. No contact, no alert.
     """
     j = occurrences.where("criada").join(clients, "cliente_id")
     mails = F.array_distinct(F.filter(F.transform("emails", lambda e: F.lower(F.trim(e))), lambda e: F.contains(e, F.lit("@"))))
@@ -77,7 +83,7 @@ def fan_out_alerts(occurrences: DataFrame, clients: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     ways = F.concat(
         F.transform(F.coalesce(mails, none), lambda d: F.struct(F.lit("email").alias("canal"), d.alias("destino"), F.when(F.col("modalidade") == MODES[2], "resumo_diario").otherwise("imediato").alias("envio"))),
-        F.transform(F.when(F.col("modalidade") == MODES[0], F.coalesce(phones, none)).otherwise(none), lambda d: F.struct(F.lit("whatsapp").alias("canal"), d.alias("destino"), F.lit("imediato").alias("envio"))),
+        F.transform(F.coalesce(phones, none), lambda d: F.struct(F.lit("whatsapp").alias("canal"), d.alias("destino"), F.lit("imediato").alias("envio"))),
     )
     return j.select("ocorrencia", "cliente_id", F.explode(ways).alias("w")).select("ocorrencia", "cliente_id", "w.*")
 

@@ -57,7 +57,7 @@ def _alerts(spark, d):
 
 
 _ALERTS = f"""SELECT processo_id || '/' || alvo_id AS ocorrencia, cliente_id, 'email' AS canal, 'c' || cliente_id || '@x.com' AS destino, CASE WHEN score >= 30 THEN 'imediato' ELSE 'resumo_diario' END AS envio, score, numero_cnj FROM sc WHERE processo_id % 2 = 0 AND cliente_id % 4 > 0
-UNION ALL SELECT processo_id || '/' || alvo_id, cliente_id, 'whatsapp', '5511999998888', 'imediato', score, numero_cnj FROM sc WHERE processo_id % 2 = 0 AND score >= 60"""
+UNION ALL SELECT processo_id || '/' || alvo_id, cliente_id, 'whatsapp', '5511999998888', 'imediato', score, numero_cnj FROM sc WHERE processo_id % 2 = 0"""
 
 
 @query(with_ctes("SELECT ocorrencia, cliente_id, canal, destino, envio FROM al", "reu", "alvo", "processo", sc=_SCORED, al=_ALERTS))

@@ -58,12 +58,12 @@ def e04_best_match(spark, d):
     return matching.best_match(_matches(spark, d)).select("processo_id", "alvo_id", "polo", "confianca", "criterio")
 
 
-def _cases(spark, d):
+def cases(spark, d):
     p = b.processo(spark, d)
     return p.select("id", "segredo", "classe_codigo", F.array("assunto_codigo").alias("assuntos"), text.canonical_district(F.col("comarca")).alias("comarca"), "valor_causa_centavos", matching.cover_text(F.col("classe_nome"), F.col("assunto_nome")).alias("capa"), "classe_nome", F.array("assunto_nome").alias("assunto_nomes"), F.when(F.col("id") % 2 == 0, "TJSP").otherwise("TJRJ").alias("tribunal"), "cliente_id")
 
 
-def _rules(spark, d):
+def rules(spark, d):
     """One rule of each kind for each region."""
     r = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"))
     kinds = F.explode(F.sequence(F.lit(0), F.lit(5)))
@@ -79,7 +79,7 @@ def _rules(spark, d):
   CASE t WHEN 0 THEN classe_codigo IN (1116, 40) AND comarca IN ('NATION_1', 'NATION_2', 'NATION_3') WHEN 1 THEN assunto_codigo = 9580 AND valor_causa_centavos >= 15000000 + k * 1000000 WHEN 2 THEN comarca IN ('NATION_1', 'NATION_2', 'NATION_3')
     WHEN 3 THEN (classe_codigo = 181 OR assunto_codigo = 10433) AND valor_causa_centavos >= 15000000 + k * 1000000 WHEN 4 THEN EXISTS (SELECT 1 FROM alvo a WHERE a.alvo_id = p.custkey AND a.cliente_id = k) ELSE false END""", "processo", "alvo"))
 def e05_e07_match_rules(spark, d):
-    return matching.match_rules(_cases(spark, d), _rules(spark, d), by_document(spark, d)).select("processo_id", "regra_id")
+    return matching.match_rules(cases(spark, d), rules(spark, d), by_document(spark, d)).select("processo_id", "regra_id")
 
 
 @query(with_ctes("""SELECT id AS processo_id, t AS regra_id FROM processo, (SELECT unnest([1, 2, 3, 4]) AS t) WHERE NOT segredo AND CASE t WHEN 1 THEN classe_codigo = 1116 WHEN 2 THEN assunto_codigo = 10433 AND id % 2 = 0 WHEN 3 THEN classe_codigo = 92 ELSE classe_codigo = 181 END""", "processo"))
@@ -87,7 +87,7 @@ def e06_match_terms(spark, d):
     r = table(spark, d, "region").where("r_regionkey between 1 and 4").select(F.col("r_regionkey").alias("regra_id"))
     k = F.col("regra_id")
     terms = r.select("regra_id", F.when(k == 1, "acao").when(k == 2, "assunto").otherwise("frase").alias("tipo_termo"), F.when(k == 1, "execução fiscal").when(k == 2, "DANO MORAL").when(k == 3, "falta de pagamento").otherwise("apreensao").alias("texto_termo"), F.when(k == 2, "TJSP").alias("tribunal_sigla"))
-    return matching.match_terms(_cases(spark, d), terms)
+    return matching.match_terms(cases(spark, d), terms)
 
 
 @query(with_ctes(f"""WITH best AS ({_BEST}), o AS (SELECT processo_id, alvo_id, CASE WHEN alvo_id % 3 > 0 THEN polo END AS polo, 'a_verificar' AS confianca, 'nome' AS criterio FROM best WHERE processo_id % 2 = 0)

@@ -46,7 +46,14 @@ def p03_classify_payment_events(spark, d):
     return s.classify_payment_events(events, subs).select("ordem", "resultado")
 
 
-@query()
+#: The payments of a subscription one after the other; {all}: whether subscriptions without any are there too.
+APPLIED = """WITH p AS (SELECT user_id AS assinatura, event_id // 2 AS pagamento, min({{'d': ts::DATE, 'm': CASE WHEN event_id % 10 = 0 THEN 12 ELSE 1 END}}) AS x FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+l AS (SELECT assinatura, list({{'d': x.d, 'm': x.m}} ORDER BY x.d, pagamento, x.m) AS l FROM p GROUP BY 1)
+SELECT assinatura, ((list_reduce(list_prepend({{'d': DATE '2024-01-10', 'm': 0}}, coalesce(l, [])), lambda a, x: {{'d': (greatest(a.d, x.d) + to_months(x.m))::DATE, 'm': 0}})).d)::VARCHAR AS vigente_ate, coalesce(len(l), 0) AS pagamentos
+FROM (SELECT DISTINCT user_id AS assinatura FROM events) LEFT JOIN l USING (assinatura) WHERE l IS NOT NULL OR {all}"""
+
+
+@query(APPLIED.format(all="true"))
 def p04_apply_payments(spark, d):
     e, k = table(spark, d, "events"), F.col("event_id")
     pay = e.where("event_type = 'purchase'").select(F.col("user_id").alias("assinatura"), F.floor(k / 2).alias("pagamento"), F.to_date("ts").alias("pago_em"), F.when(k % 10 == 0, 12).otherwise(1).alias("meses"))

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import matching, scoring
-from ..sources import sinks
+from ..sources.keyed import KeyedTable, latest
 
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
 
@@ -24,28 +24,32 @@ def stream_publications(items: DataFrame, delay: str = "1 day") -> DataFrame:
     return items.withWatermark("disponivel_em", delay).dropDuplicatesWithinWatermark(["fonte", "id_externo"])
 
 
-def stream_new_cases(rows: DataFrame) -> DataFrame:
-    """(varredura, numero_cnj, avisa) the first time a sweep returns a number; ``base`` rows, of its first run, are silent."""
+def stream_new_cases(rows: DataFrame, delay: str = "1 day", keep_days: int = 730) -> DataFrame:
+    """(varredura, numero_cnj, avisa) the first time a sweep returns a number; ``base`` rows, of its first run, are silent.
+
+    ``rows``: varredura, numero_cnj, base, vista_em (timestamp). A number that a
+    sweep hasn't returned for ``keep_days`` of event time is forgotten; if it
+    came back after that it would be new again.
+    """
+    keep = keep_days * 86_400_000
 
     def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        base = [bool(f.base.any()) for f in frames]
-        if not state.exists:
-            state.update((True,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        base, last = [], 0
+        for f in frames:
+            base.append(bool(f.base.any()))
+            last = max(last, int(f.vista_em.max().timestamp() * 1000))
+        was = state.get[0] if state.exists else None
+        last = max(last, was or 0)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
+        if was is None:
             yield pd.DataFrame({"varredura": [key[0]], "numero_cnj": [key[1]], "avisa": [not any(base)]})
 
-    return rows.groupBy("varredura", "numero_cnj").applyInPandasWithState(first, "varredura long, numero_cnj string, avisa boolean", "seen boolean", "append", NO_TIMEOUT)
-
-
-def match_batch(targets: DataFrame, outbox: str):
-    """A function for foreachBatch: parties of new cases against targets, best match each, scored, into the outbox."""
-
-    def run(parties: DataFrame, batch_id: int) -> None:
-        best = matching.best_match(matching.match_by_document(parties, targets))
-        scored = best.withColumn("score", scoring.urgency_score({"polo_passivo": F.col("polo") == "passivo"}))
-        alerts = scored.select(F.concat_ws("/", "processo_id", "alvo_id").alias("ocorrencia"), F.lit("email").alias("canal"), F.col("cliente_id").cast("string").alias("destino"), "score", scoring.alert_mode(F.col("score")).alias("modalidade"))
-        sinks.write_outbox(alerts, outbox)
-
-    return run
+    rows = rows.withWatermark("vista_em", delay).groupBy("varredura", "numero_cnj")
+    return rows.applyInPandasWithState(first, "varredura long, numero_cnj string, avisa boolean", "vista long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_error_rate(runs: DataFrame, percent: int = 10, least: int = 10, delay: str = "10 minutes") -> DataFrame:
@@ -60,28 +64,68 @@ def stream_daily_volume(runs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return g.select(F.to_date("w.start").alias("dia"), "tribunal", "total")
 
 
-def stream_payments(payments: DataFrame) -> DataFrame:
+class _Payments(StatefulProcessor):
+    """The end of a subscription as a value, its payments' ids as a map to the day they were told on, and a timer for the oldest."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.end = handle.getValueState("fim", "ate string, pagamentos long")
+        self.told = handle.getMapState("contados", "pagamento long", "dito_em long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        until, n = self.end.get() if self.end.exists() else (None, 0)
+        now = max(timerValues.getCurrentWatermarkInMs(), 0)
+        first = None
+        for r in pd.concat(list(rows)).sort_values(["pago_em", "pagamento", "meses"], kind="stable").itertuples():
+            if self.told.containsKey((r.pagamento,)):
+                continue
+            at = max(int(r.dito_em.timestamp() * 1000), now)
+            self.told.updateValue((r.pagamento,), (at,))
+            first = at if first is None else min(first, at)
+            start = max(pd.Timestamp(until if until is not None else r.vigente_ate), pd.Timestamp(r.pago_em))
+            until, n = (start + pd.DateOffset(months=int(r.meses))).date().isoformat(), n + 1
+        self.end.update((until, n))
+        if first is not None and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(first + self.keep)
+        yield pd.DataFrame({"assinatura": [key[0]], "vigente_ate": [until], "pagamentos": [n]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Forget ids told so long ago; the timer goes on with the oldest of the rest."""
+        due, rest = expiredTimerInfo.getExpiryTimeInMs() - self.keep, []
+        for k, (at,) in list(self.told.iterator()):
+            if at <= due:
+                self.told.removeKey(k)
+            else:
+                rest.append(at)
+        if rest:
+            self.handle.registerTimer(min(rest) + self.keep)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_payments(payments: DataFrame, delay: str = "1 day", keep_days: int = 60) -> DataFrame:
     """(assinatura, vigente_ate, pagamentos) after each batch: every payment extends its subscription once, however often it is told.
 
-    ``payments``: assinatura, pagamento, pago_em (date), meses, vigente_ate (the end before the first payment).
+    ``payments``: assinatura, pagamento, pago_em (date), meses, vigente_ate (the
+    end before the first payment), dito_em (timestamp of the notice). Ids are
+    remembered for ``keep_days`` of event time after their first notice, so
+    that state follows the payments of that time and not all there ever were.
+    A later repeat would count again: notices are repeated within days.
     """
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, seen = state.get if state.exists else (None, [])
-        done = set(seen)
-        for r in pd.concat(list(frames)).sort_values(["pago_em", "pagamento", "meses"], kind="stable").itertuples():
-            if r.pagamento not in done:
-                done.add(r.pagamento)
-                start = max(pd.Timestamp(until if until is not None else r.vigente_ate), pd.Timestamp(r.pago_em))
-                until = (start + pd.DateOffset(months=int(r.meses))).date().isoformat()
-        state.update((until, sorted(done)))
-        yield pd.DataFrame({"assinatura": [key[0]], "vigente_ate": [until], "pagamentos": [len(done)]})
-
-    return payments.groupBy("assinatura").applyInPandasWithState(fold, "assinatura long, vigente_ate string, pagamentos long", "ate string, vistos array<bigint>", "update", NO_TIMEOUT)
+    keyed = payments.withWatermark("dito_em", delay).groupBy("assinatura")
+    return keyed.transformWithStateInPandas(_Payments(keep_days * 86_400_000), "assinatura long, vigente_ate string, pagamentos long", "Update", "EventTime")
 
 
 def stream_consecutive_failures(runs: DataFrame, k: int = 2) -> DataFrame:
-    """(sentinela, id, evento): aberto at the k-th failure running, resolvido at the first success after."""
+    """(sentinela, id, evento): aberto at the k-th failure running, resolvido at the first success after.
+
+    Only sentinels that are failing have state: a success clears it.
+    """
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failed, is_open = state.get if state.exists else (0, False)
@@ -91,40 +135,65 @@ def stream_consecutive_failures(runs: DataFrame, k: int = 2) -> DataFrame:
             if is_open != (failed >= k or (is_open and failed > 0)):
                 is_open = not is_open
                 out.append((key[0], r.id, "aberto" if is_open else "resolvido"))
-        state.update((failed, is_open))
+        if failed:
+            state.update((failed, is_open))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["sentinela", "id", "evento"])
 
     return runs.groupBy("sentinela").applyInPandasWithState(count, "sentinela long, id long, evento string", "falhas int, aberto boolean", "append", NO_TIMEOUT)
 
 
-def upsert_batch(path: str, key: list[str], updated: str):
+def upsert_batch(table: KeyedTable, updated: str, writer: str = "stream"):
     """A function for foreachBatch: late rows are merged by the time of their update, none is dropped for its age.
 
-    The table's versions lie side by side under ``path``, so that a batch that is
-    run again writes the same version again.
+    A batch reads and writes the parts of the table that it has keys in; one that is run again changes nothing.
     """
+    combine = latest(table.key, updated)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(*key).agg(F.max(F.struct(updated, *[c for c in batch.columns if c not in (*key, updated)])).alias("x_")).select(*key, "x_.*")
-        if batch_id > 0:
-            old = spark.read.schema(new.schema).parquet(f"{path}/v{batch_id - 1}")
-            both = old.unionByName(new)
-            new = both.groupBy(*key).agg(F.max(F.struct(updated, *[c for c in new.columns if c not in (*key, updated)])).alias("x_")).select(*key, "x_.*")
-        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        table.merge(batch, combine, writer, batch_id)
 
     return run
 
 
+def with_rocksdb(spark: SparkSession) -> None:
+    """State on the executors' disks: needed by value, map and timer state, and by any that grows."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_batches(stream: DataFrame, checkpoint: str, put, mode: str = "update") -> None:
+    """Everything that is there now, by ``put`` (batch, id); begun again with the same checkpoint it goes on after that."""
+    with_rocksdb(stream.sparkSession)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def fed(rows: DataFrame, folder: str, cuts: list[Column]) -> Iterator[DataFrame]:
+    """Stream over ``rows`` as they arrive: after each of the slices (conditions, that share them out) is written, the stream of all so far."""
+    spark = rows.sparkSession
+    for cut in cuts:
+        rows.where(cut).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)
+
+
+def appender(folder: str):
+    """A function for foreachBatch: a batch, with batch_, in a folder of its own, which a repeated batch writes again."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/run={batch_id}")
+
+    return put
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
     """All output of a stream over what is there now, with batch_, by way of ``folder``."""
+    run_batches(stream, f"{folder}/state", appender(folder), mode)
+    return outputs(stream, folder)
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{folder}/out")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema.add("batch_", "long")).parquet(f"{folder}/out")
+def outputs(stream: DataFrame, folder: str) -> DataFrame:
+    """What ``appender`` wrote so far."""
+    return stream.sparkSession.read.schema(stream.schema.add("batch_", "long")).parquet(f"{folder}/out/run=*")
 
 
 def last_of_each(rows: DataFrame, key: list[str]) -> DataFrame:

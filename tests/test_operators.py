@@ -170,13 +170,7 @@ def test_names_of_other_pages_are_anonymised_too(spark):
     assert out[3] == ("a Jane-Smith, de Pessoa 1-2", True) and out[4] == ("Maria Clara de Souza", False)
 
 
-def test_outbox_is_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([("o1", "email", "a"), ("o1", "email", "a"), ("o2", "email", "b")], "ocorrencia string, canal string, destino string")
-    for _ in range(2):
-        sinks.write_outbox(df, str(tmp_path / "outbox"))
-    assert spark.read.parquet(str(tmp_path / "outbox")).count() == 2
-
-
 def test_tenant_filter(spark):
     df = spark.createDataFrame([(1, 1, "x"), (2, 2, "x")], "id long, cliente_id long, status string")
     assert rows(normalize.filter_rows(df, 1)) == [(1, 1, "x")]
+
