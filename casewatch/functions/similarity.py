@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,27 +20,60 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
-def similarity_join(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(left_name, right_name) of distinct names with similarity of ``percent`` / 100 or more.
+#: Names with one trigram in their prefix from which its list is split.
+LIST = 2_000
+
+
+def _prefixes(sets: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+    """(name, n, pre, r, t) for each trigram t of a name's prefix: its place r from 1, the prefix and the set's size."""
+    each = sets.select("name", F.size("g").alias("n"), F.explode("g").alias("t")).join(often, "t")
+    line = each.groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    length = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
+    line = line.select("name", "n", F.slice(F.transform("o", lambda x: x["t"]), F.lit(1), length).alias("pre"))
+    return line.select("name", "n", "pre", F.posexplode("pre").alias("r", "t")).withColumn("r", F.col("r") + 1)
+
+
+def _split(rows: DataFrame, parts: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows of a long list dealt over its parts by their names, once for each part of the other side's list."""
+    j = rows.join(parts, "t", "left")
+    n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+    return j.withColumn(f"{own}_", F.pmod(F.xxhash64("name"), n)).withColumn(f"{other}_", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).drop(own, other)
+
 
-    Both sides have one column, ``name``. Prefix filter: with trigrams ordered
-    from rare to common, two similar sets share one within their first
-    n - ceil(t * n) + 1, so that an equi-join on those finds all pairs. Sizes
-    are compared first, then the exact sets, all in integers.
+def candidates(left: DataFrame, right: DataFrame, percent: int, exact: bool = False) -> DataFrame:
+    """(left_name, right_name), each once: pairs of names that may have, or if ``exact`` have, a similarity of ``percent`` / 100.
+
+    With trigrams in one order, from rare to common, the first that two
+    similar sets share stands within the first n - ceil(t * n) + 1 of both
+    (prefix filter), and what follows it in the shorter rest is long enough for
+    the overlap that the similarity asks for (positional filter). A pair is
+    given at that first trigram alone, so that none is given twice. Lists of
+    names with a common trigram are split into parts on both sides; each part
+    meets each.
     """
-    sides = []
+    sets = []
     for df in (left, right):
         s = df.select("name").where("name is not null").distinct().withColumn("g", trgm(F.col("name")))
-        sides.append(s.where(F.size("g") > 0))
-    often = sides[0].select(F.explode("g").alias("t")).union(sides[1].select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
-    prefixes = []
-    for s in sides:
-        ranked = s.select("name", F.size("g").alias("n"), F.explode("g").alias("t")).join(often, "t")
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("df", "t")))
-        prefixes.append(ranked.where(F.expr(f"r <= n + (-(n * {percent}) div 100) + 1")).select("t", "name", "n"))
-    a = prefixes[0].select("t", F.col("name").alias("left_name"), F.col("n").alias("n_a"))
-    b = prefixes[1].select("t", F.col("name").alias("right_name"), F.col("n").alias("n_b"))
-    near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    pairs = a.join(b, "t").where(near).select("left_name", "right_name").distinct()
-    x, y = trgm(F.col("left_name")), trgm(F.col("right_name"))
-    return pairs.where(F.size(F.array_intersect(x, y)) * 100 >= F.size(F.array_union(x, y)) * percent)
+        sets.append(s.where(F.size("g") > 0))
+    often = sets[0].select(F.explode("g").alias("t")).union(sets[1].select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
+    a, b = (_prefixes(s, often, percent) for s in sets)
+    count = a.select("t", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select("t", F.lit(0), F.lit(1))).groupBy("t").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    parts = count.where(F.greatest("x", "y") > LIST).select("t", *[F.greatest(F.ceil(F.col(c) / LIST), F.lit(1)).alias(p) for c, p in (("x", "p"), ("y", "q"))])
+    a, b = _split(a, parts, "p", "q").alias("a"), _split(b, parts, "q", "p").alias("b")
+    x, y = F.col("a.n"), F.col("b.n")
+    near = (x * 100 >= y * percent) & (y * 100 >= x * percent)
+    room = (1 + F.least(x - F.col("a.r"), y - F.col("b.r"))) * (100 + percent) >= percent * (x + y)
+    first = ~F.arrays_overlap(F.slice("a.pre", F.lit(1), F.col("a.r") - 1), F.slice("b.pre", F.lit(1), F.col("b.r") - 1))
+    shared = F.size(F.array_intersect(trgm(F.col("a.name")), trgm(F.col("b.name"))))
+    fine = shared * (100 + percent) >= percent * (x + y) if exact else F.lit(True)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "p_", "q_")]
+    # One expression, so that what costs most is asked last, and of few pairs.
+    return a.join(b, [*same, F.when(near & room, F.when(first, fine).otherwise(F.lit(False))).otherwise(F.lit(False))]).select(F.col("a.name").alias("left_name"), F.col("b.name").alias("right_name"))
+
+
+def similarity_join(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(left_name, right_name) of distinct names with similarity of ``percent`` / 100 or more; both sides have one column, ``name``.
+
+    ``candidates``, then the exact sets, in integers.
+    """
+    return candidates(left, right, percent, exact=True)

@@ -79,7 +79,9 @@ def resolve_by_name(rows: DataFrame, people: DataFrame, active: DataFrame, perce
     order of rows in a batch has no bearing.
     """
     asked = rows.select("nome_normalizado", "comarca").distinct()
-    names = similarity_join(asked.select(F.col("nome_normalizado").alias("name")), people.select(F.col("nome_normalizado").alias("name")), percent)
+    # Only a name that some person has can be linked; the others need no similar ones.
+    equal = asked.join(people.select("nome_normalizado"), "nome_normalizado", "left_semi")
+    names = similarity_join(equal.select(F.col("nome_normalizado").alias("name")), people.select(F.col("nome_normalizado").alias("name")), percent)
     near = names.join(people.select("pessoa_id", F.col("nome_normalizado").alias("right_name")), "right_name")
     only = near.groupBy("left_name").agg(F.countDistinct("pessoa_id").alias("n"), F.min("pessoa_id").alias("pessoa_id"), F.min("right_name").alias("right_name"))
     only = only.where("n = 1 and left_name = right_name").select(F.col("left_name").alias("nome_normalizado"), F.col("pessoa_id").alias("found_"))

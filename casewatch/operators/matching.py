@@ -12,8 +12,6 @@ from ..functions.similarity import similarity_join
 
 #: Orders of preference among the matches of one case and target.
 CONFIDENCES, CRITERIA, SIDES = ("confirmada", "a_verificar"), ("documento", "busca_documento", "nome", "regra"), ("passivo", "ativo", "terceiro")
-#: Parts over which cases are dealt where a rule is asked of all of them.
-SHARES = 64
 
 
 def rank(c: Column, values: tuple[str, ...]) -> Column:
@@ -76,12 +74,6 @@ def cover_text(*parts: Column) -> Column:
     return text.tpu_key(F.concat_ws(" ", *parts))
 
 
-def holds_phrase(cover: Column, phrase: Column) -> Column:
-    """Whether a cover holds a phrase, by whole words; an empty phrase is never held."""
-    key = text.tpu_key(phrase)
-    return (key != "") & F.contains(F.concat(F.lit(" "), cover, F.lit(" ")), F.concat(F.lit(" "), key, F.lit(" ")))
-
-
 def match_rules(cases: DataFrame, rules: DataFrame, sides: DataFrame) -> DataFrame:
     """(processo_id, regra_id, cliente_id, confianca): cases that satisfy all the filters a rule has.
 
@@ -90,37 +82,55 @@ def match_rules(cases: DataFrame, rules: DataFrame, sides: DataFrame) -> DataFra
     assuntos array<long>, comarcas and termos array<string>, valor_min_centavos,
     polo. ``sides``: processo_id, cliente_id, polo, confianca of targets' matches.
 
-    A rule is joined by an equality on its most selective filter (class, else
-    subject, else district); the other filters are tested on what that finds.
-    Rules without any of the three are joined to all cases. Rules without a
-    filter match nothing. Sealed cases and inactive rules as in ``matchable``.
+    A rule is joined by an equality on its most selective filter: class, else
+    subject, district, phrase (with a run of as many words of the cover) or side
+    (with what ``sides`` has); the other filters are tested on what that finds.
+    Covers are fetched only for hits of rules that ask for more of them. Rules
+    with a least value alone are asked of all cases, which are dealt over as many
+    parts as shuffles have. Rules without a filter match nothing. Sealed cases
+    and inactive rules as in ``matchable``.
     """
     cases, rules = matchable(cases), matchable(rules)
-    districts = F.transform("comarcas", text.canonical_district)
+    spark, texts = cases.sparkSession, F.array().cast("array<string>")
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    r = rules.withColumn("comarcas", districts).where(some("classes") | some("assuntos") | some("comarcas") | some("termos") | F.col("valor_min_centavos").isNotNull() | F.col("polo").isNotNull())
-    lead = F.when(some("classes"), "classe").when(some("assuntos"), "assunto").when(some("comarcas"), "comarca").otherwise("todas")
-    r = r.withColumn("lead_", lead)
-    by = {
-        "classe": (F.explode(F.array_distinct("classes").cast("array<string>")), F.array(F.col("classe_codigo").cast("string"))),
-        "assunto": (F.explode(F.array_distinct("assuntos").cast("array<string>")), F.array_distinct("assuntos").cast("array<string>")),
-        "comarca": (F.explode(F.array_distinct("comarcas")), F.array("comarca")),
-    }
-    # Rules that name no value are asked of every case: where there are any, cases are dealt over SHARES parts that each have all of them.
-    if r.where("lead_ = 'todas'").limit(1).count():
-        by["todas"] = (F.explode(F.array(*[F.lit(str(i)) for i in range(SHARES)])), F.array(F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("string")))
-    values = cases.select(F.struct("classe_codigo", F.col("assuntos").alias("c_assuntos"), "comarca", "valor_causa_centavos", "capa").alias("c"), F.col("id").alias("processo_id"), *[F.transform(by[k][1], _tag(k)).alias(f"k_{k}") for k in by])
-    keyed = values.withColumn("key_", F.explode(F.concat(*[f"k_{k}" for k in by]))).where("key_ is not null").select("processo_id", "c", "key_")
-    kept = ["regra_id", "cliente_id", "classes", "assuntos", "comarcas", "termos", "valor_min_centavos", F.col("polo").alias("r_polo")]
-    each = [r.where(F.col("lead_") == k).select(*kept, x.alias("x_")).withColumn("key_", F.concat(F.lit(k + ":"), "x_")).drop("x_") for k, (x, _) in by.items()]
-    asked = reduce(DataFrame.union, each)
-    hit = keyed.join(asked, "key_")
+    r = rules.withColumns({"comarcas": F.transform("comarcas", text.canonical_district), "frases_": F.array_distinct(F.filter(F.transform("termos", text.tpu_key), lambda t: t != ""))})
+    lead = F.when(some("classes"), "classe").when(some("assuntos"), "assunto").when(some("comarcas"), "comarca").when(some("termos"), "frase").when(F.col("polo").isNotNull(), "polo").when(F.col("valor_min_centavos").isNotNull(), "todas")
+    r = r.withColumn("lead_", lead).where("lead_ is not null")
+    plan = {x.lead_ for x in r.select("lead_").distinct().collect()}  # six kinds at most
+    lengths = [x.n for x in r.where("lead_ = 'frase'").select(F.explode("frases_").alias("f")).select(F.size(F.split("f", " ")).alias("n")).distinct().collect()] if "frase" in plan else []
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = F.split("capa", " ")
+    asked = {
+        "classe": F.array_distinct("classes").cast("array<string>"), "assunto": F.array_distinct("assuntos").cast("array<string>"), "comarca": F.array_distinct("comarcas"), "frase": F.col("frases_"),
+        "polo": F.array(F.concat_ws("/", F.col("cliente_id").cast("string"), "polo")), "todas": F.array(*[F.lit(str(i)) for i in range(shares)]),
+    }
+    runs = [F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)), _words_from(words, n)) for n in lengths]
+    given = {
+        "classe": F.array(F.col("classe_codigo").cast("string")), "assunto": F.array_distinct("assuntos").cast("array<string>"), "comarca": F.array("comarca"),
+        "frase": F.array_distinct(F.concat(*[F.coalesce(x, texts) for x in runs])) if runs else texts, "todas": F.array(F.pmod(F.xxhash64("id"), F.lit(shares)).cast("string")),
+    }
+    own = cases.select(F.col("id").alias("processo_id"), F.struct("classe_codigo", F.col("assuntos").alias("c_assuntos"), "comarca", "valor_causa_centavos").alias("c"), *[F.transform(F.coalesce(given[k].cast("array<string>"), texts), _tag(k)).alias(f"k_{k}") for k in given if k in plan])
+    keys = [f"k_{k}" for k in given if k in plan]
+    keyed = own.select("processo_id", "c", F.explode(F.concat(*keys)).alias("key_")).where("key_ is not null") if keys else own.select("processo_id", "c", F.lit("").alias("key_")).limit(0)
+    if "polo" in plan:
+        standing = sides.select("processo_id", F.concat(F.lit("polo:"), F.concat_ws("/", F.col("cliente_id").cast("string"), "polo")).alias("key_")).distinct()
+        keyed = keyed.union(own.select("processo_id", "c").join(standing, "processo_id"))
+    kept = ["regra_id", "cliente_id", "classes", "assuntos", "comarcas", F.when(F.col("lead_") == "frase", texts).otherwise(F.col("frases_")).alias("frases_"), F.when(F.col("lead_") != "frase", some("termos")).otherwise(False).alias("reads_"), "valor_min_centavos", F.col("polo").alias("r_polo")]
+    keys = reduce(lambda out, k: F.when(F.col("lead_") == k, F.transform(asked[k], _tag(k))).otherwise(out), asked, F.lit(None).cast("array<string>"))
+    hit = keyed.join(r.select(*kept, F.explode(keys).alias("key_")), "key_")
     fine = (
         (~some("classes") | F.array_contains("classes", F.col("c.classe_codigo"))) & (~some("assuntos") | F.arrays_overlap("assuntos", "c.c_assuntos")) & (~some("comarcas") | F.array_contains("comarcas", F.col("c.comarca")))
-        & (F.col("valor_min_centavos").isNull() | F.coalesce(F.col("c.valor_causa_centavos") >= F.col("valor_min_centavos"), F.lit(False))) & (~some("termos") | F.exists("termos", lambda t: holds_phrase(F.col("c.capa"), t)))
+        & (F.col("valor_min_centavos").isNull() | F.coalesce(F.col("c.valor_causa_centavos") >= F.col("valor_min_centavos"), F.lit(False)))
     )
-    hit = hit.where(F.coalesce(fine, F.lit(False))).select("processo_id", "regra_id", "cliente_id", "r_polo").distinct()
-    return side_gate(hit, sides)
+    hit = hit.where(F.coalesce(fine, F.lit(False))).select("processo_id", "regra_id", "cliente_id", "r_polo", "reads_").distinct()
+    phrases = r.select("regra_id", "frases_")
+    read = hit.where("reads_").join(phrases, "regra_id").join(cases.select(F.col("id").alias("processo_id"), F.concat(F.lit(" "), "capa", F.lit(" ")).alias("capa_")), "processo_id")
+    read = read.where(F.exists("frases_", lambda t: F.contains(F.col("capa_"), F.concat(F.lit(" "), t, F.lit(" "))))).select(*hit.columns)
+    return side_gate(hit.where("not reads_").union(read).drop("reads_"), sides)
+
+
+def _words_from(words: Column, n: int):
+    return lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
 
 
 def _tag(kind: str):

@@ -19,7 +19,6 @@ def load_alert_config(config: Column) -> Column:
     """struct of weights, limite_valor_centavos and thresholds from a client's JSON; anything invalid or unknown in it
     makes all of it default."""
     top = {"limite_valor_centavos": (None, None), "limiar_todos_canais": (ALL_CHANNELS, 100), "limiar_email_imediato": (IMMEDIATE, 100)}
-    raw, weights = F.from_json(config, "map<string,string>"), F.from_json(F.get_json_object(config, "$.pesos"), "map<string,string>")
 
     def known(m: Column, names) -> Column:
         return F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)))) == 0
@@ -30,16 +29,25 @@ def load_alert_config(config: Column) -> Column:
         n = v.try_cast("long")
         return v.isNull() | F.coalesce(v.rlike("^-?[0-9]+$") & (n >= 0) & (n <= most if most is not None else F.lit(True)), F.lit(False))
 
-    fine = raw.isNotNull() & known(raw, [*top, "pesos"])
-    for name, (_, most) in top.items():
-        fine = fine & whole(raw, name, most)
-    has = F.get_json_object(config, "$.pesos").isNotNull()
-    inner = weights.isNotNull() & known(weights, WEIGHTS)
-    for name in WEIGHTS:
-        inner = inner & whole(weights, name, 100)
-    fine = F.coalesce(fine & (~has | inner), F.lit(False))
-    get = lambda m, name, default: F.when(fine, F.coalesce(F.try_element_at(m, F.lit(name)).try_cast("long"), F.lit(default))).otherwise(F.lit(default)).cast("long").alias(name)
-    return F.struct(*[get(weights, n, w) for n, w in WEIGHTS.items()], *[get(raw, n, d) for n, (d, _) in top.items()])
+    def judged(x: Column) -> Column:
+        """Both maps, empty where anything is wrong with either."""
+        raw, weights = x["raw"], x["weights"]
+        fine, inner = raw.isNotNull() & known(raw, [*top, "pesos"]), weights.isNotNull() & known(weights, WEIGHTS)
+        for name, (_, most) in top.items():
+            fine = fine & whole(raw, name, most)
+        for name in WEIGHTS:
+            inner = inner & whole(weights, name, 100)
+        fine = F.coalesce(fine & (x["said"].isNull() | inner), F.lit(False))
+        return F.struct(F.when(fine, raw).alias("raw"), F.when(fine, weights).alias("weights"))
+
+    def values(x: Column) -> Column:
+        get = lambda m, name, default: F.coalesce(F.try_element_at(m, F.lit(name)).try_cast("long"), F.lit(default)).cast("long").alias(name)
+        return F.struct(*[get(x["weights"], n, w) for n, w in WEIGHTS.items()], *[get(x["raw"], n, d) for n, (d, _) in top.items()])
+
+    # Each step is bound to a variable, or else it would be written out for each use of it.
+    said = F.get_json_object(config, "$.pesos")
+    parsed = F.struct(F.from_json(config, "map<string,string>").alias("raw"), F.from_json(said, "map<string,string>").alias("weights"), said.alias("said"))
+    return F.element_at(F.transform(F.transform(F.array(parsed), judged), values), 1)
 
 
 def default_config() -> Column:

@@ -35,10 +35,15 @@ def target_matches(cases: DataFrame, targets: DataFrame) -> DataFrame:
     documents = targets.where("tipo = 'documento'")
     own = F.when(F.col("tipo") == "nome", F.array("valor")).otherwise(F.array().cast("array<string>"))
     names = targets.where("tipo <> 'oab'").select("alvo_id", "cliente_id", "tipo", "ativo", F.explode(F.array_distinct(F.concat(own, F.coalesce("variacoes", F.array().cast("array<string>"))))).alias("nome"))
-    by_document = matching.match_by_document(parties, documents)
-    by_name = matching.match_by_name(parties, names)
-    by_search = matching.match_by_searched_document(searched, documents, by_document, by_name)
-    return matching.best_match(by_document.unionByName(by_name).unionByName(by_search))
+    found = matching.match_by_document(parties, documents).unionByName(matching.match_by_name(parties, names))
+    asked = matching.matchable(searched).join(matching.matchable(documents), F.col("documento") == F.col("valor"))
+    found = found.unionByName(asked.select("processo_id", "alvo_id", "cliente_id", F.lit(None).cast("string").alias("polo"), F.lit("confirmada").alias("confianca"), F.lit("busca_documento").alias("criterio")))
+    # A search's match has the side of the best match by name, which is in the same group: the names are compared once.
+    place = F.struct(matching.rank(F.col("confianca"), matching.CONFIDENCES).alias("a"), matching.rank(F.col("criterio"), matching.CRITERIA).alias("b"), matching.rank(F.col("polo"), matching.SIDES).alias("c"))
+    named = F.min_by(F.when(F.col("criterio") == "nome", F.col("polo")), F.when(F.col("criterio") == "nome", matching.rank(F.col("polo"), matching.SIDES)))
+    best = found.groupBy("processo_id", "alvo_id", "cliente_id").agg(F.min_by(F.struct("polo", "confianca", "criterio"), place).alias("x"), named.alias("named"))
+    side = F.when(F.col("x.criterio") == "busca_documento", F.col("named")).otherwise(F.col("x.polo"))
+    return best.select("processo_id", "alvo_id", "cliente_id", side.alias("polo"), "x.confianca", "x.criterio")
 
 
 def scored(found: DataFrame, cases: DataFrame, targets: DataFrame, clients: DataFrame) -> DataFrame:
