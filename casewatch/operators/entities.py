@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_join
+from ..sources.shared import stored
 
 
 def first_per_key(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -64,9 +65,45 @@ def new_rows(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, cond, "left_anti")
 
 
-def resolve_by_document(rows: DataFrame) -> DataFrame:
-    """``rows`` that have a document, with pessoa_id, the same for one document, and the link confirmada."""
-    return rows.where("documento is not null").withColumn("pessoa_id", F.xxhash64(F.lit("documento"), "documento")).withColumn("confianca_vinculo", F.lit("confirmada"))
+#: Rows to a range where ids are handed out.
+RANGE = 100_000
+
+
+def dense_ids(keys: DataFrame, after: int, column: str = "pessoa_id") -> DataFrame:
+    """``keys`` (distinct rows) with ids after + 1, after + 2, ... in the order of the keys, none left out.
+
+    Rows are dealt by ranges of keys and numbered where they lie; a range's
+    ids begin after the counts of those before it, a row for each range. No
+    task has all keys, and a run over the same keys gives the same ids.
+    """
+    cols = keys.columns
+    parts = max(1, -(-keys.count() // RANGE))
+    lying = keys.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+    lying = stored(lying.withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()}))
+    counts = lying.groupBy("part_").agg(F.min("at_").alias("from_"), F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("part_", (before - F.col("from_") + after + 1).alias("shift_"))
+    return lying.join(shift, "part_").select(*cols, (F.col("at_") + F.col("shift_")).alias(column))
+
+
+def resolve_by_document(rows: DataFrame, people: DataFrame) -> DataFrame:
+    """``rows`` that have a document, with pessoa_id, nova and the link confirmada; one person for each document, never two documents in one.
+
+    ``people`` (pessoa_id long, documento) are those known: a document that
+    one of them has is linked to the one of least id, each other one becomes a
+    new person whose id follows the greatest known.
+    """
+    rows = rows.where("documento is not null")
+    known = people.where("documento is not null").groupBy("documento").agg(F.min("pessoa_id").alias("pessoa_id"))
+    fresh = stored(rows.select("documento").distinct().join(known, "documento", "left_anti"))
+    last = people.agg(F.max("pessoa_id")).first()[0] or 0
+    ids = known.withColumn("nova", F.lit(False)).union(dense_ids(fresh, last).withColumn("nova", F.lit(True)))
+    return rows.join(ids, "documento").withColumn("confianca_vinculo", F.lit("confirmada"))
+
+
+def with_new_people(people: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``people`` (pessoa_id, documento) and those that ``resolve_by_document`` added: the state before the next batch."""
+    return people.select("pessoa_id", "documento").union(resolved.where("nova").select("pessoa_id", "documento").distinct())
 
 
 def resolve_by_name(rows: DataFrame, people: DataFrame, active: DataFrame, percent: int = 85) -> DataFrame:
@@ -104,11 +141,15 @@ def purge_sealed(parties: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def fill_missing(cases: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Blank fields filled from metadata by numero_cnj: class only where code and name are both blank, date, court unit, instance."""
-    m = metadata.select("numero_cnj", *[F.col(c).alias(f"m_{c}") for c in ("classe_codigo", "classe_nome", "data_distribuicao", "vara", "grau")])
+    """Blank fields filled from metadata by numero_cnj: class only where code and name are both blank, subjects
+    (assuntos, an array, where both tables have it) only where there are none, date, court unit, instance."""
+    lists = [c for c in ("assuntos",) if c in cases.columns and c in metadata.columns]
+    m = metadata.select("numero_cnj", *[F.col(c).alias(f"m_{c}") for c in ("classe_codigo", "classe_nome", "data_distribuicao", "vara", "grau", *lists)])
     j = cases.join(m, "numero_cnj", "left")
     blank = F.col("classe_codigo").isNull() & F.col("classe_nome").isNull()
     fills = {c: F.when(blank, F.col(f"m_{c}")).otherwise(F.col(c)) for c in ("classe_codigo", "classe_nome")} | {c: F.coalesce(c, f"m_{c}") for c in ("data_distribuicao", "vara", "grau")}
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    fills |= {c: F.when(~some(c) & some(f"m_{c}"), F.col(f"m_{c}")).otherwise(F.col(c)) for c in lists}
     return j.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in cases.columns])
 
 

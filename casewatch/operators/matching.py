@@ -236,15 +236,36 @@ def term_tasks(rules: DataFrame, courts: DataFrame, cursors: DataFrame, back_day
     return tasks.join(cursors, ["regra_id", "tribunal"], "left").select("regra_id", "tribunal", F.date_sub(F.to_date("criado_em"), back_days).alias("desde"), "cursor")
 
 
-def effective_units(units: DataFrame, on: DataFrame, key: list[str]) -> DataFrame:
+#: Rows of one key and stretch of time that a task of the as-of join has, about.
+STRETCH = 100_000
+
+
+def effective_units(units: DataFrame, on: DataFrame, key: list[str], stretch: int = STRETCH) -> DataFrame:
     """``on`` (key, dia) with the unit in force that day: the latest vigente_desde not after it.
 
-    An as-of join by union and a running last value: rows of both sides are
-    sorted once within the key.
+    An as-of join by union and a running last value, over stretches of each
+    key's time: stretches are quantiles of a key's days, as many as its rows
+    call for, so that a key with most of all rows is spread over many tasks; a
+    unit in force where stretches begin is carried into each of them. Of units
+    that begin on one day the last by name is in force; without key or day no unit is.
     """
-    a = units.select(*key, F.col("vigente_desde").alias("t_"), F.struct("unidade", "vigente_desde").alias("u_"), F.lit(0).alias("side_"))
+    days = lambda c: F.unix_date(F.to_date(c))
+    n = on.groupBy(*key).agg(F.count("*").alias("n_"), F.percentile_approx(days("dia"), [i / 256 for i in range(1, 256)], 1_000).alias("q_"))
+    parts = F.least(F.ceil(F.col("n_") / stretch), F.lit(256)).cast("int")
+    # Every 256 / parts-th of the quantiles is a cut; cuts that fall on one day are one.
+    cuts = n.select(*key, F.array_distinct(F.filter("q_", lambda q, i: F.floor((i + 1) * parts / 256) > F.floor(i * parts / 256))).alias("cuts_"))
+    of = lambda day: F.size(F.filter("cuts_", lambda c: c <= day)).alias("stretch_")
     others = [c for c in on.columns if c not in key]
-    b = on.select(*key, F.col("dia").alias("t_"), F.lit(None).cast(a.schema["u_"].dataType).alias("u_"), F.struct(*others).alias("q_"), F.lit(1).alias("side_"))
-    both = a.withColumn("q_", F.lit(None).cast(b.schema["q_"].dataType)).unionByName(b)
-    w = Window.partitionBy(*key).orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("in_", F.last("u_", ignorenulls=True).over(w)).where("side_ = 1").select(*key, "q_.*", F.col("in_.unidade").alias("unidade"), F.col("in_.vigente_desde").alias("vigente_desde"))
+    keyed = on.join(cuts.withColumnsRenamed({c: f"{c}_k" for c in key}), [F.col(c) == F.col(f"{c}_k") for c in key], "left")
+    b = keyed.select(*key, F.coalesce(of(days(F.col("dia"))), F.lit(0)).alias("stretch_"), F.col("dia").alias("t_"), F.struct(*others).alias("q_"))
+    one = units.groupBy(*key, "vigente_desde").agg(F.max("unidade").alias("unidade")).join(cuts, key)
+    placed = one.select(*key, of(days(F.col("vigente_desde"))), F.col("vigente_desde").alias("t_"), F.struct("unidade", "vigente_desde").alias("u_"), "cuts_")
+    # What each stretch ends with is carried into the next ones, up to the next that has a unit of its own.
+    last = placed.groupBy(*key, "stretch_").agg(F.max_by("u_", "t_").alias("u_"), F.size(F.first("cuts_")).alias("to_"))
+    nxt = F.coalesce(F.lead("stretch_").over(Window.partitionBy(*key).orderBy("stretch_")), F.col("to_"))
+    carried = last.withColumn("next_", nxt).where("next_ > stretch_").select(*key, F.explode(F.sequence(F.col("stretch_") + 1, "next_")).alias("stretch_"), F.lit(None).cast("date").alias("t_"), "u_")
+    a = placed.select(*key, "stretch_", "t_", "u_").union(carried).withColumn("side_", F.lit(0))
+    both = a.withColumn("q_", F.lit(None).cast(b.schema["q_"].dataType)).unionByName(b.withColumns({"u_": F.lit(None).cast(a.schema["u_"].dataType), "side_": F.lit(1)}))
+    w = Window.partitionBy(*key, "stretch_").orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    in_force = F.when(F.col("t_").isNotNull(), F.last("u_", ignorenulls=True).over(w))
+    return both.withColumn("in_", in_force).where("side_ = 1").select(*key, "q_.*", F.col("in_.unidade").alias("unidade"), F.col("in_.vigente_desde").alias("vigente_desde"))

@@ -72,12 +72,59 @@ def missing_units(courts: DataFrame, units: DataFrame, day: Column) -> DataFrame
     return courts.where("ativo").join(valid, "tribunal", "left_anti")
 
 
+#: Size parameter of the quantile sketches: a rank is off by some 0.7 % of the rows at most, nearly always.
+SKETCH = 400
+
+
+def latency_sketches(runs: DataFrame, width: str = "1 minute") -> DataFrame:
+    """(inicio, tribunal, operacao, n, latencias): a mergeable quantile sketch of latencies for each window, court and operation."""
+    g = runs.groupBy(F.window("ts", width).alias("w"), "tribunal", "operacao").agg(F.count("latencia").alias("n"), F.kll_sketch_agg_double(F.col("latencia").cast("double"), SKETCH).alias("latencias"))
+    return g.select(F.col("w.start").alias("inicio"), "tribunal", "operacao", "n", "latencias")
+
+
+def merged_sketches(sketches: DataFrame, width: str) -> DataFrame:
+    """Sketches of short windows as those of longer ones, without the runs; widths must hold whole short windows."""
+    g = sketches.groupBy(F.window("inicio", width).alias("w"), "tribunal", "operacao").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("latencias", SKETCH).alias("latencias"))
+    return g.select(F.col("w.start").alias("inicio"), "tribunal", "operacao", "n", "latencias")
+
+
+def quantile(sketches: DataFrame, at: float) -> DataFrame:
+    """(inicio, tribunal, operacao, n, valor)."""
+    return sketches.select("inicio", "tribunal", "operacao", "n", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("latencias", F.lit(at).cast("double"))).alias("valor"))
+
+
 def collection_metrics(runs: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Queries, errors and 95th percentile of latency (exact) by window, court and operation."""
+    """Queries, errors and 95th percentile of latency (exact) by window, court and operation.
+
+    The exact figure gathers a group's latencies; ``latency_sketches`` don't.
+    """
     g = runs.groupBy(F.window("ts", width).alias("w"), "tribunal", "operacao").agg(F.count("*").alias("consultas"), F.sum((~F.col("sucesso")).cast("long")).alias("erros"), F.percentile("latencia", 0.95).alias("p95"))
     return g.select(F.col("w.start").alias("inicio"), "tribunal", "operacao", "consultas", "erros", "p95")
 
 
+def all_metrics(runs: DataFrame, cases: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(metrica, inicio, grupo, valor double): the five figures of collection, each over its own windows.
+
+    ``runs``: ts, tribunal, operacao, sucesso, excecao, latencia. ``cases``:
+    primeira_coleta_em, tribunal. ``alerts``: enviado_em, modalidade, resultado.
+    Queries a minute by court and operation over each minute that has any; the
+    95th percentile of latency by hour, by merged sketches of minutes; errors an hour
+    by exception; new cases by local day and court; alerts by day, mode and result.
+    """
+
+    def counted(rows: DataFrame, name: str, at: Column, *by: Column) -> DataFrame:
+        return rows.groupBy(at.alias("inicio"), F.concat_ws("/", *[b.cast("string") for b in by]).alias("grupo")).agg(F.count("*").cast("double").alias("valor")).select(F.lit(name).alias("metrica"), "inicio", "grupo", "valor")
+
+    c = F.col
+    p95 = quantile(merged_sketches(latency_sketches(runs), "1 hour"), 0.95).where("n > 0").select(F.lit("p95_latencia").alias("metrica"), "inicio", F.concat_ws("/", c("tribunal").cast("string"), "operacao").alias("grupo"), "valor")
+    day = lambda ts: local_date(ts).cast("timestamp")
+    return (
+        counted(runs, "consultas_min", F.date_trunc("minute", "ts"), c("tribunal"), c("operacao")).union(p95)
+        .union(counted(runs.where("not sucesso"), "erros_hora", F.date_trunc("hour", "ts"), F.coalesce("excecao", F.lit("?")))).union(counted(cases, "novos_dia", day(c("primeira_coleta_em")), c("tribunal")))
+        .union(counted(alerts, "alertas_dia", day(c("enviado_em")), c("modalidade"), c("resultado")))
+    )
+
+
 def court_health(courts: DataFrame, runs: DataFrame, alarms: DataFrame, now: Column) -> DataFrame:
     """Of each court: state, latest run, open alarms."""
     state = F.when(~F.col("ativo"), "inativo").when(F.col("bloqueado_motivo").isNotNull(), "bloqueado").when(F.col("pausado_ate") > now, "pausado").otherwise("ok")
@@ -138,11 +185,11 @@ def rate_limit_attempts(attempts: DataFrame, most: int, seconds: int) -> DataFra
     A fold: refused attempts aren't recorded, so they don't count. Rows are put
     in line by action, key and time once and go by in one stream, of which the
     last ``most`` permitted times are remembered; a key with many attempts is never
-    gathered. Without a time permitida is null.
+    gathered. Times are compared to the microsecond; without one permitida is null.
     """
     key = ["acao", "chave"]
     line = Window.partitionBy(*key).orderBy("s_", "id")
-    rows = attempts.select(*key, "id", F.unix_timestamp("ts").alias("s_"))
+    rows = attempts.select(*key, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("s_"))
     # The sort is the window's own: Spark sorts once.
     rows = rows.withColumn("first_", F.row_number().over(line) == 1).sortWithinPartitions(*key, "s_", "id")
 
@@ -156,7 +203,7 @@ def rate_limit_attempts(attempts: DataFrame, most: int, seconds: int) -> DataFra
                 if s is None:
                     out.append(None)
                     continue
-                while kept and kept[0] <= s - seconds:
+                while kept and kept[0] <= s - 1_000_000 * seconds:
                     kept.popleft()
                 out.append(len(kept) < most)
                 if out[-1]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
@@ -88,7 +89,7 @@ def recent(day: Column, today: Column, days: int) -> Column:
     return F.coalesce(day >= F.date_sub(today, days), F.lit(False))
 
 
-#: Texts by which a saved page is told, in order; on the page without accents, in capitals.
+#: Texts by which a saved page is told, in order; on the page without accents, in capitals.
 PAGE_KINDS = (("captcha", "CAPTCHA"), ("sigilo", "SEGREDO DE JUSTICA"), ("muitos", "MUITOS PROCESSOS"), ("vazia", "NAO EXISTEM INFORMACOES"))
 
 
@@ -101,10 +102,15 @@ def classify_pages(pages: DataFrame, html: Column) -> DataFrame:
     return pages.withColumn("kind", kind.otherwise("desconhecida"))
 
 
-class _Cells(HTMLParser):
-    """Text by element id, and the rows of the table of parties."""
+#: Ids of the tables of parties, the fuller one first, and of the list of a search's results; what a lawyer's line begins with.
+TABLES = ("tableTodasPartes", "tablePartesPrincipais")
+LISTING = "listagemDeProcessos"
+LAWYER = re.compile(r"(?:advogad[oa]s?|adv\.?a?|procurador[a]?|defensor[a]?(?: p[úu]blic[oa])?)\s*:", re.I)
+NUMBER = re.compile(r"[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}")
+
 
-    TABLES = ("tableTodasPartes", "tablePartesPrincipais")
+class _Cells(HTMLParser):
+    """Text by element id, the rows of the table of parties, and the numbers of a list under their headings."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -112,6 +118,8 @@ class _Cells(HTMLParser):
         self.tables: dict[str, list[list[str]]] = {}
         self.open: list[tuple[str, str | None]] = []
         self.table: str | None = None
+        self.heading: list[str] = []
+        self.items: list[tuple[str | None, str]] = []
 
     def handle_starttag(self, tag, attrs) -> None:
         name = dict(attrs).get("id")
@@ -120,7 +128,9 @@ class _Cells(HTMLParser):
         if tag in ("img", "input", "hr", "meta", "link"):
             return None
         self.open.append((tag, name))
-        if name in self.TABLES:
+        if tag == "h2":
+            self.heading = []
+        if name in TABLES:
             self.table = name
             self.tables[name] = []
         if self.table and tag == "tr":
@@ -130,7 +140,8 @@ class _Cells(HTMLParser):
         return None
 
     def handle_endtag(self, tag) -> None:
-        while self.open:
+        # An end without a beginning, as that of <br/>, ends nothing.
+        while any(t == tag for t, _ in self.open):
             t, name = self.open.pop()
             if name and name == self.table:
                 self.table = None
@@ -138,6 +149,10 @@ class _Cells(HTMLParser):
                 break
 
     def handle_data(self, data) -> None:
+        if any(name == LISTING for _, name in self.open):
+            if any(t == "h2" for t, _ in self.open):
+                self.heading.append(data)
+            self.items += [(" ".join("".join(self.heading).split()) or None, n) for n in NUMBER.findall(data)]
         for _, name in self.open:
             if name:
                 self.by_id[name] = self.by_id.get(name, "") + data
@@ -145,11 +160,24 @@ class _Cells(HTMLParser):
             self.tables[self.table][-1][-1] += data
 
 
+#: Fields of a cover by the id of their element.
 COVER = {"numero": "numeroProcesso", "classe": "classeProcesso", "assunto": "assuntoProcesso", "foro": "foroProcesso", "vara": "varaProcesso", "distribuicao": "dataHoraDistribuicaoProcesso", "valor": "valorAcaoProcesso"}
 
 
+def _party(row: list[str]) -> dict | None:
+    """A row of the table of parties: label, name and, on lines of their own, lawyers; None if it names no party."""
+    if len(row) < 2:
+        return None
+    lines = [" ".join(x.split()) for x in row[1].replace("\xa0", " ").split("\n")]
+    lines = [x for x in lines if x]
+    if not lines or LAWYER.match(lines[0]):
+        return None
+    lawyers = [x[m.end() :].strip() for x in lines[1:] if (m := LAWYER.match(x))]
+    return {"rotulo": " ".join(row[0].split()), "nome": lines[0], "advogados": [x for x in lawyers if x]}
+
+
 def extract_case_pages(pages: DataFrame) -> DataFrame:
-    """(path, cover fields, partes array<struct<rotulo, nome>>) of the covers among ``pages`` (path, html).
+    """(path, cover fields, partes array<struct<rotulo, nome, advogados, polo>>) of the covers among ``pages`` (path, html).
 
     The tables of parties are nested markup, for which there is no built-in
     function: batches of pages are parsed in Python, each page by itself.
@@ -161,11 +189,28 @@ def extract_case_pages(pages: DataFrame) -> DataFrame:
             for path, html in zip(f.path, f.html):
                 p = _Cells()
                 p.feed(html or "")
-                rows = next((p.tables[t] for t in _Cells.TABLES if p.tables.get(t)), [])
+                rows = next((p.tables[t] for t in TABLES if p.tables.get(t)), [])
                 said = {k: " ".join(p.by_id.get(i, "").split()) or None for k, i in COVER.items()}
-                out.append({"path": path, **said, "partes": [{"rotulo": " ".join(r[0].split()), "nome": " ".join(r[1].strip().split("\n")[0].split())} for r in rows if len(r) > 1]})
+                out.append({"path": path, **said, "partes": [x for x in map(_party, rows) if x]})
             yield pd.DataFrame(out, columns=["path", *COVER, "partes"])
 
-    schema = "path string, " + ", ".join(f"{k} string" for k in COVER) + ", partes array<struct<rotulo:string,nome:string>>"
+    schema = "path string, " + ", ".join(f"{k} string" for k in COVER) + ", partes array<struct<rotulo:string,nome:string,advogados:array<string>>>"
     covers = classify_pages(pages.select("path", "html"), F.col("html")).where("kind = 'capa'").select("path", "html")
-    return covers.mapInPandas(parse, schema)
+    found = covers.mapInPandas(parse, schema)
+    return found.withColumn("partes", F.transform("partes", lambda x: F.struct(x["rotulo"], x["nome"], x["advogados"], text.side_from_label(x["rotulo"]).alias("polo"))))
+
+
+def extract_list_pages(pages: DataFrame) -> DataFrame:
+    """(path, foro, numero) of each case that the result lists among ``pages`` (path, html) name, under the heading it stands under."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, html in zip(f.path, f.html):
+                p = _Cells()
+                p.feed(html or "")
+                out += [(path, heading, n) for heading, n in dict.fromkeys(p.items)]
+            yield pd.DataFrame(out, columns=["path", "foro", "numero"])
+
+    lists = classify_pages(pages.select("path", "html"), F.col("html")).where("kind = 'lista'").select("path", "html")
+    return lists.mapInPandas(parse, "path string, foro string, numero string")

@@ -96,10 +96,32 @@ def fan_out_alerts(occurrences: DataFrame, clients: DataFrame) -> DataFrame:
     return j.select("ocorrencia", "cliente_id", F.explode(ways).alias("w")).select("ocorrencia", "cliente_id", "w.*")
 
 
+def reason_label(occurrences: DataFrame, targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """``occurrences`` (tipo, ref) with motivo: why it is one, never a document.
+
+    ``targets``: alvo_id, tipo, valor, apelido. A target is called by its nickname,
+    else by its name; one of a document without a nickname by its kind alone.
+    ``rules``: regra_id, nome.
+    """
+    called = F.coalesce(F.nullif(F.trim("apelido"), F.lit("")), F.when(F.col("a_tipo") == "documento", F.when(F.length("valor") == 11, "CPF monitorado").otherwise("CNPJ monitorado")).otherwise(F.col("valor")))
+    t = targets.select(F.lit("alvo").alias("tipo"), F.col("alvo_id").alias("ref"), F.col("tipo").alias("a_tipo"), "valor", "apelido")
+    labels = t.select("tipo", "ref", F.concat(F.lit("Alvo: "), called).alias("motivo")).union(rules.select(F.lit("regra"), "regra_id", F.concat(F.lit("Termo: "), "nome")))
+    gone = F.when(F.col("tipo") == "alvo", "Alvo monitorado").otherwise("Termo monitorado")
+    return occurrences.join(labels, ["tipo", "ref"], "left").withColumn("motivo", F.coalesce("motivo", gone))
+
+
 def alert_payload(alerts: DataFrame, cases: DataFrame, parties: DataFrame) -> DataFrame:
-    """One row for each alert with its case's data and the parties by side, names in order; no document is shown."""
+    """One row for each alert with its case's data, the parties by side, names in order, and subjects; no document is shown.
+
+    ``alerts`` has motivo (``reason_label``), where it is asked for; ``cases`` may have assuntos
+    array<string>, which becomes one text, "não informados" where there is none.
+    """
     names = parties.groupBy("processo_id").pivot("polo", ["ativo", "passivo", "terceiro"]).agg(F.array_join(F.array_sort(F.collect_set("nome")), ", "))
-    return alerts.join(cases.withColumnRenamed("id", "processo_id"), "processo_id").join(names, "processo_id", "left")
+    cases = cases.withColumnRenamed("id", "processo_id")
+    if "assuntos" in cases.columns:
+        said = F.array_join(F.filter(F.col("assuntos"), lambda a: F.coalesce(a != "", F.lit(False))), "; ")
+        cases = cases.withColumn("assuntos", F.coalesce(F.nullif(said, F.lit("")), F.lit("não informados")))
+    return alerts.join(cases, "processo_id").join(names, "processo_id", "left")
 
 
 def daily_digest(alerts: DataFrame) -> DataFrame:

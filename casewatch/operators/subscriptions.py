@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,50 +120,44 @@ def retention(rows: DataFrame, column: str, now: Column, days: int) -> DataFrame
     return rows.where(F.col(column) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
-#: Names are looked up by so many of their first words; longer runs of a page are never made.
-FIRST_WORDS = 4
-
+def sign_ups_kept(sign_ups: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Sign-ups (concluido_em, expira_em) but for those that weren't finished and ran out over ``days`` ago."""
+    gone = F.col("concluido_em").isNull() & (F.col("expira_em") < now - F.make_dt_interval(days=F.lit(days)))
+    return sign_ups.where(~F.coalesce(gone, F.lit(False)))
 
-def _words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
+def people_kept(people: DataFrame, parties: DataFrame, occurrences: DataFrame, targets: DataFrame) -> DataFrame:
+    """People (pessoa_id, documento) whom a client still has to do with: whose document is an active target's, or
+    who stand in a case (``parties``: processo_id, pessoa_id) that has an occurrence."""
+    watched = people.join(targets.where("ativo").select(F.col("valor").alias("documento")).distinct(), "documento", "left_semi").select("pessoa_id")
+    seen = parties.join(occurrences.select("processo_id").distinct(), "processo_id", "left_semi").select("pessoa_id")
+    return people.join(watched.union(seen).distinct(), "pessoa_id", "left_semi")
 
-def _named(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, nome) of each of ``names`` (nome) whose words a page (id, texto) has running, found by equality of the first ones."""
-    d = names.select("nome", _words(F.col("nome")).alias("w_")).where("size(w_) > 0")
-    d = d.select("nome", F.array_join("w_", " ").alias("all_"), F.array_join(F.slice("w_", 1, FIRST_WORDS), " ").alias("key_"))
-    p = pages.select("id", _words(F.col("texto")).alias("w_"))
-    runs = F.flatten(F.array(*[F.transform("w_", _from(n)) for n in range(1, FIRST_WORDS + 1)]))
-    said = p.select("id", F.explode(F.array_distinct(runs)).alias("key_"))
-    found = said.join(d, "key_").join(p.select("id", F.concat(F.lit(" "), F.array_join("w_", " "), F.lit(" ")).alias("page_")), "id")
-    return found.where(F.contains("page_", F.concat(F.lit(" "), "all_", F.lit(" ")))).select("id", "nome").distinct()
 
+class Kept(NamedTuple):
+    """Tables after ``retain``, in the order in which their rows may go."""
 
-def _from(n: int):
-    return lambda _, i: F.array_join(F.slice("w_", i + 1, F.lit(n)), " ")
+    raw: DataFrame
+    attempts: DataFrame
+    sign_ups: DataFrame
+    targets: DataFrame
+    occurrences: DataFrame
+    parties: DataFrame
+    people: DataFrame
 
 
-def anonymize_names(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """``pages`` (id, texto) with the names of the batch replaced by fictitious ones.
+def retain(raw: DataFrame, attempts: DataFrame, sign_ups: DataFrame, targets: DataFrame, occurrences: DataFrame, parties: DataFrame, people: DataFrame, closed: DataFrame, now: Column) -> Kept:
+    """All rules of keeping at once, along the keys: what refers to a row that goes, goes too.
 
-    ``names``: id (of the page it is on), nome. A name has one substitute in the
-    whole batch, numbered in order of first appearance; company endings stay.
-    Longer names go first. Every page is searched for all names of the batch,
-    and sobrou tells whether any of them is left.
+    Raw pages (coletado_em) go after 12 months, attempts (criado_em) after a
+    day, sign-ups as in ``sign_ups_kept``. Of clients in ``closed`` (cliente_id)
+    targets lose their values and occurrences go; then the people whom nobody
+    has to do with any more (``people_kept``) and, with them, their parties.
     """
-    ending = F.regexp_extract("nome", r"(?i)\s+(ltda\.?|s/a|s\.a\.|me|epp|eireli)$", 0)
-    first = names.where("nome is not null and nome <> ''").groupBy("nome").agg(F.min("id").alias("first_"))
-    # Numbers by page of first appearance and rank in the page: no sort of the whole batch in one task.
-    rank = F.row_number().over(Window.partitionBy("first_").orderBy("nome"))
-    put = first.withColumn("put", F.concat(F.lit("Pessoa "), F.col("first_").cast("string"), F.lit("-"), rank.cast("string"), ending))
-    # A name without a letter or digit has no words to find it by; its own page is searched for it all the same.
-    own = names.select("id", "nome").union(_named(pages, first)).distinct().join(put.select("nome", "put"), "nome")
-    lists = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("nome")).alias("n"), "nome", "put"))).alias("l_"))
-    quoted = lambda n: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), n, F.lit(r"\E(?![\p{L}\p{N}])"))
-    none = F.array().cast("array<struct<n:int,nome:string,put:string>>")
-    done = F.aggregate(F.coalesce("l_", none), F.col("texto"), lambda acc, x: F.regexp_replace(acc, quoted(x["nome"]), x["put"]))
-    clean = pages.join(lists, "id", "left").withColumn("texto_", done)
-    literal = F.exists(F.coalesce("l_", none), lambda x: F.contains(F.lower("texto_"), F.lower(x["nome"])))
-    clean = clean.select("id", F.col("texto_").alias("texto"), literal.alias("literal_"))
-    rest = _named(clean, first).select("id", F.lit(True).alias("rest_")).distinct()
-    return clean.join(rest, "id", "left").select("id", "texto", (F.col("literal_") | F.coalesce("rest_", F.lit(False))).alias("sobrou"))
+    targets = anonymize_targets(targets, closed)
+    occurrences = purge_client(occurrences, closed)
+    people = people_kept(people, parties, occurrences, targets)
+    return Kept(
+        raw.where(F.col("coletado_em") >= F.add_months(now, -12)), retention(attempts, "criado_em", now, 1), sign_ups_kept(sign_ups, now), targets, occurrences,
+        parties.join(people.select("pessoa_id"), "pessoa_id", "left_semi").select(*parties.columns), people,
+    )

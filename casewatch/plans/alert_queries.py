@@ -65,12 +65,19 @@ def f05_fan_out_alerts(spark, d):
     return _alerts(spark, d)[0]
 
 
-@query(with_ctes("""SELECT a.ocorrencia, a.canal, p.numero_cnj, p.classe_nome, p.comarca, r.nome AS passivo FROM al a JOIN processo p ON p.id::VARCHAR = split_part(a.ocorrencia, '/', 1) JOIN reu r ON r.processo_id = p.id""", "reu", "alvo", "processo", sc=_SCORED, al=_ALERTS))
+@query(with_ctes("""SELECT a.ocorrencia, a.canal, p.numero_cnj, p.classe_nome, p.comarca, r.nome AS passivo, CASE WHEN p.id % 5 > 0 THEN p.assunto_nome || '; Outro' ELSE 'não informados' END AS assuntos,
+  CASE t.alvo_id % 3 WHEN 0 THEN 'Alvo: apelido ' || t.alvo_id WHEN 1 THEN CASE WHEN length(t.valor) = 11 THEN 'Alvo: CPF monitorado' ELSE 'Alvo: CNPJ monitorado' END ELSE 'Alvo monitorado' END AS motivo
+  FROM al a JOIN processo p ON p.id::VARCHAR = split_part(a.ocorrencia, '/', 1) JOIN reu r ON r.processo_id = p.id JOIN alvo t ON t.alvo_id::VARCHAR = split_part(a.ocorrencia, '/', 2)""", "reu", "alvo", "processo", sc=_SCORED, al=_ALERTS))
 def f06_alert_payload(spark, d):
+    """A third of the targets have nicknames, a third none, a third are gone."""
     alerts, o = _alerts(spark, d)
-    a = alerts.join(o.select("ocorrencia", "processo_id"), "ocorrencia")
-    out = scoring.alert_payload(a.select("ocorrencia", "canal", "processo_id"), b.processo(spark, d).drop("cliente_id"), b.reu(spark, d))
-    return out.select("ocorrencia", "canal", "numero_cnj", "classe_nome", "comarca", "passivo")
+    k = F.col("alvo_id")
+    targets = b.alvo(spark, d).where("alvo_id % 3 < 2").select("alvo_id", F.lit("documento").alias("tipo"), "valor", F.when(k % 3 == 0, F.concat(F.lit(" apelido "), k.cast("string"))).otherwise(" ").alias("apelido"))
+    rules = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("regra_id"), F.col("r_name").alias("nome"))
+    why = scoring.reason_label(o.select("ocorrencia", "processo_id", F.lit("alvo").alias("tipo"), k.alias("ref")), targets, rules)
+    cases = b.processo(spark, d).drop("cliente_id").withColumn("assuntos", F.when(F.col("id") % 5 > 0, F.array(F.lit(""), "assunto_nome", F.lit("Outro"))))
+    out = scoring.alert_payload(alerts.select("ocorrencia", "canal").join(why.select("ocorrencia", "processo_id", "motivo"), "ocorrencia"), cases, b.reu(spark, d))
+    return out.select("ocorrencia", "canal", "numero_cnj", "classe_nome", "comarca", "passivo", "assuntos", "motivo")
 
 
 @query(with_ctes("""SELECT cliente_id, destino, count(*)::INT AS itens, string_agg(n || '. ' || numero_cnj, chr(10) ORDER BY n) AS corpo FROM (SELECT *, row_number() OVER (PARTITION BY cliente_id, destino ORDER BY score DESC, ocorrencia) AS n FROM al WHERE envio = 'resumo_diario') GROUP BY 1, 2""", "reu", "alvo", "processo", sc=_SCORED, al=_ALERTS))
@@ -137,7 +144,10 @@ def w07_date_windows(spark, d):
     return w.select("o_orderkey", F.col("w.first").cast("date").alias("inicio"), F.col("w.last").cast("date").alias("fim"))
 
 
-@query()
+@query("""WITH l AS (SELECT event_type AS acao, user_id AS chave, list({'k': [epoch_us(ts)], 'o': [event_id]} ORDER BY ts, event_id) AS l FROM events GROUP BY 1, 2),
+f AS (SELECT acao, chave, l, list_reduce(list_prepend({'k': []::BIGINT[], 'o': []::BIGINT[]}, l), lambda a, x:
+  CASE WHEN len(list_filter(a.k, lambda t: t > x.k[1] - 5 * 86400000000)) < 3 THEN {'k': list_append(list_filter(a.k, lambda t: t > x.k[1] - 5 * 86400000000), x.k[1]), 'o': list_append(a.o, x.o[1])} ELSE a END).o AS permitted FROM l)
+SELECT acao, chave, id, list_contains(permitted, id) AS permitida FROM (SELECT acao, chave, permitted, unnest(list_transform(l, lambda x: x.o[1])) AS id FROM f)""")
 def w08_rate_limit_attempts(spark, d):
     e = b.execucao(spark, d).select(F.col("event_type").alias("acao"), F.col("user_id").alias("chave"), "ts", F.col("event_id").alias("id"))
     return monitoring.rate_limit_attempts(e, 3, 5 * 86_400)

@@ -65,10 +65,13 @@ def d05_dedup_movements(spark, d):
     return entities.new_rows(rows.where("l_linenumber > 2"), rows.where("l_linenumber <= 2"), ["l_orderkey", "resumo"])
 
 
-@query(with_ctes("SELECT count(*) AS partes, count(DISTINCT documento) AS pessoas, 'confirmada' AS vinculo FROM reu WHERE documento IS NOT NULL", "reu"))
+@query(with_ctes("""SELECT processo_id, coalesce(k.custkey, n.pessoa_id) AS pessoa_id, k.custkey IS NULL AS nova, 'confirmada' AS vinculo FROM reu LEFT JOIN (SELECT custkey, documento FROM pessoa WHERE custkey % 2 = 0) k USING (documento)
+  LEFT JOIN (SELECT documento, (SELECT max(custkey) FROM pessoa WHERE custkey % 2 = 0) + row_number() OVER (ORDER BY documento) AS pessoa_id FROM (SELECT DISTINCT documento FROM reu WHERE documento NOT IN (SELECT documento FROM pessoa WHERE custkey % 2 = 0 AND documento IS NOT NULL))) n USING (documento) WHERE documento IS NOT NULL""", "reu", "pessoa"))
 def d06_resolve_by_document(spark, d):
-    r = entities.resolve_by_document(b.reu(spark, d))
-    return r.groupBy(F.col("confianca_vinculo").alias("vinculo")).agg(F.count("*").alias("partes"), F.countDistinct("pessoa_id").alias("pessoas")).select("partes", "pessoas", "vinculo")
+    """A row for each party; half of the people are known before."""
+    people = b.pessoa(spark, d).where("custkey % 2 = 0").select(F.col("custkey").alias("pessoa_id"), "documento")
+    r = entities.resolve_by_document(b.reu(spark, d), people)
+    return r.select("processo_id", "pessoa_id", "nova", F.col("confianca_vinculo").alias("vinculo"))
 
 
 _NAMES = f"SELECT id, tribunal AS comarca, {sql_norm('destinatario')} AS nome FROM publicacao"
@@ -99,12 +102,12 @@ def d09_purge_sealed(spark, d):
     return entities.purge_sealed(b.parte(spark, d), b.processo(spark, d)).groupBy("polo").agg(F.count("*").alias("n"))
 
 
-@query(with_ctes("""SELECT id, CASE WHEN id % 4 = 0 AND id % 3 > 0 THEN 999 WHEN id % 4 = 0 THEN NULL ELSE classe_codigo END::BIGINT AS classe_codigo, CASE WHEN id % 5 = 0 AND id % 3 > 0 THEN 'Vara ' || id WHEN id % 5 = 0 THEN NULL ELSE 'V' END AS vara FROM processo""", "processo"))
+@query(with_ctes("""SELECT id, CASE WHEN id % 4 = 0 AND id % 3 > 0 THEN 999 WHEN id % 4 = 0 THEN NULL ELSE classe_codigo END::BIGINT AS classe_codigo, CASE WHEN id % 5 = 0 AND id % 3 > 0 THEN 'Vara ' || id WHEN id % 5 = 0 THEN NULL ELSE 'V' END AS vara, CASE WHEN id % 7 > 1 THEN assunto_nome WHEN id % 3 > 0 THEN 'A; B' ELSE '' END AS assuntos FROM processo""", "processo"))
 def d10_fill_missing(spark, d):
     p, k = b.processo(spark, d), F.col("id")
-    cases = p.select("id", "numero_cnj", F.when(k % 4 > 0, F.col("classe_codigo")).alias("classe_codigo"), F.when(k % 4 > 0, F.col("classe_nome")).alias("classe_nome"), "data_distribuicao", F.when(k % 5 > 0, "V").alias("vara"), F.lit(None).cast("string").alias("grau"))
-    meta = p.where("id % 3 > 0").select("numero_cnj", F.lit(999).cast("long").alias("classe_codigo"), F.lit("X").alias("classe_nome"), "data_distribuicao", F.concat(F.lit("Vara "), k.cast("string")).alias("vara"), F.lit("G1").alias("grau"))
-    return entities.fill_missing(cases, meta).select("id", "classe_codigo", "vara")
+    cases = p.select("id", "numero_cnj", F.when(k % 4 > 0, F.col("classe_codigo")).alias("classe_codigo"), F.when(k % 4 > 0, F.col("classe_nome")).alias("classe_nome"), "data_distribuicao", F.when(k % 5 > 0, "V").alias("vara"), F.lit(None).cast("string").alias("grau"), F.when(k % 7 > 1, F.array("assunto_nome")).when(k % 7 == 1, F.array().cast("array<string>")).alias("assuntos"))
+    meta = p.where("id % 3 > 0").select("numero_cnj", F.lit(999).cast("long").alias("classe_codigo"), F.lit("X").alias("classe_nome"), "data_distribuicao", F.concat(F.lit("Vara "), k.cast("string")).alias("vara"), F.lit("G1").alias("grau"), F.array(F.lit("A"), F.lit("B")).alias("assuntos"))
+    return entities.fill_missing(cases, meta).select("id", "classe_codigo", "vara", F.array_join(F.coalesce("assuntos", F.array().cast("array<string>")), "; ").alias("assuntos"))
 
 
 @query(with_ctes("SELECT id FROM processo WHERE id % 4 = 0 AND NOT segredo AND (id % 8 = 0 OR data_distribuicao < DATE '1998-01-01' - 1) ORDER BY id LIMIT 40", "processo"))

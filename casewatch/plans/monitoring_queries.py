@@ -62,6 +62,30 @@ def g07_collection_metrics(spark, d):
     return m.withColumn("inicio", F.to_date("inicio")).withColumn("p95", F.round("p95", 6))
 
 
+_LOCAL = "date_trunc('day', ts - INTERVAL 3 HOUR)"
+
+
+@query(f"""WITH r AS (SELECT ts, user_id % 5 AS tribunal, CASE WHEN event_id % 2 = 0 THEN 'capa' ELSE 'lista' END AS op, event_type, event_id, value FROM events),
+x AS (SELECT 'consultas_min' AS metrica, date_trunc('minute', ts) AS inicio, tribunal || '/' || op AS grupo, count(*)::DOUBLE AS valor FROM r GROUP BY ALL
+  UNION ALL SELECT 'erros_hora', date_trunc('hour', ts), CASE WHEN event_id % 3 = 0 THEN 'Timeout' ELSE '?' END, count(*) FROM r WHERE event_type = 'error' GROUP BY ALL
+  UNION ALL SELECT 'novos_dia', {_LOCAL}, tribunal::VARCHAR, count(*) FROM r WHERE event_type = 'signup' GROUP BY ALL
+  UNION ALL SELECT 'alertas_dia', {_LOCAL}, CASE WHEN event_id % 2 = 0 THEN 'imediato' ELSE 'resumo' END || '/' || CASE WHEN event_id % 9 = 0 THEN 'falha' ELSE 'ok' END, count(*) FROM r WHERE event_type = 'view' GROUP BY ALL
+  UNION ALL SELECT 'p95_latencia', date_trunc('hour', ts), tribunal || '/' || op, 1 FROM r WHERE value IS NOT NULL GROUP BY ALL)
+SELECT metrica, strftime(inicio, '%Y-%m-%d %H:%M') AS inicio, grupo, valor FROM x""")
+def g07_all_metrics(spark, d):
+    """Of the percentiles, 1 where the sketch's rank is within 0.02 of 0.95 or of the same value; an hour's runs are few."""
+    e, k = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id")
+    runs = e.select("ts", (F.col("user_id") % 5).alias("tribunal"), F.when(k % 2 == 0, "capa").otherwise("lista").alias("operacao"), (F.col("event_type") != "error").alias("sucesso"), F.when(k % 3 == 0, "Timeout").alias("excecao"), F.col("value").alias("latencia"))
+    cases = e.where("event_type = 'signup'").select(F.col("ts").alias("primeira_coleta_em"), (F.col("user_id") % 5).alias("tribunal"))
+    alerts = e.where("event_type = 'view'").select(F.col("ts").alias("enviado_em"), F.when(k % 2 == 0, "imediato").otherwise("resumo").alias("modalidade"), F.when(k % 9 == 0, "falha").otherwise("ok").alias("resultado"))
+    m = monitoring.all_metrics(runs, cases, alerts)
+    at = F.date_trunc("hour", "ts").alias("inicio"), F.concat_ws("/", F.col("tribunal").cast("string"), "operacao").alias("grupo")
+    near = m.where("metrica = 'p95_latencia'").join(runs.where("latencia is not null").select(*at, "latencia"), ["inicio", "grupo"]).groupBy("metrica", "inicio", "grupo", "valor").agg((F.count_if(F.col("latencia") < F.col("valor")) / F.count("*")).alias("under"), (F.count_if(F.col("latencia") <= F.col("valor")) / F.count("*")).alias("upto"))
+    near = near.select("metrica", "inicio", "grupo", ((F.col("under") <= 0.97) & (F.col("upto") >= 0.93)).cast("double").alias("valor"))
+    out = m.where("metrica <> 'p95_latencia'").union(near)
+    return out.withColumn("inicio", F.date_format("inicio", "yyyy-MM-dd HH:mm"))
+
+
 @query(with_ctes("""SELECT n_nationkey AS tribunal, CASE WHEN n_nationkey % 4 = 0 THEN 'inativo' WHEN n_nationkey % 5 = 0 THEN 'bloqueado' WHEN n_nationkey % 3 = 0 THEN 'pausado' ELSE 'ok' END AS estado, r.event_id AS ultima, coalesce(a.n, 0) AS alarmes FROM nation
   LEFT JOIN (SELECT tribunal, arg_max(event_id, (ts, event_id)) AS event_id FROM execucao GROUP BY 1) r ON r.tribunal = n_nationkey LEFT JOIN (SELECT user_id % 25 AS t, count(*) AS n FROM execucao WHERE NOT sucesso GROUP BY 1) a ON a.t = n_nationkey""", "execucao"))
 def g08_court_health(spark, d):

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..functions import ids, money_time, text
-from ..operators import normalize
+from ..operators import entities, normalize
 from ..sources import feeds
+from ..sources.shared import shared_folder
 from . import bindings as b
 from .bindings import sql_key, sql_norm, table, with_ctes
 from .catalog import query
 
 SUFFIXES = "|".join(text.COMPANY_SUFFIXES)
-SENTENCE = r"regexp_extract(text, '^([^.\n]*)', 1)"
-
-
-def first():
-    return F.regexp_extract("text", r"^([^.\n]*)", 1)
 
 
-@query(f"SELECT doc_id, strip_accents({SENTENCE}) AS plain FROM documents")
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def b01_remove_accents(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.remove_accents(first()).alias("plain"))
+    return table(spark, d, "documents").select("doc_id", text.remove_accents(F.col("text")).alias("plain"))
 
 
 @query(with_ctes(f"SELECT custkey, regexp_replace({sql_norm('nome')}, '^(.*?[A-Z0-9])( ({SUFFIXES}))+$', '\\1') AS nome_normalizado, {sql_norm('nome')} AS completo FROM pessoa", "pessoa"))
@@ -29,9 +27,9 @@ def b02_normalize_name(spark, d):
     return b.pessoa(spark, d).select("custkey", text.normalize_name(F.col("nome")).alias("nome_normalizado"), text.normalize_name(F.col("nome"), False).alias("completo"))
 
 
-@query(f"""SELECT doc_id, len(list_filter(string_split({sql_norm(SENTENCE)}, ' '), lambda w: w <> '' AND w NOT IN {text.PARTICLES})) >= 2 AS especifico FROM documents""")
+@query(f"""SELECT doc_id, len(list_filter(string_split({sql_norm('text')}, ' '), lambda w: w <> '' AND w NOT IN {text.PARTICLES})) >= 2 AS especifico FROM documents""")
 def b03_is_specific_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.is_specific_name(text.normalize_name(first(), False)).alias("especifico"))
+    return table(spark, d, "documents").select("doc_id", text.is_specific_name(text.normalize_name(F.col("text"), False)).alias("especifico"))
 
 
 @query(f"SELECT p_partkey, {sql_key('p_name')} AS nome_chave, {sql_key('p_type')} AS tipo_chave FROM part")
@@ -311,6 +309,35 @@ def a04_c08_page_kind(spark, d):
     return p.select("page_id", F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("titulo"), F.col("kind").alias("tipo"))
 
 
+@query(with_ctes("""SELECT numero_cnj AS numero, classe_nome AS classe, assunto_nome AS assunto, CASE WHEN p.id % 2 = 0 THEN 'Foro Central' ELSE 'Foro de ' || comarca END AS foro, valor_causa_centavos, strftime(data_distribuicao, '%Y-%m-%d') AS distribuicao,
+  'ativo:BANCO ' || (p.id % 9) || ':Ana & Filhos,Bruno|passivo:' || u.nome || ':' || CASE WHEN p.id % 4 = 0 THEN '|terceiro:Fulano:' ELSE '' END AS partes FROM processo p JOIN pessoa u USING (custkey) WHERE p.id % 5 > 0""", "processo", "pessoa"))
+def a04_c08_case_pages(spark, d):
+    """Covers, messages and outdated lots of all cases, packed by day, read again and taken apart: the newest complete lot of each case."""
+    p = b.processo(spark, d).join(b.pessoa(spark, d).select("custkey", "nome"), "custkey")
+    k, cents = F.col("id"), F.col("valor_causa_centavos")
+    field = lambda name, c: F.concat(F.lit(f'<span id="{name}">'), c, F.lit("</span>"))
+    party = lambda label, name, lawyers="": F.concat(F.lit(f'<tr><td><span class="tipoDeParticipacao">{label}</span></td><td class="nomeParteEAdvogado"> '), name, F.lit(f"{lawyers}</td></tr>"))
+    cover = F.concat(
+        F.lit("<html><body><div>"), field("numeroProcesso", F.col("numero_cnj")), field("classeProcesso", F.col("classe_nome")), field("assuntoProcesso", F.col("assunto_nome")), field("foroProcesso", F.when(k % 2 == 0, "Foro Central").otherwise(F.concat(F.lit("Foro de <b>"), "comarca", F.lit("</b>")))),
+        field("dataHoraDistribuicaoProcesso", F.date_format("data_distribuicao", "dd/MM/yyyy' às 10:15 - Livre'")), field("valorAcaoProcesso", money_time.format_brl(cents)), F.lit('</div><table id="tablePartesPrincipais"><tr><td>Reqte</td><td>X</td></tr></table><table id="tableTodasPartes">'),
+        party("Reqte:", F.concat(F.lit("BANCO "), (k % 9).cast("string")), "<br>Advogada:&nbsp;<span>Ana &amp; Filhos</span><br/>Advogado: Bruno"), party("Reqdo:", F.col("nome")), F.when(k % 4 == 0, party("Perito:", F.lit("Fulano"))).otherwise(""), F.lit("</table></body></html>"),
+    )
+    old = F.lit('<html><span id="numeroProcesso">de um lote anterior</span></html>')
+    page = F.when(k % 5 == 0, "<html>Processo em segredo de justiça</html>").otherwise(cover)
+    each = F.explode(F.array(F.struct(F.lit("a").alias("lot"), old.alias("html"), F.lit(0).alias("h")), F.struct(F.lit("b").alias("lot"), page.alias("html"), F.lit(2).alias("h")), F.struct(F.lit("c").alias("lot"), old.alias("html"), F.lit(5).alias("h"))))
+    made = p.select("id", F.to_date("data_distribuicao").alias("day"), each.alias("x")).select("day", "x.lot", F.lit(1).alias("page"), "x.html", F.concat_ws("/", F.date_format("day", "yyyy/MM/dd"), F.concat("x.lot", F.lit("-"), F.col("id").cast("string")), F.lit("001.html")).alias("path"))
+    at = f"{shared_folder(spark, 'pages')}/packed"
+    feeds.pack_raw_pages(made.withColumn("day", F.trunc("day", "year")), at)
+    read = feeds.read_packed_pages(spark, at, date(1970, 1, 1), date(2999, 1, 1))
+    case, noon = F.regexp_extract("path", r"-([0-9]+)/", 1), F.lit("2024-01-01 12:00:00").cast("timestamp")
+    hour = F.when(F.col("lot") == "a", 1).when(F.col("lot") == "b", 2).otherwise(3)
+    lots = read.withColumns({"case": case, "completa": F.col("lot") != "c", "coletado_em": noon + F.make_dt_interval(hours=hour)})
+    newest = entities.latest_complete_lot(lots, ["case"], noon + F.make_dt_interval(hours=F.lit(4)))
+    out = normalize.extract_case_pages(newest.select("path", "html"))
+    said = F.array_join(F.transform("partes", lambda x: F.concat_ws(":", x["polo"], x["nome"], F.array_join(x["advogados"], ","))), "|")
+    return out.select("numero", "classe", "assunto", "foro", money_time.to_cents(F.col("valor")).alias("valor_causa_centavos"), F.date_format(money_time.parse_br_date(F.col("distribuicao")), "yyyy-MM-dd").alias("distribuicao"), said.alias("partes"))
+
+
 @query(with_ctes("""SELECT 'valor negativo' AS violacao, count(*) AS n FROM processo WHERE valor_causa_centavos < 0 HAVING count(*) > 0 UNION ALL SELECT 'status fora da lista', count(*) FROM processo WHERE status NOT IN ('F', 'O') HAVING count(*) > 0 UNION ALL SELECT 'valor alto', count(*) FROM processo WHERE valor_causa_centavos > 20000000 HAVING count(*) > 0""", "processo"))
 def c09_validate_rows(spark, d):
     checks = {"valor negativo": F.col("valor_causa_centavos") >= 0, "status fora da lista": F.col("status").isin("F", "O"), "numero inválido": ids.is_valid_cnj(F.col("numero_cnj")), "valor alto": F.col("valor_causa_centavos") <= 20_000_000}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.keyed import KeyedTable
+from ..sources.shared import shared_folder as folder
 from ..streaming import jobs, matches
 from . import bindings as b
 from .bindings import sql_norm, sql_trgm, table, with_ctes
@@ -17,16 +16,6 @@ from .matching_queries import cases, rules
 from .subscription_queries import APPLIED
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset and Spark is on one machine."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if not shared and sc.master != "local" and not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = shared or tempfile.mkdtemp(prefix="stream-")
-    return f"{shared.rstrip('/')}/stream-{spark.sql('select uuid()').first()[0]}"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return jobs.file_stream(spark, d, "events").withColumn("ts", jobs.utc(F.col("ts")))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..operators import anonymize
 from ..operators import subscriptions as s
 from . import bindings as b
 from .bindings import table, with_ctes
@@ -118,11 +122,35 @@ def s05_retention(spark, d):
     return s.retention(e, "ts", F.lit("2024-01-31").cast("timestamp"), 7).select("event_id")
 
 
-@query(with_ctes("SELECT id, 'Parte: Pessoa ' || primeiro || '-1, vista.' AS texto, false AS sobrou FROM publicacao p JOIN (SELECT destinatario, min(id) AS primeiro FROM publicacao GROUP BY 1) USING (destinatario) WHERE length(trim(destinatario)) > 12 AND regexp_matches(destinatario, '^[A-Za-z ]+$')", "publicacao"))
+_PEOPLE = """SELECT custkey AS pessoa_id, documento FROM pessoa"""
+_KEPT = """SELECT p.pessoa_id FROM pes p WHERE documento IN (SELECT valor FROM alvo WHERE cliente_id % 6 > 0) OR pessoa_id IN (SELECT custkey FROM processo JOIN (SELECT processo_id FROM (SELECT id AS processo_id, cliente_id FROM processo WHERE id % 5 = 0) WHERE cliente_id % 6 > 0) ON id = processo_id)"""
+
+
+@query(with_ctes("""SELECT 'bruto' AS tabela, event_id AS chave FROM events WHERE ts >= TIMESTAMP '2024-01-12' UNION ALL SELECT 'tentativa', event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 1 DAY
+  UNION ALL SELECT 'cadastro', event_id FROM events WHERE event_type = 'signup' OR ts + INTERVAL 2 DAY >= TIMESTAMP '2024-01-25' - INTERVAL 7 DAY UNION ALL SELECT 'alvo', alvo_id FROM alvo WHERE cliente_id % 6 > 0
+  UNION ALL SELECT 'ocorrencia', id FROM processo WHERE id % 5 = 0 AND cliente_id % 6 > 0 UNION ALL SELECT 'parte', id FROM processo WHERE custkey IN (SELECT pessoa_id FROM kept) UNION ALL SELECT 'pessoa', pessoa_id FROM kept""", "processo", "pessoa", "alvo", pes=_PEOPLE, kept=_KEPT))
+def s05_retain(spark, d):
+    """Every rule of keeping, as (tabela, chave) of the rows that stay; of targets those that keep their values."""
+    e, cases, at = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), b.processo(spark, d), lambda day: F.lit(day).cast("timestamp")
+    closed = table(spark, d, "nation").where("n_nationkey % 6 = 0").select(F.col("n_nationkey").cast("long").alias("cliente_id"))
+    # The tables are dated so that each rule has something to do on the same day.
+    now, key = at("2024-01-25"), F.col("event_id").alias("chave")
+    raw = e.select(key, (F.col("ts") - F.make_ym_interval(F.lit(1)) + F.make_dt_interval(days=F.lit(13))).alias("coletado_em"))
+    attempts = e.select(key, (F.col("ts") + F.make_dt_interval(days=F.lit(5))).alias("criado_em"))
+    ups = e.select(key, F.when(F.col("event_type") == "signup", F.col("ts")).alias("concluido_em"), (F.col("ts") + F.make_dt_interval(days=F.lit(2))).alias("expira_em"))
+    seen = cases.where("id % 5 = 0").select(F.col("id").alias("processo_id"), "cliente_id")
+    parties = cases.select(F.col("id").alias("processo_id"), F.col("custkey").alias("pessoa_id"))
+    people = b.pessoa(spark, d).select(F.col("custkey").alias("pessoa_id"), "documento")
+    k = s.retain(raw, attempts, ups, b.alvo(spark, d), seen, parties, people, closed, now)
+    kept = {"bruto": k.raw, "tentativa": k.attempts, "cadastro": k.sign_ups, "alvo": k.targets.where("ativo").select("alvo_id"), "ocorrencia": k.occurrences.select("processo_id"), "parte": k.parties.select("processo_id"), "pessoa": k.people.select("pessoa_id")}
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("tabela"), F.col(df.columns[0]).cast("long").alias("chave")) for name, df in kept.items()])
+
+
+@query()
 def s06_anonymize_names(spark, d):
-    p = b.publicacao(spark, d).where("length(trim(destinatario)) > 12 and destinatario rlike '^[A-Za-z ]+$'")
-    pages = p.select("id", F.concat(F.lit("Parte: "), "destinatario", F.lit(", vista.")).alias("texto"))
-    return s.anonymize_names(pages, p.select("id", F.col("destinatario").alias("nome")))
+    """Whole texts of all documents, searched for the recipients of all of them."""
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))
+    return anonymize.anonymize_names(pages, b.publicacao(spark, d).select("id", F.col("destinatario").alias("nome")))
 
 
 _FOLD = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 65), lambda i: (instr('0123456789abcdef', substr(h, i, 1)) - 1)::BIGINT)), lambda a, x: (a * 16 + x) % 10000000)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,14 +89,32 @@ def read_tpu_catalog(spark: SparkSession, path: str, sep: str = ",") -> DataFram
     return raw.select(code.try_cast("long").alias("codigo"), text.squeeze(F.col("nome")).alias("nome")).where("codigo is not null")
 
 
-def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, day, lot, page, html) of saved pages named .../YYYY/MM/DD/<lot>/NNN.html."""
+def read_raw_pages(spark: SparkSession, path: str, days: list[date] | None = None) -> DataFrame:
+    """(path, day, lot, page, html) of saved pages named .../YYYY/MM/DD/<lot>/NNN.html; with ``days`` only those folders are listed."""
     at = r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/([^/]+)/([0-9]+)\.html$"
-    p = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+    if days is None:
+        raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    else:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folders = [f"{path.rstrip('/')}/{d:%Y/%m/%d}" for d in days]
+        there = [f for f in folders if (p := jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(conf).exists(p)]
+        raw = spark.read.text(there, wholetext=True, recursiveFileLookup=True) if there else spark.createDataFrame([], "value string")
+    p = raw.select((F.input_file_name() if days is None or there else F.lit("")).alias("path"), F.col("value").alias("html"))
     day = F.try_to_date(F.concat_ws("-", *[F.regexp_extract("path", at, i) for i in (1, 2, 3)]), "yyyy-MM-dd")
     return p.select("path", day.alias("day"), F.regexp_extract("path", at, 4).alias("lot"), F.regexp_extract("path", at, 5).try_cast("int").alias("page"), "html")
 
 
+def pack_raw_pages(pages: DataFrame, path: str) -> None:
+    """Pages (path, day, lot, page, html) of many small files as few large ones, in a folder for each day."""
+    pages.repartition("day").write.partitionBy("day").mode("append").parquet(path)
+
+
+def read_packed_pages(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
+    """What ``pack_raw_pages`` wrote, from day ``first`` to ``last``: the folders of other days aren't read."""
+    pages = spark.read.schema("path string, lot string, page int, html string, day date").parquet(path)
+    return pages.where(F.col("day").between(F.lit(first), F.lit(last))).select("path", "day", "lot", "page", "html")
+
+
 def company_lookup(rows: DataFrame, register: DataFrame, document: str = "documento") -> DataFrame:
     """``rows`` of companies in the register, with razao_social, nome_fantasia and situacao; companies without a name are left out."""
     r = register.select(ids.normalize_document(F.col("cnpj")).alias("cnpj_"), text.squeeze(F.col("razao_social")).alias("razao_social"), text.squeeze(F.col("nome_fantasia")).alias("nome_fantasia"), text.squeeze(F.col("situacao")).alias("situacao"))

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from casewatch.operators import entities, matching, monitoring, normalize, scoring, subscriptions
+from casewatch.operators import anonymize, entities, matching, monitoring, normalize, scoring, subscriptions
 from casewatch.sources import feeds, sinks
 
 
@@ -38,6 +38,16 @@ def test_files(spark, tmp_path):
     (at / "001.html").write_text("<html>x</html>")
     r = feeds.read_raw_pages(spark, str(tmp_path / "raw")).collect()[0]
     assert (r.day, r.lot, r.page) == (dt.date(2024, 1, 2), "lot1", 1)
+    other = tmp_path / "raw/2024/01/03/lot2"
+    other.mkdir(parents=True)
+    (other / "002.html").write_text("<html>y</html>")
+    days = [dt.date(2024, 1, 3), dt.date(2024, 1, 4)]
+    assert [(r.lot, r.page) for r in feeds.read_raw_pages(spark, str(tmp_path / "raw"), days).collect()] == [("lot2", 2)]
+    assert feeds.read_raw_pages(spark, str(tmp_path / "raw"), days[1:]).count() == 0
+    feeds.pack_raw_pages(feeds.read_raw_pages(spark, str(tmp_path / "raw")), str(tmp_path / "packed"))
+    packed = feeds.read_packed_pages(spark, str(tmp_path / "packed"), days[0], days[1])
+    assert [(r.lot, r.html) for r in packed.collect()] == [("lot2", "<html>y</html>")] and len(packed.inputFiles()) == 2
+    assert "PartitionFilters: [isnotnull(day" in packed._jdf.queryExecution().executedPlan().toString()
 
 
 def test_tpu_ambiguous_is_null(spark):
@@ -52,7 +62,11 @@ def test_case_page(spark):
     pages = spark.createDataFrame([("a", html), ("b", "<p>captcha</p>"), ("c", None), ("d", "<p>segredo de justiça</p>")], "path string, html string")
     assert {r.path: r.kind for r in normalize.classify_pages(pages, F.col("html")).collect()} == {"a": "capa", "b": "captcha", "c": "desconhecida", "d": "sigilo"}
     out = normalize.extract_case_pages(pages).collect()
-    assert len(out) == 1 and out[0].classe == "Execução Fiscal" and [tuple(p) for p in out[0].partes] == [("Exeqte:", "Município"), ("Exectdo:", "Fulano")]
+    assert len(out) == 1 and out[0].classe == "Execução Fiscal" and [tuple(p) for p in out[0].partes] == [("Exeqte:", "Município", ["X"], "ativo"), ("Exectdo:", "Fulano", [], "passivo")]
+    listing = """<div id="listagemDeProcessos"><h2 class="foroDosProcessos">Foro <b>Central</b></h2><ul><li><a href="x">1000123-35.2024.8.26.0100</a> de 1000123-35.2024.8.26.0100</li></ul>
+    <h2>Foro de Santos</h2><ul><li>2000123-35.2024.8.26.0562</li></ul></div>1111111-11.2024.8.26.0100"""
+    found = normalize.extract_list_pages(spark.createDataFrame([("l", listing), ("m", "<p>captcha</p>")], "path string, html string"))
+    assert rows(found) == [("l", "Foro Central", "1000123-35.2024.8.26.0100"), ("l", "Foro de Santos", "2000123-35.2024.8.26.0562")]
 
 
 def test_upsert_keeps_first_seen_and_is_idempotent(spark):
@@ -158,16 +172,16 @@ def test_payments_apply_once_in_order(spark):
 def test_anonymised_batch_leaves_no_name(spark):
     pages = spark.createDataFrame([(1, "ACME Comércio Ltda e Acme"), (2, "ação de ACME COMÉRCIO LTDA.")], "id long, texto string")
     names = spark.createDataFrame([(1, "Acme Comércio Ltda"), (1, "Acme"), (2, "Acme Comércio Ltda")], "id long, nome string")
-    out = {r.id: (r.texto, r.sobrou) for r in subscriptions.anonymize_names(pages, names).collect()}
+    out = {r.id: (r.texto, r.sobrou) for r in anonymize.anonymize_names(pages, names).collect()}
     assert out == {1: ("Pessoa 1-2 Ltda e Pessoa 1-1", False), 2: ("ação de Pessoa 1-2 Ltda.", False)}
 
 
 def test_names_of_other_pages_are_anonymised_too(spark):
     pages = spark.createDataFrame([(1, "Jane Smith, autora"), (2, "ouvida JANE SMITH e Acme"), (3, "a Jane-Smith, de Maria Clara de Souza e Silva Neto"), (4, "Maria Clara de Souza")], "id long, texto string")
     names = spark.createDataFrame([(1, "Jane Smith"), (1, "Maria Clara de Souza e Silva Neto"), (2, "Acme")], "id long, nome string")
-    out = {r.id: (r.texto, r.sobrou) for r in subscriptions.anonymize_names(pages, names).collect()}
+    out = {r.id: (r.texto, r.sobrou) for r in anonymize.anonymize_names(pages, names).collect()}
     assert out[1] == ("Pessoa 1-1, autora", False) and out[2] == ("ouvida Pessoa 1-1 e Pessoa 2-1", False)
-    assert out[3] == ("a Jane-Smith, de Pessoa 1-2", True) and out[4] == ("Maria Clara de Souza", False)
+    assert out[3] == ("a Pessoa 1-1, de Pessoa 1-2", False) and out[4] == ("Maria Clara de Souza", False)
 
 
 def test_tenant_filter(spark):
