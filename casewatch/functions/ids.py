@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +13,47 @@ from .text import remove_accents, squeeze
 
 #: The states that issue lawyer licences.
 STATES = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO")
+#: Weights of the second check digit of a person's and a company's tax id; those of the first are all but the first of these.
 CPF_WEIGHTS = (11, 10, 9, 8, 7, 6, 5, 4, 3, 2)
 CNPJ_WEIGHTS = (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
 
 
+class TaxId(NamedTuple):
+    """How a kind of tax id is written: sizes of its groups, the marks between them, the signs before the check digits, which are the last group."""
+
+    kind: str
+    groups: tuple[int, ...]
+    marks: str
+    signs: str
+    weights: tuple[int, ...]
+
+    @property
+    def size(self) -> int:
+        return sum(self.groups)
+
+    def raw(self) -> str:
+        """Pattern of an id without marks."""
+        return f"{self.signs}{{{self.size - self.groups[-1]}}}[0-9]{{{self.groups[-1]}}}"
+
+    def marked(self) -> str:
+        """Pattern of an id with its marks."""
+        signs = [self.signs] * (len(self.groups) - 1) + ["[0-9]"]
+        return "".join(f"{x}{{{n}}}" + re.escape(m) for x, n, m in zip(signs, self.groups, [*self.marks, ""]))
+
+    def formatted(self, doc: Column) -> Column:
+        """A raw id with its marks."""
+        starts = [1 + sum(self.groups[:i]) for i in range(len(self.groups))]
+        return F.concat(*[x for a, n, m in zip(starts, self.groups, [*self.marks, ""]) for x in (F.substring(doc, a, n), F.lit(m))])
+
+    def holds(self, doc: Column) -> Column:
+        """Whether a raw id is one: its form, more than one sign, and both check digits."""
+        return doc.rlike(f"^{self.raw()}$") & ~doc.rlike(r"^(.)\1*$") & _ends_well(doc, self.weights)
+
+
+#: Tax ids of people (PF) and of companies (PJ), which may have letters.
+TAX_IDS = (TaxId("PF", (3, 3, 3, 2), "..-", "[0-9]", CPF_WEIGHTS), TaxId("PJ", (2, 3, 3, 4, 2), "../-", "[0-9A-Z]", CNPJ_WEIGHTS))
+
+
 def normalize_document(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^0-9A-Z]", "")
 
@@ -39,9 +78,7 @@ def document_type(c: Column) -> Column:
     """PF for a valid CPF, PJ for a valid CNPJ (letters allowed in its first twelve places), else null."""
 
     def kind(doc: Column) -> Column:
-        varied = ~doc.rlike(r"^(.)\1*$")
-        pf = doc.rlike("^[0-9]{11}$") & varied & _ends_well(doc, CPF_WEIGHTS)
-        return F.when(pf, "PF").when(doc.rlike("^[0-9A-Z]{12}[0-9]{2}$") & varied & _ends_well(doc, CNPJ_WEIGHTS), "PJ")
+        return F.coalesce(*[F.when(t.holds(doc), t.kind) for t in TAX_IDS])
 
     return let(normalize_document(c), kind)
 
@@ -54,17 +91,20 @@ def complete_document(base: Column, weights: tuple[int, ...]) -> Column:
 
 def format_document(c: Column) -> Column:
     doc = normalize_document(c)
-    part = lambda a, n: F.substring(doc, a, n)
-    cpf = F.concat(part(1, 3), F.lit("."), part(4, 3), F.lit("."), part(7, 3), F.lit("-"), part(10, 2))
-    cnpj = F.concat(part(1, 2), F.lit("."), part(3, 3), F.lit("."), part(6, 3), F.lit("/"), part(9, 4), F.lit("-"), part(13, 2))
-    return F.when(F.length(doc) == 11, cpf).when(F.length(doc) == 14, cnpj).otherwise(c)
+    return F.coalesce(*[F.when(F.length(doc) == t.size, t.formatted(doc)) for t in TAX_IDS], c)
 
 
 def mask_document(c: Column) -> Column:
     """First and last two characters of an id of right length; all of any other is masked."""
     doc = normalize_document(c)
     n = F.length(doc)
-    return F.when(n.isin(11, 14), F.concat(F.substring(doc, 1, 2), F.repeat(F.lit("*"), n - 4), F.right(doc, F.lit(2)))).otherwise(F.lit("***"))
+    return F.when(n.isin(*[t.size for t in TAX_IDS]), F.concat(F.substring(doc, 1, 2), F.repeat(F.lit("*"), n - 4), F.right(doc, F.lit(2)))).otherwise(F.lit("***"))
+
+
+def mask_documents_in_text(c: Column) -> Column:
+    """Tax ids, formatted or raw, isolated from letters and digits, become [documento]."""
+    forms = [f for t in TAX_IDS for f in (t.marked(), t.raw())]
+    return F.regexp_replace(c, f"(?<![0-9A-Za-z])(?:{'|'.join(forms)})(?![0-9A-Za-z])", "[documento]")
 
 
 def cnj_check_digit(seq: Column, year: Column, segment: Column, court: Column, origin: Column) -> Column:

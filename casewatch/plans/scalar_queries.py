@@ -73,7 +73,7 @@ def b09_format_and_mask_document(spark, d):
 def b10_mask_documents_in_text(spark, d):
     p = b.pessoa(spark, d).where("documento is not null")
     said = F.concat(F.lit("parte "), ids.format_document(F.col("documento")), F.lit(", processo "), F.lpad(F.col("custkey").cast("string"), 20, "0"), F.lit("; "), "documento", F.lit("."))
-    return p.select("custkey", text.mask_documents_in_text(said).alias("texto"))
+    return p.select("custkey", ids.mask_documents_in_text(said).alias("texto"))
 
 
 @query(with_ctes("""SELECT id, substr(numero_cnj, 1, 7) AS seq, substr(numero_cnj, 9, 2) AS dv, substr(numero_cnj, 12, 4) AS ano, '8' AS segmento, '26' AS tribunal, substr(numero_cnj, 22, 4) AS origem FROM processo""", "processo"))

@@ -39,8 +39,8 @@ def test_documents(spark):
     assert values(spark, ["52998224725", "123"], ids.mask_document) == ["52*******25", "***"]
     said = ["cpf 529.982.247-25, cnpj 11222333000181; 1000123-35.2024.8.26.0100 e 10001233520248260100"]
     forms = ["52998224725 x52998224725 12.ABC.345/01DE-35 12ABC34501DE35 529982247-25 12.345.678/0001-9", None]
-    assert values(spark, forms, text.mask_documents_in_text) == ["[documento] x52998224725 [documento] [documento] 529982247-25 12.345.678/0001-9", None]
-    assert values(spark, said, text.mask_documents_in_text) == ["cpf [documento], cnpj [documento]; 1000123-35.2024.8.26.0100 e 10001233520248260100"]
+    assert values(spark, forms, ids.mask_documents_in_text) == ["[documento] x52998224725 [documento] [documento] 529982247-25 12.345.678/0001-9", None]
+    assert values(spark, said, ids.mask_documents_in_text) == ["cpf [documento], cnpj [documento]; 1000123-35.2024.8.26.0100 e 10001233520248260100"]
 
 
 def test_case_numbers(spark):
