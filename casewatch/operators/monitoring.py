@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.money_time import ZONE, local_date
+from ..sources.shared import checkpointed
 
 
 def error_rate(runs: DataFrame, start: Column, end: Column, percent: int = 10, least: int = 10) -> DataFrame:
@@ -125,12 +126,39 @@ def all_metrics(runs: DataFrame, cases: DataFrame, alerts: DataFrame) -> DataFra
     )
 
 
-def court_health(courts: DataFrame, runs: DataFrame, alarms: DataFrame, now: Column) -> DataFrame:
-    """Of each court: state, latest run, open alarms."""
-    state = F.when(~F.col("ativo"), "inativo").when(F.col("bloqueado_motivo").isNotNull(), "bloqueado").when(F.col("pausado_ate") > now, "pausado").otherwise("ok")
-    latest = runs.groupBy("tribunal").agg(F.max("ts").alias("ultima"), F.max_by("sucesso", F.struct("ts", "id")).alias("ultima_ok"))
-    n = alarms.groupBy("tribunal").agg(F.count("*").alias("alarmes"))
-    return courts.select("tribunal", state.alias("estado")).join(latest, "tribunal", "left").join(n, "tribunal", "left").withColumn("alarmes", F.coalesce("alarmes", F.lit(0)))
+def court_health(courts: DataFrame, runs: DataFrame, canaries: DataFrame, checks: DataFrame, alarms: DataFrame, sweeps: DataFrame, units: DataFrame, now: Column) -> DataFrame:
+    """One row a court: estado, execucao (its latest run), sentinelas, alarmes (open ones), falhas (sweeps that fail) and unidades.
+
+    ``courts``: tribunal, ativo, bloqueado_motivo, pausado_ate. ``runs``: tribunal,
+    id, ts, sucesso. ``canaries``: sentinela, tribunal, numero_cnj, ativo; only
+    active ones are told, each with its latest of ``checks`` (sentinela, id, ts,
+    sucesso, erro, campos), nulls where it has none. ``alarms``: tribunal, tipo,
+    aberto_em, resolvido_em. ``sweeps``: tribunal, falhas_seguidas. ``units``:
+    tribunal, comarca, competencia, vigente_desde. Courts without any of these
+    have an empty list, 0 or null. What is listed is what operators set up or
+    have open, a few a court; runs, checks and sweeps are only aggregated.
+    """
+    c = F.col
+    state = F.when(~c("ativo"), "inativo").when(c("bloqueado_motivo") != "", "bloqueado").when(c("pausado_ate") > now, "pausado").otherwise("ok")
+
+    def listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        """Rows of each court as a list, in the order of their fields."""
+        return rows.groupBy("tribunal").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    run = runs.groupBy("tribunal").agg(F.max(F.struct("ts", "id", "sucesso")).alias("execucao"))
+    watched = canaries.where("ativo").select("sentinela", "tribunal", "numero_cnj")
+    check = checks.join(watched.select("sentinela"), "sentinela", "left_semi").groupBy("sentinela").agg(F.max_by(F.struct(c("ts").alias("executada_em"), "sucesso", "erro", "campos"), F.struct("ts", "id")).alias("x"))
+    watched = watched.join(check, "sentinela", "left").select("tribunal", "sentinela", "numero_cnj", "x.*")
+    failing = sweeps.where("falhas_seguidas > 0").groupBy("tribunal").agg(F.count("*").alias("falhas"))
+    lists = {
+        "sentinelas": listed(watched, "sentinelas", "sentinela", "numero_cnj", "executada_em", "sucesso", "erro", "campos"),
+        "alarmes": listed(alarms.where("resolvido_em is null"), "alarmes", "aberto_em", "tipo"),
+        "unidades": listed(units, "unidades", "comarca", "competencia", "vigente_desde"),
+    }
+    out = courts.select("tribunal", state.alias("estado")).join(run, "tribunal", "left").join(failing, "tribunal", "left")
+    for name, rows in lists.items():
+        out = out.join(rows, "tribunal", "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    return out.withColumn("falhas", F.coalesce("falhas", F.lit(0)))
 
 
 def status_counts(rows: DataFrame, key: str, statuses: list[str]) -> DataFrame:
@@ -179,36 +207,97 @@ def page_after(rows: DataFrame, after: int | None, limit: int) -> DataFrame:
     return (rows if after is None else rows.where(F.col("id") < after)).orderBy(F.desc("id")).limit(limit + 1)
 
 
-def rate_limit_attempts(attempts: DataFrame, most: int, seconds: int) -> DataFrame:
+ENDS = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("free", pa.bool_()), ("kept", pa.list_(pa.int64()))])
+
+
+class _Attempts:
+    """Attempts of one range of the order, gone by in order, beginning with the permitted times that ``carried`` has for the range."""
+
+    def __init__(self, most: int, span: int, carried: dict[int, list[int]]) -> None:
+        self.most, self.span, self.carried = most, span, carried
+        self.part: int | None = None
+        self.first = self.last = self.before = None
+        #: Whether the end is the same whatever the range begins with: another key, or a pause of a whole window.
+        self.free = False
+        self.kept: deque[int] = deque()
+
+    def permitted(self, batch: pa.RecordBatch) -> list[bool | None]:
+        out: list[bool | None] = []
+        for part, key, s in zip(*(batch.column(c).to_pylist() for c in ("part_", "key_", "s_"))):
+            if self.part is None:
+                self.part, self.first = part, key
+                self.kept.extend(self.carried.get(part, ()))
+            elif key != self.last:
+                self.free, self.before = True, None
+                self.kept.clear()
+            self.last = key
+            if s is None:
+                out.append(None)
+                continue
+            self.free |= self.before is not None and s - self.before >= self.span
+            self.before = s
+            self._forget(s)
+            out.append(len(self.kept) < self.most)
+            if out[-1]:
+                self.kept.append(s)
+        return out
+
+    def _forget(self, s: int) -> None:
+        while self.kept and self.kept[0] <= s - self.span:
+            self.kept.popleft()
+
+
+def rate_limit_attempts(attempts: DataFrame, most: int, seconds: int, ranges: int | None = None) -> DataFrame:
     """Attempts (acao, chave, id) with permitida: fewer than ``most`` permitted ones of the same action and key in the ``seconds`` before.
 
     A fold: refused attempts aren't recorded, so they don't count. Rows are put
-    in line by action, key and time once and go by in one stream, of which the
-    last ``most`` permitted times are remembered; a key with many attempts is never
-    gathered. Times are compared to the microsecond; without one permitida is null.
+    in one order of action, key and time and dealt by ranges of it, so that a key
+    with many attempts lies in many tasks. Each range is first gone through as if
+    nothing came before it; it tells the permitted times that it ends with. A
+    range whose key goes on from the one before begins with those, and is asked
+    again only while what it begins with changes and shows at its end: it has one
+    key and no pause of a whole window. That ends with the fold's own result,
+    after a round or two, or at worst one for each range of a key without pauses.
+    The driver holds ``most`` times a range. Times are compared to the
+    microsecond; without one permitida is null. Rows that repeat are attempts
+    each; an empty table gives an empty result. ``ranges`` defaults to Spark's
+    number of shuffle partitions.
     """
-    key = ["acao", "chave"]
-    line = Window.partitionBy(*key).orderBy("s_", "id")
-    rows = attempts.select(*key, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("s_"))
-    # The sort is the window's own: Spark sorts once.
-    rows = rows.withColumn("first_", F.row_number().over(line) == 1).sortWithinPartitions(*key, "s_", "id")
+    order, span = ["acao", "chave", "s_", "id"], 1_000_000 * seconds
+    rows = attempts.select("acao", "chave", F.unix_micros(F.col("ts").cast("timestamp")).alias("s_"), "id")
+    dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    key = F.to_json(F.struct("acao", "chave"))
+    dealt = checkpointed(dealt.sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id()).withColumn("key_", key))
+
+    def ends(carried: dict[int, list[int]], parts: list[int] | None = None) -> dict:
+        """What each range, or each of ``parts``, tells of its first and last key and its end."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = _Attempts(most, span, carried)
+            for b in batches:
+                seen.permitted(b)
+            if seen.part is not None:
+                yield pa.RecordBatch.from_pylist([{"part": seen.part, "first": seen.first, "last": seen.last, "free": seen.free, "kept": list(seen.kept)}], ENDS)
+
+        asked = dealt if parts is None else dealt.where(F.col("part_").isin(parts))
+        return {r.part: r for r in asked.mapInArrow(run, "part int, first string, last string, free boolean, kept array<bigint>").collect()}
+
+    carried: dict[int, list[int]] = {}
+    told = ends(carried)
+    while True:
+        line = [told[p] for p in sorted(told)]
+        begun = {b.part: a.kept if a.last == b.first else [] for a, b in zip(line, line[1:])}
+        moved = {p: kept for p, kept in begun.items() if kept != carried.get(p, [])}
+        carried = carried | moved
+        again = [p for p in moved if not told[p].free]
+        if not again:
+            break
+        told |= ends(carried, again)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: deque[int] = deque()
+        seen = _Attempts(most, span, carried)
         for b in batches:
-            out: list[bool | None] = []
-            for s, first in zip(b.column("s_").to_pylist(), b.column("first_").to_pylist()):
-                if first:
-                    kept.clear()
-                if s is None:
-                    out.append(None)
-                    continue
-                while kept and kept[0] <= s - 1_000_000 * seconds:
-                    kept.popleft()
-                out.append(len(kept) < most)
-                if out[-1]:
-                    kept.append(s)
-            yield pa.RecordBatch.from_arrays([b.column("acao"), b.column("chave"), b.column("id"), pa.array(out, pa.bool_())], ["acao", "chave", "id", "permitida"])
+            yield pa.RecordBatch.from_arrays([b.column("acao"), b.column("chave"), b.column("id"), pa.array(seen.permitted(b), pa.bool_())], ["acao", "chave", "id", "permitida"])
 
     kinds = dict(attempts.dtypes)
-    return rows.mapInArrow(fold, f"acao {kinds['acao']}, chave {kinds['chave']}, id {kinds['id']}, permitida boolean")
+    return dealt.mapInArrow(fold, f"acao {kinds['acao']}, chave {kinds['chave']}, id {kinds['id']}, permitida boolean")

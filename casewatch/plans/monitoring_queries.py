@@ -86,14 +86,35 @@ def g07_all_metrics(spark, d):
     return out.withColumn("inicio", F.date_format("inicio", "yyyy-MM-dd HH:mm"))
 
 
-@query(with_ctes("""SELECT n_nationkey AS tribunal, CASE WHEN n_nationkey % 4 = 0 THEN 'inativo' WHEN n_nationkey % 5 = 0 THEN 'bloqueado' WHEN n_nationkey % 3 = 0 THEN 'pausado' ELSE 'ok' END AS estado, r.event_id AS ultima, coalesce(a.n, 0) AS alarmes FROM nation
-  LEFT JOIN (SELECT tribunal, arg_max(event_id, (ts, event_id)) AS event_id FROM execucao GROUP BY 1) r ON r.tribunal = n_nationkey LEFT JOIN (SELECT user_id % 25 AS t, count(*) AS n FROM execucao WHERE NOT sucesso GROUP BY 1) a ON a.t = n_nationkey""", "execucao"))
+_STATE = "CASE WHEN n_nationkey % 4 = 0 THEN 'inativo' WHEN n_nationkey % 5 = 0 THEN 'bloqueado' WHEN n_nationkey % 3 = 0 THEN 'pausado' ELSE 'ok' END"
+_LISTS = """r AS (SELECT user_id % 25 AS t, arg_max(event_id || ':' || sucesso, (ts, event_id)) AS execucao FROM execucao GROUP BY 1),
+k AS (SELECT user_id, arg_max(sucesso || ':' || CASE WHEN sucesso THEN '' ELSE CASE WHEN event_id % 2 = 0 THEN 'classe' ELSE 'classe,foro' END END, (ts, event_id)) AS x FROM execucao GROUP BY 1),
+s AS (SELECT c_nationkey AS t, string_agg(c_custkey || ':' || coalesce(x, '-'), ' ' ORDER BY c_custkey) AS sentinelas FROM customer LEFT JOIN k ON user_id = c_custkey WHERE c_custkey % 3 > 0 GROUP BY 1),
+a AS (SELECT user_id % 25 AS t, string_agg(event_id::VARCHAR, ' ' ORDER BY ts, event_id::VARCHAR) AS alarmes FROM execucao WHERE NOT sucesso AND event_id % 7 = 0 GROUP BY 1),
+f AS (SELECT o_custkey % 25 AS t, count(*) AS falhas FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1),
+u AS (SELECT s_nationkey AS t, string_agg(s_name || ':' || (s_suppkey % 2), ' ' ORDER BY s_name) AS unidades FROM supplier GROUP BY 1)"""
+
+
+@query(with_ctes(f"""SELECT n_nationkey::BIGINT AS tribunal, {_STATE} AS estado, execucao, coalesce(sentinelas, '') AS sentinelas, coalesce(alarmes, '') AS alarmes, coalesce(falhas, 0) AS falhas, coalesce(unidades, '') AS unidades
+FROM (WITH {_LISTS} SELECT * FROM nation LEFT JOIN r ON r.t = n_nationkey LEFT JOIN s ON s.t = n_nationkey LEFT JOIN a ON a.t = n_nationkey LEFT JOIN f ON f.t = n_nationkey LEFT JOIN u ON u.t = n_nationkey)""", "execucao"))
 def g08_court_health(spark, d):
-    k = F.col("n_nationkey")
+    c = F.col
+    k, e = c("n_nationkey"), b.execucao(spark, d)
     courts = table(spark, d, "nation").select(k.cast("long").alias("tribunal"), (k % 4 > 0).alias("ativo"), F.when(k % 5 == 0, "motivo").alias("bloqueado_motivo"), F.when(k % 3 == 0, F.lit("2024-03-01").cast("timestamp")).alias("pausado_ate"))
-    runs = b.execucao(spark, d).select("tribunal", "ts", F.col("event_id").alias("id"), F.col("event_id").alias("sucesso"))
-    alarms = b.execucao(spark, d).where("not sucesso").select((F.col("user_id") % 25).alias("tribunal"))
-    return monitoring.court_health(courts, runs, alarms, F.lit("2024-02-01").cast("timestamp")).select("tribunal", "estado", F.col("ultima_ok").alias("ultima"), "alarmes")
+    runs = e.select((c("user_id") % 25).alias("tribunal"), "ts", c("event_id").alias("id"), "sucesso")
+    canaries = table(spark, d, "customer").select(c("c_custkey").alias("sentinela"), c("c_nationkey").cast("long").alias("tribunal"), c("c_name").alias("numero_cnj"), (c("c_custkey") % 3 > 0).alias("ativo"))
+    fields = F.when(c("sucesso"), F.array().cast("array<string>")).otherwise(F.when(c("event_id") % 2 == 0, F.array(F.lit("classe"))).otherwise(F.array(F.lit("classe"), F.lit("foro"))))
+    checks = e.select(c("user_id").alias("sentinela"), c("event_id").alias("id"), "ts", "sucesso", F.when(~c("sucesso"), "falha").alias("erro"), fields.alias("campos"))
+    alarms = e.where("not sucesso").select((c("user_id") % 25).alias("tribunal"), c("event_id").cast("string").alias("tipo"), c("ts").alias("aberto_em"), F.when(c("event_id") % 7 > 0, c("ts")).alias("resolvido_em"))
+    sweeps = table(spark, d, "orders").select((c("o_custkey") % 25).alias("tribunal"), (c("o_orderkey") % 3).alias("falhas_seguidas"))
+    units = table(spark, d, "supplier").select(c("s_nationkey").cast("long").alias("tribunal"), c("s_name").alias("comarca"), (c("s_suppkey") % 2).cast("string").alias("competencia"), F.lit("2024-01-01").cast("date").alias("vigente_desde"))
+    h = monitoring.court_health(courts, runs, canaries, checks, alarms, sweeps, units, F.lit("2024-02-01").cast("timestamp"))
+    said = lambda name, f: F.array_join(F.transform(name, f), " ").alias(name)
+    text = lambda *parts: F.concat_ws(":", *[p.cast("string") for p in parts])
+    return h.select(
+        "tribunal", "estado", F.when(c("execucao").isNotNull(), text(c("execucao.id"), c("execucao.sucesso"))).alias("execucao"), said("sentinelas", lambda x: text(x["sentinela"], F.when(x["executada_em"].isNull(), "-").otherwise(text(x["sucesso"], F.array_join(x["campos"], ","))))),
+        said("alarmes", lambda x: x["tipo"]), "falhas", said("unidades", lambda x: text(x["comarca"], x["competencia"])),
+    )
 
 
 @query(with_ctes("""SELECT cliente_id, count(*) FILTER (status = 'ativa') AS ativa, count(*) FILTER (status = 'atrasada') AS atrasada, count(*) FILTER (status = 'suspensa') AS suspensa, count(*) FILTER (status = 'cancelada') AS cancelada FROM assinatura GROUP BY cliente_id""", "assinatura"))

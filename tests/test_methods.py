@@ -1,5 +1,6 @@
 """Methods that have a plain counterpart: similar names, as-of joins by stretches, dense ids, sketches, keeping and anonymising."""
 
+import collections
 import datetime as dt
 import random
 
@@ -141,3 +142,53 @@ def test_attempts_are_limited_to_the_microsecond(spark):
     said = [(0.9, 1), (10.1, 2), (10.9, 3), (10.899999, 4), (20.9, 5)]
     df = spark.createDataFrame([("a", "k", at + dt.timedelta(seconds=s), i) for s, i in said], "acao string, chave string, ts timestamp, id long")
     assert {r.id: r.permitida for r in monitoring.rate_limit_attempts(df, 1, 10).collect()} == {1: True, 2: False, 4: False, 3: True, 5: True}
+
+
+def _limited(attempts, most, seconds):
+    """The fold one attempt after another."""
+    kept, out = {}, []
+    for acao, chave, ts, i in sorted((a for a in attempts if a[2] is not None), key=lambda a: (str(a[0]), str(a[1]), a[2], a[3])):
+        before = [t for t in kept.get((acao, chave), []) if t > ts - dt.timedelta(seconds=seconds)]
+        ok = len(before) < most
+        kept[acao, chave] = before + [ts] * ok
+        out.append((str(acao), str(chave), i, ok))
+    return sorted(out + [(str(a), str(c), i, None) for a, c, ts, i in attempts if ts is None], key=str)
+
+
+@pytest.mark.parametrize("most, seconds", [(1, 30), (3, 40), (5, 7), (0, 10), (4, 100_000)])
+def test_attempts_of_one_key_over_many_ranges(spark, most, seconds):
+    """A hot key with and without pauses, keys that end within a range, null keys and times, ties."""
+    rng, at = random.Random(most), dt.datetime(2024, 1, 1)
+    data, s = [], 0.0
+    for i in range(1500):
+        s += rng.choice([0, 0.5, 1, 3, 11]) + (60 if i % 400 == 399 else 0)
+        data.append(("a", "hot", at + dt.timedelta(seconds=s), i))
+    data += [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), at + dt.timedelta(seconds=rng.randrange(900)), 2000 + i) for i in range(300)]
+    data += [("a", "hot", None, 5000), (None, None, None, 5001)]
+    df = spark.createDataFrame(data, "acao string, chave string, ts timestamp, id long")
+    for ranges in (1, 13):
+        out = monitoring.rate_limit_attempts(df, most, seconds, ranges)
+        got = out.withColumn("part", F.spark_partition_id()).collect()
+        assert sorted(((str(r.acao), str(r.chave), r.id, r.permitida) for r in got), key=str) == _limited(data, most, seconds)
+    sizes = collections.Counter(r.part for r in got if r.chave == "hot")
+    assert len(sizes) > 8 and max(sizes.values()) < 2 * 1802 / 13
+    assert monitoring.rate_limit_attempts(df.limit(0), most, seconds).count() == 0
+
+
+def test_court_health_tells_all_it_watches(spark):
+    at = dt.datetime(2024, 1, 1)
+    day = lambda n: at + dt.timedelta(days=n)
+    make = spark.createDataFrame
+    courts = make([(1, True, None, None), (2, True, "", day(9)), (3, False, "x", None), (4, True, "x", None)], "tribunal long, ativo boolean, bloqueado_motivo string, pausado_ate timestamp")
+    runs = make([(1, 1, day(1), True), (1, 2, day(1), False), (2, 3, day(0), True)], "tribunal long, id long, ts timestamp, sucesso boolean")
+    canaries = make([(10, 1, "n10", True), (11, 1, "n11", True), (12, 1, "n12", False)], "sentinela long, tribunal long, numero_cnj string, ativo boolean")
+    checks = make([(10, 1, day(1), True, None, []), (10, 2, day(2), False, "e", ["classe"]), (12, 3, day(3), True, None, [])], "sentinela long, id long, ts timestamp, sucesso boolean, erro string, campos array<string>")
+    alarms = make([(1, "volume", day(3), None), (1, "erro", day(2), None), (1, "erro", day(0), day(1))], "tribunal long, tipo string, aberto_em timestamp, resolvido_em timestamp")
+    sweeps = make([(1, 0), (1, 2), (1, 1), (2, 0)], "tribunal long, falhas_seguidas int")
+    units = make([(2, "B", "civel", day(0)), (2, "A", "civel", day(0))], "tribunal long, comarca string, competencia string, vigente_desde timestamp")
+    out = {r.tribunal: r for r in monitoring.court_health(courts, runs, canaries, checks, alarms, sweeps, units, F.lit(day(5))).collect()}
+    assert [out[i].estado for i in (1, 2, 3, 4)] == ["ok", "pausado", "inativo", "bloqueado"]
+    assert (out[1].execucao.id, out[1].execucao.sucesso, out[4].execucao) == (2, False, None)
+    assert [(x.sentinela, x.sucesso, x.erro, x.campos) for x in out[1].sentinelas] == [(10, False, "e", ["classe"]), (11, None, None, None)]
+    assert [a.tipo for a in out[1].alarmes] == ["erro", "volume"] and out[2].alarmes == [] and out[2].sentinelas == []
+    assert (out[1].falhas, out[2].falhas) == (2, 0) and [u.comarca for u in out[2].unidades] == ["A", "B"]
