@@ -90,7 +90,7 @@ def with_edited(docs: DataFrame, run: int = 256) -> DataFrame:
     next one is at hand, the first row of each run is copied to the end of the
     run before it, the very first to the end of the last; copies have own_ false.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     nameless = F.pmod(F.xxhash64("text"), F.lit(NAMELESS)) - (1 << 62)
     rows = rows.withColumn("run_", F.coalesce(F.floor(F.col("doc_id") / run), nameless))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -75,7 +75,7 @@ def occurrences(docs: DataFrame, train: Column, buckets: int) -> DataFrame:
         for number, rows in enumerate(_batches(records)):
             yield _pack(rows, (task << 24) + number, buckets)
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
+    given = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
     return given.mapInArrow(run, ROWS)
 
 

@@ -73,13 +73,14 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, separator: int = 1) ->
     """(bin_id, capacity, used, position, doc_id, piece, start, length): one row for each piece of each document.
 
     A document has as many tokens as words, plus ``separator``; start and length
-    count tokens. Null and empty texts have the separator alone. Repeated rows
+    count tokens. Null and empty texts have the separator alone. Ids that aren't
+    numbers count as none. Repeated rows
     are packed each by itself. Every token is in one piece, no bin is over its
     capacity. Other columns are ignored; an empty table gives no rows.
     """
     sizes = tuple(sorted(sizes))
     most = sizes[-1]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_words(F.col("text")) + separator).alias("n"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), (n_words(F.col("text")) + separator).alias("n"), F.xxhash64("doc_id", "text").alias("h"))
     # Repeated rows are told apart by a number, by which they go to different shards.
     rows = checkpoint(rows.groupBy("doc_id", "n", "h").agg(F.count("*").alias("copies")))
     rows = rows.select("doc_id", "n", "h", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).withColumn("key", F.xxhash64("doc_id", "h", "copy"))

@@ -101,7 +101,7 @@ def _columns(words: int) -> list[str]:
 
 
 def _given(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("told"), "text")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), text_key(F.col("text")).alias("told"), "text")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -378,7 +378,7 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Dat
     each = groups.groupBy("root", "doc_id", "told").agg(F.count("*").alias("copies"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told", "copies")).alias("x"))
     kept = checkpoint(first.select(F.col("x.doc_id").alias("id"), F.col("x.told").alias("told"), F.col("x.copies").alias("copies")))
-    rows = docs.select(wrapped(docs).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key(F.col("text")).alias("own_told"))
+    rows = docs.select(wrapped(docs).alias("row"), F.col("doc_id").try_cast("long").alias("own_id"), text_key(F.col("text")).alias("own_told"))
     same = lambda k: rows.join(k, F.col("own_id").eqNullSafe(k["id"]) & (F.col("own_told") == k["told"]))
     single = same(kept.where("copies = 1")).select("row.*")
     several = same(small_side(kept.where("copies > 1"))).groupBy("id", "told").agg(F.min("row").alias("row")).select("row.*")

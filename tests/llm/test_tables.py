@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from casewatch.llm import cws, mixing, packing, topk
+from casewatch.llm import cws, mixing, packing, simhash, topk
 
 TEXTS = [(1, "a b c"), (2, None), (3, ""), (4, "w " * 5000), (5, "dup dup"), (5, "dup dup"), (None, "no id"), (7, "É é e"), *[(100 + i, "t " * (i * 37 % 900)) for i in range(150)]]
 
@@ -156,3 +156,10 @@ def test_weighted_sampling(spark):
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.13
     assert got[5002].fingerprint == got[5003].fingerprint and got[5002].near_next == 1.0
     assert cws.fingerprints(df.where("false")).count() == 0
+
+
+def test_ids_that_are_not_numbers_count_as_none(spark):
+    docs = spark.createDataFrame([("7", "one two three four five six"), ("x7", "other words are here in this one"), ("", None)], "doc_id string, text string")
+    assert sorted({r.doc_id for r in packing.pack(docs).collect()}, key=str) == [7, None]
+    assert sorted((r.doc_id for r in cws.with_edited(docs).where("own_").collect()), key=str) == [7, None, None]
+    assert sorted((r.doc_id for r in simhash.near_duplicates(docs, shingle=3, distance=3, segments=2).collect()), key=str) == [7, None, None]
