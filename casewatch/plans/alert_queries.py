@@ -17,14 +17,24 @@ _SCORED = f"""SELECT m.processo_id, m.alvo_id, m.cliente_id, 20 + CASE WHEN p.va
 _MODE = "CASE WHEN score >= 60 THEN 'todos_canais' WHEN score >= 30 THEN 'email_imediato' ELSE 'resumo_diario' END"
 
 
-def scored(spark, d):
-    """Occurrences by document, with score and mode."""
+def scored(spark, d, clients=None):
+    """Occurrences by document, with score and mode: by the configuration of ``clients`` (cliente_id, config), or one for all."""
     m = matching.best_match(by_document(spark, d))
     p = b.processo(spark, d).select(F.col("id").alias("processo_id"), "valor_causa_centavos", "classe_nome", "numero_cnj", "comarca")
     j = m.join(p, "processo_id").join(b.alvo(spark, d).select("alvo_id", "prioridade"), "alvo_id")
-    factors = {"polo_passivo": F.col("polo") == "passivo", "valor_acima_limite": F.col("valor_causa_centavos") > 20_000_000, "rito_rapido": scoring.is_fast_track_class(F.col("classe_nome")), "prioridade_critica": F.col("prioridade") == "critica"}
-    j = j.withColumn("score", scoring.urgency_score(factors))
-    return j.withColumn("modalidade", scoring.alert_mode(F.col("score")))
+    config, limit = None, F.lit(20_000_000)
+    if clients is not None:
+        j, config, limit = j.join(clients, "cliente_id"), F.col("config"), F.col("config.limite_valor_centavos")
+    factors = {"polo_passivo": F.col("polo") == "passivo", "valor_acima_limite": F.col("valor_causa_centavos") > limit, "rito_rapido": scoring.is_fast_track_class(F.col("classe_nome")), "prioridade_critica": F.col("prioridade") == "critica"}
+    j = j.withColumn("score", scoring.urgency_score(factors, config))
+    return j.withColumn("modalidade", scoring.alert_mode(F.col("score"), config))
+
+
+def _configs(spark, d):
+    """What each nation's clients set: weights and a threshold, a limit, nothing that is valid, or nothing."""
+    k = F.col("n_nationkey")
+    said = F.when(k % 5 == 1, '{"pesos": {"polo_passivo": 50}, "limiar_todos_canais": 70}').when(k % 5 == 2, F.concat(F.lit('{"limite_valor_centavos": '), (k * 1000).cast("string"), F.lit("}"))).when(k % 5 == 3, '{"limiar_todos_canais": 70, "outro": 1}').when(k % 5 == 4, '{"pesos": {"polo_passivo": 500}, "limiar_todos_canais": 70}')
+    return table(spark, d, "nation").select("n_nationkey", scoring.load_alert_config(said).alias("config"))
 
 
 @query(with_ctes(f"SELECT cliente_id, {_MODE} AS modalidade, count(*) AS ocorrencias, max(score)::BIGINT AS maior FROM ({_SCORED}) GROUP BY 1, 2", "reu", "alvo", "processo"))
@@ -34,9 +44,7 @@ def flagship_alert_modes(spark, d):
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 1 THEN 50 ELSE 20 END::BIGINT AS polo_passivo, CASE n_nationkey % 5 WHEN 2 THEN n_nationkey * 1000 END::BIGINT AS limite, CASE n_nationkey % 5 WHEN 1 THEN 70 ELSE 60 END::BIGINT AS todos FROM nation""")
 def f01_load_alert_config(spark, d):
-    k = F.col("n_nationkey")
-    said = F.when(k % 5 == 1, '{"pesos": {"polo_passivo": 50}, "limiar_todos_canais": 70}').when(k % 5 == 2, F.concat(F.lit('{"limite_valor_centavos": '), (k * 1000).cast("string"), F.lit("}"))).when(k % 5 == 3, '{"limiar_todos_canais": 70, "outro": 1}').when(k % 5 == 4, '{"pesos": {"polo_passivo": 500}, "limiar_todos_canais": 70}')
-    return table(spark, d, "nation").select("n_nationkey", scoring.load_alert_config(said).alias("c")).select("n_nationkey", "c.polo_passivo", F.col("c.limite_valor_centavos").alias("limite"), F.col("c.limiar_todos_canais").alias("todos"))
+    return _configs(spark, d).select("n_nationkey", "config.polo_passivo", F.col("config.limite_valor_centavos").alias("limite"), F.col("config.limiar_todos_canais").alias("todos"))
 
 
 @query(with_ctes(f"SELECT id, {_FAST} AS rapido FROM processo", "processo"))
@@ -49,6 +57,17 @@ def f03_f04_score_and_mode(spark, d):
     return scored(spark, d).select("processo_id", "alvo_id", "score", "modalidade")
 
 
+_OWN = f"""SELECT m.processo_id, m.alvo_id, m.cliente_id, least(100, CASE m.cliente_id % 5 WHEN 1 THEN 50 ELSE 20 END + CASE WHEN m.cliente_id % 5 = 2 AND p.valor_causa_centavos > m.cliente_id * 1000 THEN 15 ELSE 0 END
+  + CASE WHEN {_FAST} THEN 15 ELSE 0 END + CASE WHEN a.prioridade = 'critica' THEN 10 ELSE 0 END) AS score FROM ({E1}) m JOIN processo p ON p.id = m.processo_id JOIN alvo a ON a.alvo_id = m.alvo_id"""
+
+
+@query(with_ctes(f"""SELECT processo_id, alvo_id, score::BIGINT AS score, CASE WHEN score >= CASE cliente_id % 5 WHEN 1 THEN 70 ELSE 60 END THEN 'todos_canais' WHEN score >= 30 THEN 'email_imediato' ELSE 'resumo_diario' END AS modalidade FROM ({_OWN})""", "reu", "alvo", "processo"))
+def f03_f04_own_configuration(spark, d):
+    """Each client's weights, thresholds and limit of value; without a limit the value gives no points."""
+    clients = _configs(spark, d).select(F.col("n_nationkey").cast("long").alias("cliente_id"), "config")
+    return scored(spark, d, clients).select("processo_id", "alvo_id", "score", "modalidade")
+
+
 def _alerts(spark, d):
     o = scored(spark, d).withColumn("ocorrencia", F.concat_ws("/", F.col("processo_id").cast("string"), F.col("alvo_id").cast("string"))).withColumn("criada", F.col("processo_id") % 2 == 0)
     k = F.col("n_nationkey")

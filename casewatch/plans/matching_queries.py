@@ -82,9 +82,9 @@ def e05_e07_match_rules(spark, d):
     return matching.match_rules(cases(spark, d), rules(spark, d), by_document(spark, d)).select("processo_id", "regra_id")
 
 
-@query(with_ctes("""SELECT id AS processo_id, t AS regra_id FROM processo, (SELECT unnest([1, 2, 3, 4]) AS t) WHERE NOT segredo AND CASE t WHEN 1 THEN classe_codigo = 1116 WHEN 2 THEN assunto_codigo = 10433 AND id % 2 = 0 WHEN 3 THEN classe_codigo = 92 ELSE classe_codigo = 181 END""", "processo"))
+@query(with_ctes("""SELECT id AS processo_id, t AS regra_id FROM processo, (SELECT r_regionkey::BIGINT AS t FROM region) WHERE NOT segredo AND CASE t WHEN 1 THEN classe_codigo = 1116 WHEN 2 THEN assunto_codigo = 10433 AND id % 2 = 0 WHEN 3 THEN classe_codigo = 92 ELSE classe_codigo = 181 END""", "processo"))
 def e06_match_terms(spark, d):
-    r = table(spark, d, "region").where("r_regionkey between 1 and 4").select(F.col("r_regionkey").alias("regra_id"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("regra_id"))
     k = F.col("regra_id")
     terms = r.select("regra_id", F.when(k == 1, "acao").when(k == 2, "assunto").otherwise("frase").alias("tipo_termo"), F.when(k == 1, "execução fiscal").when(k == 2, "DANO MORAL").when(k == 3, "falta de pagamento").otherwise("apreensao").alias("texto_termo"), F.when(k == 2, "TJSP").alias("tribunal_sigla"))
     return matching.match_terms(cases(spark, d), terms)

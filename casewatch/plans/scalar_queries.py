@@ -303,6 +303,16 @@ def a03_c07_tpu_enrich(spark, d):
     return normalize.tpu_enrich(p.select("p_partkey", "p_name"), "p_name", catalog, "codigo")
 
 
+@query(f"""WITH c AS (SELECT {sql_key('p_name')} AS k, CASE WHEN min(p_partkey) = max(p_partkey) THEN min(p_partkey) END AS codigo FROM part WHERE p_partkey % 11 > 0 GROUP BY 1) SELECT p_partkey, codigo FROM part LEFT JOIN c ON k = {sql_key('p_name')}""")
+def a03_read_catalog(spark, d):
+    """The catalogue as a file, with byte order marks, padded names and rows without a code, read again and put to names."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    code = F.when(k % 11 == 0, "sem código").when(k % 10 == 0, F.concat(F.lit("\ufeff"), k.cast("string"))).otherwise(k.cast("string"))
+    at = shared_folder(spark, "catalog")
+    p.select(code.alias("codigo"), F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("  "))).alias("nome")).write.csv(at)
+    return normalize.tpu_enrich(p.select("p_partkey", "p_name"), "p_name", feeds.read_tpu_catalog(spark, at), "codigo").select("p_partkey", "codigo")
+
+
 @query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS titulo, CASE WHEN html ILIKE '%captcha%' THEN 'captcha' WHEN html ILIKE '%segredo de justi%' THEN 'sigilo' ELSE 'desconhecida' END AS tipo FROM pages""")
 def a04_c08_page_kind(spark, d):
     p = normalize.classify_pages(table(spark, d, "pages"), F.col("html"))

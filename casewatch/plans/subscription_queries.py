@@ -11,7 +11,7 @@ from ..functions import ids
 from ..operators import anonymize
 from ..operators import subscriptions as s
 from . import bindings as b
-from .bindings import table, with_ctes
+from .bindings import sql_check_digit, table, with_ctes
 from .catalog import query
 
 TODAY = "1998-03-01"
@@ -160,3 +160,14 @@ _FOLD = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 65), lambda
   FROM (SELECT *, lpad(({_FOLD})::VARCHAR, 7, '0') AS q FROM (SELECT *, sha256(replace(replace(numero_cnj, '-', ''), '.', '')) AS h FROM processo))""", "processo"))
 def s07_pseudonymize_ids(spark, d):
     return b.processo(spark, d).select("id", ids.pseudonymous_cnj(F.col("numero_cnj")).alias("ficticio"))
+
+_MADE = "translate(substr(h, 1, 9), 'abcdef', '012345') AS f, translate(substr(h, 1, 8), 'abcdef', '012345') || '0001' AS j"
+
+
+@query(with_ctes(
+    f"SELECT custkey, CASE length(documento) WHEN 11 THEN f1 || {sql_check_digit('f1', ids.CPF_WEIGHTS)} WHEN 14 THEN j1 || {sql_check_digit('j1', ids.CNPJ_WEIGHTS)} END AS ficticio FROM made1", "pessoa",
+    made0=f"SELECT custkey, documento, {_MADE} FROM (SELECT *, sha256(documento) AS h FROM pessoa)", made1=f"SELECT *, f || {sql_check_digit('f', ids.CPF_WEIGHTS[1:])} AS f1, j || {sql_check_digit('j', ids.CNPJ_WEIGHTS[1:])} AS j1 FROM made0",
+))
+def s07_pseudonymous_documents(spark, d):
+    """Every document as it is written on a page, replaced by a valid fictitious one."""
+    return b.pessoa(spark, d).select("custkey", ids.pseudonymous_document(ids.format_document(F.col("documento"))).alias("ficticio"))
