@@ -1,17 +1,28 @@
 """Personal data: patterns, and information-theoretic sanitisation of what stands in the same texts.
 
-Patterns find the protected entities. Then the corpus tells how strongly a term
-reveals one. All shares are of distinct texts (copies count once): p(e) of those
-that hold the entity, p(t) of those that hold the term, p(t|e) of the entity's
-texts that hold the term, wherever in the text either stands. Then
-
-    disclosure(t, e) = log2(p(t|e) / p(t)) / -log2 p(e)
-
-is the part of the entity's information content that the term gives away, 1 for
-a term that is seen with the entity always and nowhere else. A pair must be seen
-in ``support`` different texts to be judged. Terms above one threshold are
-generalised, above another removed, wherever they stand in a text of that
-entity. Built-in functions only.
+Patterns find the protected entities. Each also belongs to a group: the mail
+domain, the first half of the address, the card's issuer, the number without
+its last seven digits. Entities and groups are the secrets e; groups that more
+than one text in 2^5 holds tell nobody apart and are none. The corpus tells how
+strongly a term t reveals a secret. All counts are of distinct texts (copies
+count once): N of all, n_e with the secret, n_t with the term, n_et with both,
+wherever in the text either stands. With p = n_e / N,
+
+    q = (n_et + m * p) / (n_t + m),    m = p ** (threshold - 1)
+    disclosure(t, e) = 1 - log q / log p
+
+is the part of the secret's information content, -log2 p, that the term gives
+away: 1 for a term that is seen with the secret always and nowhere else. The
+prior's strength m is such that one sighting stays below the threshold in a
+corpus of any size, while two of a term seen nowhere else pass once the secret
+has 5 bits. Terms above the threshold are generalised, above another removed,
+wherever they stand in a text with that secret.
+
+A term is generalised as values are in a hierarchy of suffixes: to the longest
+of its prefixes from which up all prefixes stay below the threshold for each
+secret the term gives away, a prefix being seen where a term that starts with it
+is (``cardiologist`` to ``cardio*``); where none does, to ``[TERM]``. Built-in
+functions only.
 """
 
 from __future__ import annotations
@@ -19,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, located, small_side, text_key, wrapped
+from .common import checkpoint, located, removed, small_side, text_key, wrapped, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -91,44 +102,90 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
-    """(told, marks array<struct<term, kind>>): a text's terms that give away an entity of it; kind is ``term`` or ``removed``.
+def group(kind: Column, value: Column) -> Column:
+    """What an entity has in common with others of its kind, from its normal form."""
+    whole = F.element_at(F.split(value, "@"), -1)
+    return F.when(kind == "email", whole).when(kind == "ip", F.regexp_extract(value, r"^[0-9]+\.[0-9]+\.", 0)).when(kind == "card", F.left(value, F.lit(6))).otherwise(F.left(value, F.length(value) - 7))
 
+
+def _share(n_et: str, n_t: str, n_docs: int, generalise: float) -> Column:
+    p = F.col("n_e") / F.lit(n_docs)
+    m = F.pow(p, F.lit(generalise - 1))
+    return 1 - F.ln((F.col(n_et) + m * p) / (F.col(n_t) + m)) / F.ln(p)
+
+
+def disclosures(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, group_bits: int = 5) -> DataFrame:
+    """(told, marks array<struct<term, kind, keep>>): a text's terms that give away a secret of it; kind is ``term`` or ``removed``.
+
+    keep is the number of characters of a generalised term's broader one, 0 where there is none.
     ``found`` is what ``detect`` gives of ``docs``. Null and empty texts have no
-    terms; copies are one text; without an entity in ``support`` texts, and for
-    an empty table, there are no rows.
+    terms; copies are one text; without a secret in two texts, and for an empty
+    table, there are no rows.
     """
     counts = found.groupBy("told").agg(F.count("*").alias("copies"))
     n_docs = counts.count()
     copied = small_side(counts.where("copies > 1"))
-    # (text, entity), once each; of entities in several texts, for no other can be judged.
-    holds = found.select("told", F.explode("spans").alias("s")).select("told", F.col("s.kind").alias("e_kind"), F.col("s.value").alias("e")).distinct()
-    often = small_side(holds.groupBy("e_kind", "e").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < n_docs)))
+    # (text, secret), once each; of secrets in several texts, for no other can be judged.
+    secrets = F.array(F.struct(F.col("s.kind").alias("e_kind"), F.col("s.value").alias("e")), F.struct(F.concat("s.kind", F.lit("_group")).alias("e_kind"), group(F.col("s.kind"), F.col("s.value")).alias("e")))
+    holds = found.select("told", F.explode("spans").alias("s")).select("told", F.explode(secrets).alias("x")).select("told", "x.*").distinct()
+    telling = ~F.endswith("e_kind", F.lit("_group")) | (F.col("n_e") * 2**group_bits <= n_docs)
+    often = small_side(holds.groupBy("e_kind", "e").agg(F.count("*").alias("n_e")).where((F.col("n_e") > 1) & (F.col("n_e") < n_docs) & telling))
     holds = small_side(holds.join(often, ["e_kind", "e"]).groupBy("told").agg(F.collect_list(F.struct("e_kind", "e", "n_e")).alias("es")), weight=F.size("es"))
     rows = docs.select(text_key(F.col("text")).alias("told"), F.coalesce("text", F.lit("")).alias("text"))
     # Of copies one has the terms: the others weigh nothing.
     texts = rows.join(holds, "told").groupBy("told").agg(F.first("text").alias("text"), F.first("es").alias("es"))
     texts = checkpoint(texts.select("told", "es", _terms(F.col("text")).alias("terms")))
     pairs = texts.select("told", "es", F.explode("terms").alias("term")).where(F.length("term") > 2).select("told", "term", F.explode("es").alias("x")).select("told", "term", "x.*")
-    both = checkpoint(pairs.groupBy("e_kind", "e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support))
-    asked = small_side(both.select("term").distinct())
+    seen = pairs.groupBy("e_kind", "e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"))
+    # One sighting is below the threshold whatever the counts.
+    both = checkpoint(seen.where("n_et > 1"))
     # Counted before they are joined: what the join gives is bounded by the terms asked for.
     weigh = rows.join(copied, "told", "left").select(_terms(F.col("text")).alias("terms"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    of_t = weigh.select(F.explode("terms").alias("term"), "copies").groupBy("term", "copies").agg(F.count("*").alias("n")).join(asked, "term")
-    of_t = of_t.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t"))
-    share = (F.log2(F.col("n_et") / F.col("n_e")) - F.log2(F.col("n_t") / n_docs)) / F.log2(n_docs / F.col("n_e"))
-    strong = both.join(of_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("e_kind", "e", "term", "share")
-    hit = pairs.join(small_side(strong), ["e_kind", "e", "term"]).groupBy("told", "term").agg(F.max("share").alias("share"))
-    mark = F.struct("term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("kind"))
+    of_t = weigh.select(F.explode("terms").alias("term"), "copies").where(F.length("term") > 2).groupBy("term", "copies").agg(F.count("*").alias("n"))
+    of_t, path = written(of_t.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t")))
+    strong = both.join(of_t.join(small_side(both.select("term").distinct()), "term"), "term")
+    strong = small_side(strong.withColumn("share", _share("n_et", "n_t", n_docs, generalise)).where(F.col("share") >= generalise).select("e_kind", "e", "n_e", "term", "share"))
+    strong = small_side(strong.join(_broader(strong.where(F.col("share") < remove), seen, of_t, n_docs, generalise), ["e_kind", "e", "term"], "left"))
+    removed(docs.sparkSession, [path])
+    hit = pairs.join(strong.drop("n_e"), ["e_kind", "e", "term"]).groupBy("told", "term").agg(F.max("share").alias("share"), F.min("keep").alias("keep"))
+    gone = F.col("share") >= remove
+    mark = F.struct("term", F.when(gone, "removed").otherwise("term").alias("kind"), F.when(gone, 0).otherwise(F.coalesce("keep", F.lit(0))).alias("keep"))
     return hit.groupBy("told").agg(F.collect_list(mark).alias("marks"))
 
 
+def _prefixes(term: str) -> Column:
+    n = F.length(term)
+    return F.transform(F.sequence(F.lit(2), n - 1), lambda k: F.left(F.col(term), k))
+
+
+def _broader(strong: DataFrame, seen: DataFrame, of_t: DataFrame, n_docs: int, generalise: float) -> DataFrame:
+    """(e_kind, e, term, keep): the length of the longest prefix from which up no prefix gives the secret away, 0 without one.
+
+    Sightings of a prefix are those of all terms that start with it, each term of a text being one.
+    """
+    ways = checkpoint(strong.select("e_kind", "e", "n_e", "term", F.explode(_prefixes("term")).alias("prefix")))
+    asked, of_e = small_side(ways.select("prefix").distinct()), small_side(ways.select("e_kind", "e", "prefix").distinct())
+    starts = lambda df, *keep: df.select(*keep, F.explode(F.concat(_prefixes("term"), F.array("term"))).alias("prefix"))
+    n_p = starts(of_t, "n_t").join(asked, "prefix").groupBy("prefix").agg(F.sum("n_t").alias("n_p"))
+    n_ep = starts(seen, "e_kind", "e", "n_et").join(of_e, ["e_kind", "e", "prefix"]).groupBy("e_kind", "e", "prefix").agg(F.sum("n_et").alias("n_ep"))
+    told = ways.join(small_side(n_p), "prefix").join(small_side(n_ep), ["e_kind", "e", "prefix"])
+    telling = F.min(F.when(_share("n_ep", "n_p", n_docs, generalise) >= generalise, F.length("prefix")))
+    keep = F.coalesce(telling, F.length("term")) - 1
+    return told.groupBy("e_kind", "e", "term").agg(F.when(keep > 1, keep).otherwise(0).alias("keep"))
+
+
 def _added(docs: DataFrame, found: DataFrame, **thresholds) -> DataFrame:
-    """(told, added array<struct<kind, start, end>>): where a text's marked terms stand, by place; bounded or else to be shuffled."""
+    """(told, added array<struct<kind, start, end, put>>): where a text's marked terms stand, by place, and what is put there; bounded or else to be shuffled."""
     marks = small_side(disclosures(docs, found, **thresholds), weight=F.size("marks"))
     rows = docs.select(text_key(F.col("text")).alias("told"), F.col("text")).join(marks, "told").dropDuplicates(["told"])
-    kinds = F.map_from_entries("marks")
-    hits = F.filter(F.transform(located(F.col("text"), TERM), lambda s: F.struct(F.try_element_at(kinds, F.lower(s["value"])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), lambda s: s["kind"].isNotNull())
+    by_term = F.map_from_entries(F.transform("marks", lambda m: F.struct(m["term"], m)))
+
+    def hit(s: Column) -> Column:
+        mark = F.try_element_at(by_term, F.lower(s["value"]))
+        put = F.when(mark["kind"] == "removed", "").when(mark["keep"] > 0, F.concat(F.left(s["value"], mark["keep"]), F.lit("*"))).otherwise("[TERM]")
+        return F.struct(mark["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), put.alias("put"))
+
+    hits = F.filter(F.transform(located(F.col("text"), TERM), hit), lambda s: s["kind"].isNotNull())
     return small_side(rows.select("told", hits.alias("added")), weight=F.size("added"))
 
 
@@ -141,19 +198,19 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     """
     found = detect(docs)
     joined = found.join(_added(docs, found, **thresholds), "told", "left")
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,put:string>>")
     inside = lambda a: F.exists("spans", lambda s: (a["start"] < s["end"]) & (s["start"] < a["end"]))
     return joined.select("doc_id", "told", "spans", F.coalesce(F.filter("added", lambda a: ~inside(a)), none).alias("added"))
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced: ``[KIND]`` for entities and generalised terms, nothing for removed ones.
+    """``docs`` with personal data in ``text`` replaced: entities by ``[KIND]``, terms by a broader one or ``[TERM]``, or by nothing where removed.
 
     Rows, other columns (whatever their names) and texts without spans stay as
     they are; null stays null.
     """
     found = find(docs, **thresholds).where((F.size("spans") > 0) | (F.size("added") > 0))
-    marks = F.concat(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))), F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "removed", "").otherwise("[TERM]").alias("put"))))
+    marks = F.concat(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))), F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["put"].alias("put"))))
     # Marks depend on the text alone, which told stands for in 128 bits: copies share them.
     marks = small_side(found.select("told", F.array_sort(marks).alias("marks")).dropDuplicates(["told"]), 200_000, F.size("marks"))
     text = F.col("row.text")
