@@ -68,6 +68,13 @@ def wrapped(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def numbered(docs: DataFrame, *without: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns named by number, but for those in ``without``, and their names: Python functions over whole
+    batches take columns by name, which fails for names with dots and names that appear twice."""
+    at = [i for i, c in enumerate(docs.columns) if c not in without]
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[f"c{i}" for i in at]), [docs.columns[i] for i in at]
+
+
 def running_sums(values: Column, block: int = 256) -> Column:
     """Sums of an array of int up to each element; by blocks, so that a long array costs little more than in proportion."""
     add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import numbered
 from .grams import Vocabulary, pairs, whole_words, word_grams
 
 #: Words a worker remembers before it starts afresh.
@@ -136,8 +137,7 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.margins().astype(np.float32))
     bits, sizes = model.bits, model.sizes
-    names = [c for c in docs.columns if c != "score"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    docs, names = numbered(docs, "score")
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType(), False)])
 
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
             found = scorer.scores([t.as_py() or b"" for t in b.column(at).cast(pa.binary())])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", rows: int = 2500, **options) -> SubwordModel:

@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import numbered
 from .grams import Vocabulary, word_grams
 from .quality import REMEMBERED, training_rows
 
@@ -121,8 +121,7 @@ def score(docs: DataFrame, model: RatioModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
     bias, bits, sizes = model.bias, model.bits, model.sizes
-    names = [c for c in docs.columns if c != "score"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    docs, names = numbered(docs, "score")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +130,7 @@ def score(docs: DataFrame, model: RatioModel) -> DataFrame:
             found = scorer.scores([t.as_py() or b"" for t in b.column(at).cast(pa.binary())])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType(), False)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType(), False)])).toDF(*names, "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", rows: int = 4000, **options) -> RatioModel:

@@ -66,6 +66,17 @@ def test_models_without_labels(spark):
     assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.fit(docs, labels.where("false"), F.lit(True))).collect()} == {0.5}
 
 
+def test_columns_of_any_names(spark):
+    """Dots, backticks, names that differ in case alone or appear twice; a column named score is replaced."""
+    plain = spark.createDataFrame([(1, "some text", 2.0, 3, 4, 5), (2, None, None, None, None, None)], "doc_id long, text string, score double, a int, b int, c int")
+    docs = plain.toDF("doc_id", "text", "score", "a.b", "`x`", "a.b")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        out = module.score(docs, module.fit(plain, labels, F.lit(True)))
+        assert out.columns == ["doc_id", "text", "a.b", "`x`", "a.b", "score"]
+        assert sorted(map(tuple, out.collect())) == [(1, "some text", 3, 4, 5, 0.5), (2, None, None, None, None, 0.5)]
+
+
 def test_toxicity(spark):
     docs, labels, rows = frames(spark)
     model = toxicity.fit(docs, labels, id_remainder(F.col("doc_id"), 5) != 0)
