@@ -126,31 +126,49 @@ def disclosures(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remo
     n_docs = counts.count()
     copied = small_side(counts.where("copies > 1"))
     # (text, secret), once each; of secrets in several texts, for no other can be judged.
-    secrets = F.array(F.struct(F.col("s.kind").alias("e_kind"), F.col("s.value").alias("e")), F.struct(F.concat("s.kind", F.lit("_group")).alias("e_kind"), group(F.col("s.kind"), F.col("s.value")).alias("e")))
-    holds = found.select("told", F.explode("spans").alias("s")).select("told", F.explode(secrets).alias("x")).select("told", "x.*").distinct()
-    telling = ~F.endswith("e_kind", F.lit("_group")) | (F.col("n_e") * 2**group_bits <= n_docs)
-    often = small_side(holds.groupBy("e_kind", "e").agg(F.count("*").alias("n_e")).where((F.col("n_e") > 1) & (F.col("n_e") < n_docs) & telling))
-    holds = small_side(holds.join(often, ["e_kind", "e"]).groupBy("told").agg(F.collect_list(F.struct("e_kind", "e", "n_e")).alias("es")), weight=F.size("es"))
+    named = lambda kind, value: F.concat(kind, F.lit(":"), value)
+    secrets = F.array(named(F.col("s.kind"), F.col("s.value")), named(F.concat(F.lit("group "), "s.kind"), group(F.col("s.kind"), F.col("s.value"))))
+    holds = found.select("told", F.explode("spans").alias("s")).select("told", F.explode(secrets).alias("e")).distinct()
+    telling = ~F.startswith("e", F.lit("group ")) | (F.col("n_e") * 2**group_bits <= n_docs)
+    often = holds.groupBy("e").agg(F.count("*").alias("n_e")).where((F.col("n_e") > 1) & (F.col("n_e") < n_docs) & telling)
+    often = small_side(often.select("e", "n_e", _most(n_docs, generalise).alias("most")))
+    holds = small_side(holds.join(often, "e").groupBy("told").agg(F.collect_list(F.struct("e", "n_e", "most")).alias("es")), weight=F.size("es"))
     rows = docs.select(text_key(F.col("text")).alias("told"), F.coalesce("text", F.lit("")).alias("text"))
+    weigh = rows.join(copied, "told", "left").select(_terms(F.col("text")).alias("terms"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    of_t = weigh.select(F.explode("terms").alias("term"), "copies").where(F.length("term") > 2).groupBy("term", "copies").agg(F.count("*").alias("n"))
+    of_t, counted = written(of_t.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t")))
     # Of copies one has the terms: the others weigh nothing.
     texts = rows.join(holds, "told").groupBy("told").agg(F.first("text").alias("text"), F.first("es").alias("es"))
-    texts = checkpoint(texts.select("told", "es", _terms(F.col("text")).alias("terms")))
-    pairs = texts.select("told", "es", F.explode("terms").alias("term")).where(F.length("term") > 2).select("told", "term", F.explode("es").alias("x")).select("told", "term", "x.*")
-    seen = pairs.groupBy("e_kind", "e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"))
+    texts, split = written(texts.select("told", "es", _terms(F.col("text")).alias("terms")))
+    terms = texts.select("told", "es", F.explode("terms").alias("term")).where(F.length("term") > 2)
+    # Most places are of common terms, and a term in more texts than `most` can't give a secret away, wherever it stands.
+    can = F.filter("es", lambda x: F.col("n_t").isNull() | (F.col("n_t") <= x["most"]))
+    pairs = terms.join(_commonest(of_t), "term", "left").select("told", "term", F.explode(can).alias("x")).select("told", "term", "x.e", "x.n_e")
     # One sighting is below the threshold whatever the counts.
-    both = checkpoint(seen.where("n_et > 1"))
-    # Counted before they are joined: what the join gives is bounded by the terms asked for.
-    weigh = rows.join(copied, "told", "left").select(_terms(F.col("text")).alias("terms"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    of_t = weigh.select(F.explode("terms").alias("term"), "copies").where(F.length("term") > 2).groupBy("term", "copies").agg(F.count("*").alias("n"))
-    of_t, path = written(of_t.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t")))
-    strong = both.join(of_t.join(small_side(both.select("term").distinct()), "term"), "term")
-    strong = small_side(strong.withColumn("share", _share("n_et", "n_t", n_docs, generalise)).where(F.col("share") >= generalise).select("e_kind", "e", "n_e", "term", "share"))
-    strong = small_side(strong.join(_broader(strong.where(F.col("share") < remove), seen, of_t, n_docs, generalise), ["e_kind", "e", "term"], "left"))
-    removed(docs.sparkSession, [path])
-    hit = pairs.join(strong.drop("n_e"), ["e_kind", "e", "term"]).groupBy("told", "term").agg(F.max("share").alias("share"), F.min("keep").alias("keep"))
+    both = checkpoint(pairs.groupBy("e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where("n_et > 1"))
+    strong = both.join(of_t, "term").withColumn("share", _share("n_et", "n_t", n_docs, generalise)).where(F.col("share") >= generalise)
+    strong = small_side(strong.select("e", "n_e", "term", "share"))
+    strong = small_side(strong.join(_broader(strong.where(F.col("share") < remove), terms, of_t, n_docs, generalise), ["e", "term"], "left"))
+    hit = pairs.join(strong.drop("n_e"), ["e", "term"]).groupBy("told", "term").agg(F.max("share").alias("share"), F.min("keep").alias("keep"))
     gone = F.col("share") >= remove
     mark = F.struct("term", F.when(gone, "removed").otherwise("term").alias("kind"), F.when(gone, 0).otherwise(F.coalesce("keep", F.lit(0))).alias("keep"))
-    return hit.groupBy("told").agg(F.collect_list(mark).alias("marks"))
+    marks = checkpoint(hit.groupBy("told").agg(F.collect_list(mark).alias("marks")))
+    removed(docs.sparkSession, [counted, split])
+    return marks
+
+
+def _most(n_docs: int, generalise: float) -> Column:
+    """In how many texts a term may be, at most, to reach the threshold for a secret of n_e texts, all of which have it."""
+    p = F.col("n_e") / F.lit(n_docs)
+    m = F.pow(p, F.lit(generalise - 1))
+    return (m * (F.col("n_e") + m * p) - m) * (1 + 1e-9)
+
+
+def _commonest(of_t: DataFrame, most: int = 100_000) -> DataFrame:
+    """The terms in the most texts, at most so many, to be broadcast: all above a power of two that leaves no more."""
+    sizes = {r.bits: r["count"] for r in of_t.groupBy(F.floor(F.log2("n_t")).alias("bits")).count().collect()}
+    bits = next(b for b in range(65) if sum(n for k, n in sizes.items() if k >= b) <= most)
+    return small_side(of_t.where(F.col("n_t") >= F.lit(2.0**bits)), most)
 
 
 def _prefixes(term: str) -> Column:
@@ -158,20 +176,24 @@ def _prefixes(term: str) -> Column:
     return F.transform(F.sequence(F.lit(2), n - 1), lambda k: F.left(F.col(term), k))
 
 
-def _broader(strong: DataFrame, seen: DataFrame, of_t: DataFrame, n_docs: int, generalise: float) -> DataFrame:
-    """(e_kind, e, term, keep): the length of the longest prefix from which up no prefix gives the secret away, 0 without one.
+def _broader(strong: DataFrame, terms: DataFrame, of_t: DataFrame, n_docs: int, generalise: float) -> DataFrame:
+    """(e, term, keep): the length of the longest prefix from which up no prefix gives the secret away, 0 without one.
 
     Sightings of a prefix are those of all terms that start with it, each term of a text being one.
     """
-    ways = checkpoint(strong.select("e_kind", "e", "n_e", "term", F.explode(_prefixes("term")).alias("prefix")))
-    asked, of_e = small_side(ways.select("prefix").distinct()), small_side(ways.select("e_kind", "e", "prefix").distinct())
+    ways = checkpoint(strong.select("e", "n_e", "term", F.explode(_prefixes("term")).alias("prefix")))
+    asked, of_e = small_side(ways.select("prefix").distinct()), small_side(ways.select("e", "prefix").distinct())
     starts = lambda df, *keep: df.select(*keep, F.explode(F.concat(_prefixes("term"), F.array("term"))).alias("prefix"))
+    # Only terms with the first two letters of one that is asked for go on.
+    two = small_side(ways.select("e", F.left("prefix", F.lit(2)).alias("two")).distinct())
+    seen = terms.select("term", F.explode("es.e").alias("e")).withColumn("two", F.left("term", F.lit(2))).join(two, ["e", "two"], "left_semi")
+    seen = seen.groupBy("e", "term").agg(F.count("*").alias("n_et"))
     n_p = starts(of_t, "n_t").join(asked, "prefix").groupBy("prefix").agg(F.sum("n_t").alias("n_p"))
-    n_ep = starts(seen, "e_kind", "e", "n_et").join(of_e, ["e_kind", "e", "prefix"]).groupBy("e_kind", "e", "prefix").agg(F.sum("n_et").alias("n_ep"))
-    told = ways.join(small_side(n_p), "prefix").join(small_side(n_ep), ["e_kind", "e", "prefix"])
+    n_ep = starts(seen, "e", "n_et").join(of_e, ["e", "prefix"]).groupBy("e", "prefix").agg(F.sum("n_et").alias("n_ep"))
+    told = ways.join(small_side(n_p), "prefix").join(small_side(n_ep), ["e", "prefix"])
     telling = F.min(F.when(_share("n_ep", "n_p", n_docs, generalise) >= generalise, F.length("prefix")))
     keep = F.coalesce(telling, F.length("term")) - 1
-    return told.groupBy("e_kind", "e", "term").agg(F.when(keep > 1, keep).otherwise(0).alias("keep"))
+    return told.groupBy("e", "term").agg(F.when(keep > 1, keep).otherwise(0).alias("keep"))
 
 
 def _added(docs: DataFrame, found: DataFrame, **thresholds) -> DataFrame:
