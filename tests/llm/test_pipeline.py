@@ -55,7 +55,7 @@ def Counter_of(df):
 
 def test_registry():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and set(queries.oracle_sql()) <= names
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and set(queries.oracle_sql()) <= names
 
 
 def test_run_gives_the_last_stage(spark, tmp_path):
