@@ -166,11 +166,15 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(e)
     edges_left = seen[0]
     while seen[0]:
-        both = e.union(e.select("v", "u"))
-        low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = kept(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        # A round over a small graph is one task of one job: a few rows aren't worth a shuffle and a table for each step.
+        few = edges_left <= EDGES
+        step, other = ((lambda df: df), (lambda df: df.hint("merge"))) if few else (kept, lambda df: df)
+        e = e.coalesce(1) if few else e
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*") if few else e.union(e.select("v", "u"))
+        low = step(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = step(both.where("v > u").join(other(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = step(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(other(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         e = kept(small.where("u <> v").distinct())
         removed(spark, old[:-1])
         del old[:-1]

@@ -11,6 +11,7 @@ bucket, whatever the data's size.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,11 +57,17 @@ class SubwordModel:
         rng = np.random.default_rng(self.seed)
         self.vectors = ((rng.random((1 << self.bits, self.dim), np.float32) - 0.5) / self.dim).astype(np.float32)
         self.layer = np.zeros((self.dim, 2), np.float32)
-        data = [self.features(t) for t in texts]
-        steps, done = self.epochs * len(data), 0
+        # All texts' features lie end to end: the memory of two large arrays goes back to the system, that of thousands of small ones does not.
+        features, shares, ends = array("i"), array("f"), [0]
+        for t in texts:
+            buckets, weights = self.features(t)
+            features.frombytes(buckets.astype(np.int32).tobytes())
+            shares.frombytes(weights.tobytes())
+            ends.append(len(features))
+        steps, done = self.epochs * len(texts), 0
         for _ in range(self.epochs):
-            for i in rng.permutation(len(data)):
-                buckets, weights = data[i]
+            for i in rng.permutation(len(texts)):
+                buckets, weights = (np.frombuffer(x, kind)[ends[i] : ends[i + 1]] for x, kind in ((features, np.int32), (shares, np.float32)))
                 rate = self.rate * (1 - done / steps)
                 hidden = weights @ self.vectors[buckets]
                 z = hidden @ self.layer

@@ -52,6 +52,8 @@ MISSED = 0.005
 #: Words of 64 bits in the bitmap of a set of shingles, and what ``_bounds`` gives.
 BITMAP = 4
 BOUND = "struct<n:long,shared:long," + ",".join(f"{name}{k}:long" for name in ("all", "mine") for k in range(BITMAP)) + ">"
+#: Rows of fingerprints to a task, at least.
+ROWS = 2_000
 #: Where the number of a segment is put into the key of an entry.
 KEY_BITS = 48
 
@@ -173,9 +175,19 @@ def full_balls(classes: DataFrame, distance: int, segments: int) -> DataFrame:
     return classes.withColumn("own", F.array(*segment)).withColumn("ball", F.transform(balls, lambda t: F.get("own", t["s"]).bitwiseXOR(t["x"])))
 
 
-def _entries(classes: DataFrame, keys: str | Column, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, node, fp, extra) of each entry of each fingerprint; all but the key get the prefix ``side``."""
-    return classes.select(F.explode(keys).alias("key"), *[F.col(c).alias(side + c) for c in ("node", "fp", *extra)])
+def _entries(classes: DataFrame, keys: str | Column, side: str, extra: tuple[str, ...] = (), width: int = 0) -> DataFrame:
+    """(key, node, fp, extra) of each entry of each fingerprint; all but the key get the prefix ``side``.
+
+    fp is one word. Of several it is the one after the entry's segment, whose
+    ``width`` bits are alike anyway in all that meet there: were they among those
+    compared, far more rows that share an entry by chance would seem near, and
+    the more of them the wider segments are.
+    """
+    names = [c for c in classes.columns if c.startswith("fp")]
+    rows = classes.select(F.explode(keys).alias("key"), "node", *names, *extra)
+    last = ((F.shiftright("key", KEY_BITS) + 1) * width - 1) / WORD
+    fp = F.get(F.array(*names), ((F.floor(last) + 1) % len(names)).cast("int")) if width and len(names) > 1 else F.col("fp")
+    return rows.select("key", F.col("node").alias(f"{side}node"), fp.alias(f"{side}fp"), *[F.col(c).alias(side + c) for c in extra])
 
 
 def _apart(a: str, b: str) -> Column:
@@ -212,10 +224,11 @@ def _reach(a: str, b: str, similarity: float) -> Column:
     return F.col(a).isNull() | F.col(b).isNull() | (common >= similarity * (F.col(f"{a}.n") + F.col(f"{b}.n") - common))
 
 
-def crossing_links(classes: DataFrame, distance: int, similarity: float = 0.0) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different groups that meet in an entry and are within ``distance``.
+def crossing_links(classes: DataFrame, distance: int, similarity: float = 0.0, width: int = 0) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups that meet in an entry and are within ``distance`` over one word.
 
-    ``classes`` has (node, fp, own, ball, group, many), and bound for ``_reach``.
+    ``classes`` has (node, fp, own, ball, group, many), and bound for ``_reach``;
+    if it has several words (fp1, ...), ``width`` is the bits of a segment.
     Rows of groups with many members meet all rows of other groups, but never
     those of their own.
     """
@@ -223,15 +236,15 @@ def crossing_links(classes: DataFrame, distance: int, similarity: float = 0.0) -
     every, extra = F.concat("own", "ball"), ("group", "bound")
     close = (F.col("a_group") != F.col("b_group")) & (_apart("a_fp", "b_fp") <= distance) & _reach("a_bound", "b_bound", similarity)
     once = F.col("b_many") | ~F.col("a_first") | (F.col("a_node") < F.col("b_node"))  # two rows of small groups share an entry once, not once each way
-    first = _entries(few, "own", "a_", extra).withColumn("a_first", F.lit(True)).union(_entries(few, "ball", "a_", extra).withColumn("a_first", F.lit(False)))
+    first = _entries(few, "own", "a_", extra, width).withColumn("a_first", F.lit(True)).union(_entries(few, "ball", "a_", extra, width).withColumn("a_first", F.lit(False)))
     pair = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
     found = [
-        first.join(_entries(classes, "own", "b_", (*extra, "many")), "key").where(close & once).select(*pair),
-        _entries(few, "own", "a_", extra).join(_entries(many, "ball", "b_", extra), "key").where(close).select(*pair),
+        first.join(_entries(classes, "own", "b_", (*extra, "many"), width), "key").where(close & once).select(*pair),
+        _entries(few, "own", "a_", extra, width).join(_entries(many, "ball", "b_", extra, width), "key").where(close).select(*pair),
     ]
     # Entries that two large groups share: found from the groups alone, then their rows meet.
-    rows = _entries(many, every, "a_", extra)
-    own = _entries(many, "own", "b_", extra)
+    rows = _entries(many, every, "a_", extra, width)
+    own = _entries(many, "own", "b_", extra, width)
     shared = rows.select("key", "a_group").distinct().join(own.select("key", "b_group").distinct(), "key").where("a_group <> b_group")
     found.append(rows.join(shared, ["key", "a_group"]).join(own, ["key", "b_group"]).where(close).select(*pair))
     out = found[0].union(found[1]).union(found[2])
@@ -267,12 +280,14 @@ def _crowding(classes: DataFrame) -> int:
     return pairs if (pairs or 0) > (rows or 0) else 0
 
 
-def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
+def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0, width: int = 0, rows: int | None = None) -> DataFrame:
     """(a, b): links between nodes, enough of them that components are those of all links.
 
-    ``distance`` is over ``fp``, ``keep`` takes pairs and gives those that are
-    links, ``sets`` takes nodes and gives their sets of shingles.
+    ``distance`` is over one word, ``width`` as in ``crossing_links``, ``keep`` takes pairs and gives those that are
+    links, ``sets`` takes nodes and gives their sets of shingles. ``rows``, if known,
+    is how many ``classes`` has at most.
     """
+    fewer = lambda df: df if rows is None else df.coalesce(1 + rows // ROWS)
     grouped, links, work = classes.withColumn("group", F.col("node")).withColumn("many", F.lit(False)), None, _crowding(classes)
     # Leaders go on while crowded entries would make more pairs than there are rows, and each round spares a good part of them.
     for draw in range(8):
@@ -283,14 +298,14 @@ def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFr
         found = components(links)
         count = found.groupBy("component").count().where(F.col("count") > CROWD).select(F.col("component").alias("group"), F.lit(True).alias("many"))
         marked = classes.join(small_side(found), "node", "left").select("*", F.coalesce("component", "node").alias("group")).drop("component")
-        grouped = checkpoint(marked.join(small_side(count), "group", "left").withColumn("many", F.coalesce("many", F.lit(False))))
+        grouped = checkpoint(fewer(marked.join(small_side(count), "group", "left").withColumn("many", F.coalesce("many", F.lit(False)))))
         left = _crowding(grouped.where("not many"))
         if left > 0.8 * work:
             break
         work = left
     bounds = None if sets is None else small_side(_bounds(grouped, sets))
     grouped = grouped.withColumn("bound", F.lit(None).cast(BOUND)) if bounds is None else grouped.join(bounds, "node", "left")
-    rest = keep(crossing_links(grouped, distance, similarity))
+    rest = keep(crossing_links(grouped, distance, similarity, width))
     return rest if links is None else links.union(rest)
 
 
@@ -312,7 +327,6 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, d
 
     Only the texts of nodes in such a pair are read again, one for each node.
     """
-    pairs = checkpoint(pairs)
     names = _columns(words)
     bits = lambda side: classes.select(F.col("node").alias(side), *[F.col(c).alias(side + c) for c in names])
     whole = sum((_apart("a" + c, "b" + c) for c in names), F.lit(0))
@@ -360,9 +374,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     names = _columns(-(-segments * width // WORD))
     fps = checkpoint(keyed_fingerprints(docs, shingle, segments, width))
     classes = fps.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min(F.struct("told", "own", "ball")).alias("x"))
-    classes = checkpoint(classes.select(*names, "rep", "x.told", "x.own", "x.ball").withColumn("node", F.monotonically_increasing_id()))
+    classes = classes.select(*names, "rep", "x.told", "x.own", "x.ball").coalesce(1 + n // ROWS)
+    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
     keep = lambda pairs: similar(pairs, classes, docs, len(names), whole, shingle, similarity)
-    links = linked(classes, word, keep, lambda nodes: shingle_sets(nodes, classes, docs, shingle), similarity)
+    links = linked(classes, word, keep, lambda nodes: shingle_sets(nodes, classes, docs, shingle), similarity, width, n)
     named = _labels(classes, links).select(*names, "root", "component_id")
     return fps.select("doc_id", "told", *names).join(named, names).select("doc_id", "told", "root", "component_id")
 

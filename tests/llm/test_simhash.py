@@ -3,7 +3,7 @@
 import numpy as np
 import xxhash
 
-from casewatch.llm import simhash
+from casewatch.llm import common, simhash
 from casewatch.llm.common import components
 
 SCHEMA = "doc_id long, text string, component_id string"  # a clashing name among the columns
@@ -182,6 +182,18 @@ def test_one_row_of_each_group_survives(spark):
     assert simhash.survivors(df.where("false")).collect() == []
 
 
+def test_rows_that_meet_by_chance_are_not_compared(spark, monkeypatch):
+    """Of unlike texts hardly a pair goes on to be verified, though many share a segment; near copies all do."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, 40))) for i in range(3000)]
+    texts += [(5000 + i, t + " more") for i, t in texts[:100]]
+    seen, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *rest: seen.append(pairs.count()) or similar(pairs, *rest))
+    out = groups(spark, texts)
+    assert all(out[5000 + i] == i for i in range(100)) and len(set(out.values())) == 3000
+    assert sum(seen) < 500
+
+
 def test_tables_grow_with_the_corpus():
     """Texts that share an entry by chance stay as many, a pair at the limit is as seldom missed."""
     for n in (10_000, 10**6, 10**9):
@@ -194,3 +206,17 @@ def test_components(spark):
     out = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert out == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100, **{500 + i: 500 for i in range(40)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_small_and_large_graphs_have_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 1500, (1000, 2))] + [(2000 + i, 2001 + i) for i in range(40)] + [(3000, 3000 + i) for i in range(50)]
+    df, sc = spark.createDataFrame(edges, "a long, b long"), spark.sparkContext
+    sc.setJobGroup("components", "")
+    small = sorted(tuple(r) for r in components(df).collect())
+    jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    sc.setJobGroup("", "")
+    monkeypatch.setattr(common, "EDGES", 600)
+    assert small == sorted(tuple(r) for r in components(df).collect())
+    # A round over a small graph is written once and summed up once, not step by step.
+    assert jobs < 70
