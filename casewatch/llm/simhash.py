@@ -274,10 +274,9 @@ def _bounds(classes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def _crowding(classes: DataFrame) -> int:
-    """Pairs that entries with more than CROWD rows would make; 0 if they are fewer than all entries' rows."""
+    """Pairs that entries with more than CROWD rows would make, however few they are beside the table: they grow with the square of a group."""
     each = classes.select(F.explode("own").alias("key")).groupBy("key").count()
-    pairs, rows = each.agg(F.sum(F.when(F.col("count") > CROWD, F.col("count") * F.col("count"))), F.sum("count")).first()
-    return pairs if (pairs or 0) > (rows or 0) else 0
+    return each.where(F.col("count") > CROWD).agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
 
 
 def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0, width: int = 0, rows: int | None = None) -> DataFrame:
@@ -289,7 +288,7 @@ def linked(classes: DataFrame, distance: int, keep: Callable[[DataFrame], DataFr
     """
     fewer = lambda df: df if rows is None else df.coalesce(1 + rows // ROWS)
     grouped, links, work = classes.withColumn("group", F.col("node")).withColumn("many", F.lit(False)), None, _crowding(classes)
-    # Leaders go on while crowded entries would make more pairs than there are rows, and each round spares a good part of them.
+    # Leaders go on while entries are crowded, and each round spares a good part of the pairs they would make.
     for draw in range(8):
         if not work:
             break

@@ -194,6 +194,20 @@ def test_rows_that_meet_by_chance_are_not_compared(spark, monkeypatch):
     assert sum(seen) < 500
 
 
+def test_a_group_that_is_small_beside_the_table_makes_no_square_of_pairs(spark, monkeypatch):
+    """Near copies that crowd entries are joined by leaders also where all the pairs they make are fewer than the table's rows."""
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    rng = np.random.default_rng(8)
+    texts = [(1000 + i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, 20))) for i in range(4000)]
+    for i in range(60):
+        texts.append((i, " ".join(f"e{i}" if k == 2 * i else f"b{k}" for k in range(120))))
+    seen, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *rest: seen.append(pairs.count()) or similar(pairs, *rest))
+    out = groups(spark, texts)
+    assert {out[i] for i in range(60)} == {0} and all(out[1000 + i] == 1000 + i for i in range(4000))
+    assert sum(seen) < 600  # all pairs are 1,770
+
+
 def test_tables_grow_with_the_corpus():
     """Texts that share an entry by chance stay as many, a pair at the limit is as seldom missed."""
     for n in (10_000, 10**6, 10**9):
