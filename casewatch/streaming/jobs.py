@@ -24,32 +24,51 @@ def stream_publications(items: DataFrame, delay: str = "1 day") -> DataFrame:
     return items.withWatermark("disponivel_em", delay).dropDuplicatesWithinWatermark(["fonte", "id_externo"])
 
 
-def stream_new_cases(rows: DataFrame, delay: str = "1 day", keep_days: int = 730) -> DataFrame:
+def stream_new_cases(rows: DataFrame, delay: str = "1 day", keep_days: int = 730, groups: int = 1 << 13) -> DataFrame:
     """(varredura, numero_cnj, avisa) the first time a sweep returns a number; ``base`` rows, of its first run, are silent.
 
     ``rows``: varredura, numero_cnj, base, vista_em (timestamp). A number that a
     sweep hasn't returned for ``keep_days`` of event time is forgotten; if it
     came back after that it would be new again.
+
+    Sweeps' numbers are dealt by a hash over ``groups``, and Python is entered once
+    for each group that a batch has rows of, not once a number. A group's state is
+    its numbers, each with the time from which it is kept; its timer is that of the
+    oldest. A batch writes the states of its groups anew, so streams that remember
+    very many numbers want more groups. Their number is fixed by the first batch.
     """
     keep = keep_days * 86_400_000
 
     def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        held = {(v, n): t for v, n, t in zip(*state.get)} if state.exists else {}
+        silent: dict = {}
+        if not state.hasTimedOut:
+            told: dict = {}
+            for f in frames:
+                for k, b, t in zip(zip(f.varredura, f.numero_cnj), f.base, f.vista_):
+                    silent[k] = silent.get(k, False) or b
+                    told[k] = max(told.get(k, 0), t)
+            new = [k for k in told if k not in held]
+            told = {k: max(t, held.get(k, 0), now) for k, t in told.items()}
+        else:
+            new, told = [], {}
+        # A number that is returned again in the batch in which its time is over is still known.
+        left = {k: t for k, t in held.items() if t + keep >= now} | told
+        if left:
+            state.update(([v for v, _ in left], [n for _, n in left], list(left.values())))
+            state.setTimeoutTimestamp(min(left.values()) + keep)
+        elif state.exists:
             state.remove()
-            return
-        base, last = [], 0
-        for f in frames:
-            base.append(bool(f.base.any()))
-            last = max(last, int(f.vista_em.max().timestamp() * 1000))
-        was = state.get[0] if state.exists else None
-        last = max(last, was or 0)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
-        if was is None:
-            yield pd.DataFrame({"varredura": [key[0]], "numero_cnj": [key[1]], "avisa": [not any(base)]})
-
-    rows = rows.withWatermark("vista_em", delay).groupBy("varredura", "numero_cnj")
-    return rows.applyInPandasWithState(first, "varredura long, numero_cnj string, avisa boolean", "vista long", "append", GroupStateTimeout.EventTimeTimeout)
+        if new:
+            yield pd.DataFrame({"varredura": [v for v, _ in new], "numero_cnj": [n for _, n in new], "avisa": [not silent[k] for k in new]})
+
+    # As text, since pandas would make floats of a sweep's number beside a null.
+    plain = rows.withWatermark("vista_em", delay).select(
+        F.pmod(F.xxhash64("varredura", "numero_cnj"), F.lit(groups)).alias("grupo_"), F.col("varredura").cast("string").alias("varredura"), "numero_cnj", F.coalesce("base", F.lit(False)).alias("base"), F.coalesce(F.unix_millis(utc(F.col("vista_em"))), F.lit(0)).alias("vista_"), "vista_em",
+    )
+    out = plain.groupBy("grupo_").applyInPandasWithState(first, "varredura string, numero_cnj string, avisa boolean", "varreduras array<string>, numeros array<string>, vistas array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("varredura", F.col("varredura").cast("long"))
 
 
 def stream_error_rate(runs: DataFrame, percent: int = 10, least: int = 10, delay: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,7 @@
 """Tables of whole commits, the outbox and the streams over several batches, with restarts, repeats and broken-off batches."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,29 @@ def test_new_cases_are_forgotten_and_failures_keep_no_state_of_the_well(spark, t
         jobs.run_batches(out, f"{at}/state2", jobs.appender(f"{at}/f"), "append")
     assert rows(jobs.outputs(out, f"{at}/f").drop("batch_")) == [(2, 1, "aberto"), (2, 3, "resolvido")]
     assert spark.read.format("statestore").load(f"{at}/state2").count() == 0
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_new_cases_by_groups_equal_those_by_number(spark, tmp_path, groups):
+    """Python is entered once a group: state has a row for each group, whatever the numbers, and each number is told as if it were alone."""
+    at, rng, ddl = str(tmp_path), random.Random(groups), "varredura long, numero_cnj string, base boolean, vista_em timestamp"
+    day, keep, big = (lambda n: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(days=n)), 30, 2**53 + 1
+    last, want, mark = {}, [], day(-1000)
+    for n in range(7):
+        batch = [(rng.choice([1, big, None]), rng.choice([None, *map(str, range(40))]), rng.choice([True, False, None]), day(20 * n + rng.randrange(19))) for _ in range(40)]
+        spark.createDataFrame(batch, ddl).write.mode("append").parquet(f"{at}/in")
+        out = jobs.stream_new_cases(spark.readStream.schema(ddl).parquet(f"{at}/in"), keep_days=keep, groups=groups)
+        jobs.run_batches(out, f"{at}/state", jobs.appender(at), "append")
+        for k in {r[:2] for r in batch}:
+            if k not in last:
+                want.append((*k, not any(r[2] for r in batch if r[:2] == k)))
+            last[k] = max(last.get(k, mark), mark, *(r[3] for r in batch if r[:2] == k))
+        # The batch without rows that follows forgets what is over by then.
+        mark = max(mark, max(r[3] for r in batch) - dt.timedelta(days=1))
+        last = {k: t for k, t in last.items() if t + dt.timedelta(days=keep) >= mark}
+    assert sorted(rows_(jobs.outputs(out, at).drop("batch_")), key=str) == sorted(want, key=str) and len(want) > len({w[:2] for w in want})
+    assert spark.read.format("statestore").load(f"{at}/state").count() <= groups
+
+
+def rows_(df):
+    return [tuple(r) for r in df.collect()]
