@@ -137,6 +137,29 @@ def test_anonymised_against_plain_search(spark):
         assert (out[i] or "").count("Pessoa ") - (t or "").count("Pessoa ") == hits
 
 
+def test_only_names_of_a_page_are_looked_up(spark):
+    """Of all runs of a page's words the filter lets through its names, however many share their first words, and hardly another."""
+    rng = random.Random(5)
+    said = [rng.choice("de la straße Ação ½ 한국 x² joão o’neil 𝒜b e\u0301x silva souza".split()) + str(rng.randrange(30)) * rng.randrange(2) for _ in range(3000)]
+    text = " ".join(said)
+    there = [" ".join(said[i : i + n]) for n in range(1, 40) for i in (rng.randrange(2900),)]
+    away = [f"{x} {rng.choice(said)} nunca" for x in there for _ in range(5)]
+    names = spark.createDataFrame([(n, "p", w) for n in {*there, *away} if (w := anonymize.folded(n))], "nome string, put string, w_ array<string>")
+    look = anonymize._filter(anonymize._numbered(names)).value
+    w = anonymize.folded(text)
+    assert w == [x for x, _, _ in anonymize.words(text)]
+    found = {(i, n) for _, i, n, _ in look.search([anonymize._numbers(text)])}
+    keys = {tuple(anonymize.folded(n)) for n in there + away}
+    want = {(i, n) for i in range(len(w)) for n in {len(k) for k in keys} if tuple(w[i : i + n]) in keys and i + n <= len(w)}
+    assert want <= found and len(found) < 1.05 * len(want) + 20
+    out = anonymize.anonymize_names(spark.createDataFrame([(1, text)], "id long, texto string"), names.select(F.lit(1).cast("long").alias("id"), "nome")).first()
+    hits, k = 0, 0
+    while k < len(w):
+        n = next((n for n in range(45, 0, -1) if tuple(w[k : k + n]) in keys), 0)
+        hits, k = hits + bool(n), k + (n or 1)
+    assert out.texto.count("Pessoa 1-") == hits and not out.sobrou
+
+
 def test_attempts_are_limited_to_the_microsecond(spark):
     at = dt.datetime(2024, 1, 1)
     said = [(0.9, 1), (10.1, 2), (10.9, 3), (10.899999, 4), (20.9, 5)]
