@@ -56,11 +56,40 @@ def match_by_name(parties: DataFrame, targets: DataFrame, percent: int = 90) ->
     value, any target's variations). A party with a document is never matched
     to a document target by name. Sealed cases and inactive targets as in ``matchable``.
     """
+    found = name_matches(parties, targets, percent)
+    # Only sides with several names, or targets with several, can be matched twice: all else isn't gathered again.
+    once = found.where(~F.col("again_")).drop("again_")
+    return once.union(found.where("again_").drop("again_").distinct())
+
+
+#: Rows with one name that are expanded in one task, about.
+CROWD = 1_000
+
+
+def _crowds(rows: DataFrame, name: str, owner: list[str], kept: list[str]) -> DataFrame:
+    """Lists of distinct rows with one name, of some ``CROWD`` each, as (name_, again_, x_): whether their owners have other rows too."""
+    rows = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("name_"), *kept).distinct()
+    rows = rows.withColumn("again_", F.count("*").over(Window.partitionBy(*owner)) > 1)
+    n = rows.groupBy("name_").agg(F.count("*").alias("n_")).where(F.col("n_") > CROWD)
+    part = F.pmod(F.xxhash64(*owner), F.ceil(F.coalesce("n_", F.lit(1)) / CROWD))
+    return rows.join(n, "name_", "left").groupBy("name_", "again_", part.alias("part_")).agg(F.collect_list(F.struct(*kept)).alias("x_"))
+
+
+def name_matches(parties: DataFrame, targets: DataFrame, percent: int = 90) -> DataFrame:
+    """``match_by_name`` with again_: without it each row is there once, with it rows may repeat.
+
+    Copies of a name are expanded from lists of at most some ``CROWD``, dealt out
+    anew, so that no task has all pairs of a common name.
+    """
     parties, targets = matchable(parties), matchable(targets)
     pairs = similarity_join(parties.select(F.col("nome_normalizado").alias("name")), targets.select(F.col("nome").alias("name")), percent)
-    near = parties.join(pairs, parties["nome_normalizado"] == pairs["left_name"]).join(targets, F.col("right_name") == targets["nome"])
-    near = near.where((F.col("tipo") != "documento") | F.col("documento").isNull())
-    return near.select("processo_id", "alvo_id", "cliente_id", "polo", F.lit("a_verificar").alias("confianca"), F.lit("nome").alias("criterio")).distinct()
+    p = _crowds(parties.withColumn("sem_", F.col("documento").isNull()), "nome_normalizado", ["processo_id", "polo"], ["processo_id", "polo", "sem_"])
+    t = _crowds(targets.withColumn("por_nome_", F.coalesce(F.col("tipo") != "documento", F.lit(False))), "nome", ["alvo_id", "cliente_id"], ["alvo_id", "cliente_id", "por_nome_"])
+    met = pairs.join(p.select(F.col("name_").alias("left_name"), F.col("again_").alias("p_"), F.col("x_").alias("a_")), "left_name")
+    met = met.join(t.select(F.col("name_").alias("right_name"), F.col("again_").alias("t_"), F.col("x_").alias("b_")), "right_name")
+    met = met.select((F.col("p_") | F.col("t_")).alias("again_"), "a_", "b_").repartition(int(parties.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = met.select("again_", "b_", F.explode("a_").alias("a")).select("again_", "a", F.explode("b_").alias("b")).where("a.sem_ or b.por_nome_")
+    return near.select("a.processo_id", "b.alvo_id", "b.cliente_id", "a.polo", F.lit("a_verificar").alias("confianca"), F.lit("nome").alias("criterio"), "again_")
 
 
 def best_match(matches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import matching
+from ..sources.shared import stored
 from . import bindings as b
 from .bindings import sql_key, sql_norm, sql_trgm, table, with_ctes
 from .catalog import query
@@ -36,7 +37,7 @@ _N = f"SELECT id, {sql_norm('destinatario')} AS nome FROM publicacao"
 @query(with_ctes(f"""SELECT DISTINCT p.id AS processo_id, t.id AS alvo_id FROM (SELECT * FROM n WHERE id % 4 > 0 AND nome <> '') p JOIN (SELECT * FROM n WHERE id % 4 = 0 AND nome <> '') t
   ON len(list_intersect({sql_trgm('p.nome')}, {sql_trgm('t.nome')})) * 100 >= 90 * len(list_distinct(list_concat({sql_trgm('p.nome')}, {sql_trgm('t.nome')})))""", "publicacao", n=_N))
 def e03_match_by_name(spark, d):
-    n = b.publicacao(spark, d).select("id", text.normalize_name(F.col("destinatario"), False).alias("nome")).where("nome <> ''")
+    n = stored(b.publicacao(spark, d).select("id", text.normalize_name(F.col("destinatario"), False).alias("nome"))).where("nome <> ''")
     parties = n.where("id % 4 > 0").select(F.col("id").alias("processo_id"), F.lit("passivo").alias("polo"), F.col("nome").alias("nome_normalizado"), F.lit(None).cast("string").alias("documento"))
     targets = n.where("id % 4 = 0").select(F.col("id").alias("alvo_id"), F.lit(1).alias("cliente_id"), F.lit("nome").alias("tipo"), "nome")
     return matching.match_by_name(parties, targets).select("processo_id", "alvo_id")

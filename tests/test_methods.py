@@ -36,6 +36,30 @@ def test_similar_names(spark, monkeypatch, percent):
     assert percent < 90 or near.count() < 0.02 * len(left) * len(right)
 
 
+def test_pairs_that_share_rare_trigrams_alone_are_not_compared(spark):
+    """Codes of few digits share trigrams by chance: hardly a pair that isn't similar is left for the comparison of texts."""
+    rng = random.Random(3)
+    names = sorted({f"customer {rng.randrange(10**9):09d} ltda" for _ in range(700)})
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    near = rows(similarity.candidates(frame, frame, 90))
+    want = {(a, b) for a in names for b in names if len((x := grams(a)) & (y := grams(b))) * 100 >= 90 * len(x | y)}
+    assert want <= set(near) and len(near) == len(set(near)) <= len(want) + 20
+
+
+def test_common_names_over_many_tasks(spark, monkeypatch):
+    """Copies of a name are expanded from short lists; sides and targets with several alike names are still matched once."""
+    monkeypatch.setattr(matching, "CROWD", 10)
+    name = lambda i: "ACME COMERCIO DE PECAS E SERVICOS GERAIS" + " X" * (i % 2)
+    parties = [(i, "passivo", name(i), None if i % 3 else "1") for i in range(90)] + [(5, "passivo", name(0), None), (6, None, name(1), None), (7, "ativo", None, None)]
+    targets = [(i, 1, "documento" if i % 4 == 0 else "nome", name(i)) for i in range(60)] + [(9, 1, "nome", name(0)), (None, None, None, name(1)), (8, 2, "nome", None)]
+    out = matching.match_by_name(spark.createDataFrame(parties, "processo_id long, polo string, nome_normalizado string, documento string"), spark.createDataFrame(targets, "alvo_id long, cliente_id long, tipo string, nome string"))
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    same = lambda a, b: a and b and len(grams(a) & grams(b)) * 100 >= 90 * len(grams(a) | grams(b))
+    want = {(p, a, c, side) for p, side, n, doc in parties for a, c, kind, m in targets if same(n, m) and (doc is None or kind not in (None, "documento"))}
+    assert sorted(((r.processo_id, r.alvo_id, r.cliente_id, r.polo) for r in got), key=str) == sorted(want, key=str)
+    assert max(collections.Counter(r.part for r in got).values()) < len(got) / 2
+
+
 def test_prefix_of_eleven_at_ninety(spark):
     sets = spark.createDataFrame([("n", [f"g{i:02d}" for i in range(11)])], "name string, g array<string>")
     often = spark.createDataFrame([(f"g{i:02d}", i) for i in range(11)], "t string, df long")
