@@ -85,13 +85,14 @@ def fan_out_alerts(occurrences: DataFrame, clients: DataFrame) -> DataFrame:
     ``clients``: cliente_id, emails and whatsapp array<string>. Distinct valid
     e-mail addresses; distinct phones, which are always told at once. No contact, no alert.
     """
-    j = occurrences.where("criada").join(clients, "cliente_id")
     mails = F.array_distinct(F.filter(F.transform("emails", lambda e: F.lower(F.trim(e))), lambda e: F.contains(e, F.lit("@"))))
     phones = F.array_distinct(F.filter(F.transform("whatsapp", ids.normalize_phone), lambda p: p.isNotNull()))
     none = F.array().cast("array<string>")
+    # Addresses are made ready once a client, not for each of its occurrences.
+    j = occurrences.where("criada").join(clients.select("cliente_id", F.coalesce(mails, none).alias("mails_"), F.coalesce(phones, none).alias("phones_")), "cliente_id")
     ways = F.concat(
-        F.transform(F.coalesce(mails, none), lambda d: F.struct(F.lit("email").alias("canal"), d.alias("destino"), F.when(F.col("modalidade") == MODES[2], "resumo_diario").otherwise("imediato").alias("envio"))),
-        F.transform(F.coalesce(phones, none), lambda d: F.struct(F.lit("whatsapp").alias("canal"), d.alias("destino"), F.lit("imediato").alias("envio"))),
+        F.transform("mails_", lambda d: F.struct(F.lit("email").alias("canal"), d.alias("destino"), F.when(F.col("modalidade") == MODES[2], "resumo_diario").otherwise("imediato").alias("envio"))),
+        F.transform("phones_", lambda d: F.struct(F.lit("whatsapp").alias("canal"), d.alias("destino"), F.lit("imediato").alias("envio"))),
     )
     return j.select("ocorrencia", "cliente_id", F.explode(ways).alias("w")).select("ocorrencia", "cliente_id", "w.*")
 

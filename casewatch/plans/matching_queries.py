@@ -61,7 +61,7 @@ def e04_best_match(spark, d):
 
 def cases(spark, d):
     p = b.processo(spark, d)
-    return p.select("id", "segredo", "classe_codigo", F.array("assunto_codigo").alias("assuntos"), text.canonical_district(F.col("comarca")).alias("comarca"), "valor_causa_centavos", matching.cover_text(F.col("classe_nome"), F.col("assunto_nome")).alias("capa"), "classe_nome", F.array("assunto_nome").alias("assunto_nomes"), F.when(F.col("id") % 2 == 0, "TJSP").otherwise("TJRJ").alias("tribunal"), "cliente_id")
+    return p.select("id", "segredo", "classe_codigo", F.array("assunto_codigo").alias("assuntos"), text.canonical_district(F.col("comarca")).alias("comarca"), "valor_causa_centavos", matching.cover_text(F.col("classe_nome"), F.col("assunto_nome")).alias("capa"), "classe_nome", F.array("assunto_nome").alias("assunto_nomes"), F.when(F.col("id") % 2 == 0, "TJSP").otherwise("TJRJ").alias("tribunal"), "cliente_id", "custkey")
 
 
 def rules(spark, d):

@@ -56,7 +56,7 @@ def t03_stream_matches(spark, d):
     """Targets, cases and rules by turns, each stream begun anew for each of its batches; the alerts of an occurrence are counted."""
     people = b.pessoa(spark, d).withColumn("n", text.normalize_name(F.col("nome"), False))
     none, k = F.array().cast("array<string>"), F.col("custkey")
-    covers = cases(spark, d).join(b.processo(spark, d).select("id", "custkey"), "id").join(people.select("custkey", "documento", "n"), "custkey")
+    covers = cases(spark, d).join(people.select("custkey", "documento", "n"), "custkey")
     side = F.struct(F.lit("passivo").alias("polo"), F.col("n").alias("nome_normalizado"), F.when(F.col("id") % 3 > 0, F.col("documento")).alias("documento"))
     covers = covers.withColumns({"partes": F.array(side), "consultados": F.when((F.col("id") % 4 == 1) & F.col("documento").isNotNull(), F.array("documento")).otherwise(none), "atualizado": F.lit(1).cast("long")})
     of = lambda kind: people.where("custkey % 5 = 0 and documento is not null" if kind == "documento" else "custkey % 20 = 1").withColumns({"tipo": F.lit(kind), "valor": F.col("documento" if kind == "documento" else "n")})

@@ -25,6 +25,8 @@ from pyspark.sql.types import StructType
 TRIES = 20
 #: Folders of a part from which an append writes it anew, as one.
 FOLDERS = 16
+#: Shares that a part's rows are dealt into by their keys, so that a large part isn't written by one task; small ones are put together by Spark.
+SHARES = 64
 
 Combine = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -149,7 +151,7 @@ class KeyedTable:
         if anew and not replace:
             out = out.unionByName(self._read(m, anew, schema))
         token = str(uuid.uuid4())
-        out.withColumn("part_", self.part()).repartition(max(1, len(touched)), "part_").write.partitionBy("part_").parquet(f"{self.path}/data/{token}")
+        out.withColumn("part_", self.part()).repartition("part_", F.pmod(F.xxhash64(*self.key), F.lit(SHARES))).write.partitionBy("part_").parquet(f"{self.path}/data/{token}")
         # A part that has no rows left has no folder.
         written = {p for p in touched if self._exists(self.folder(token, p))}
         kept = {p: [] if p in anew else m["parts"].get(p, []) for p in touched}

@@ -35,7 +35,8 @@ def target_matches(cases: DataFrame, targets: DataFrame) -> DataFrame:
     documents = targets.where("tipo = 'documento'")
     own = F.when(F.col("tipo") == "nome", F.array("valor")).otherwise(F.array().cast("array<string>"))
     names = targets.where("tipo <> 'oab'").select("alvo_id", "cliente_id", "tipo", "ativo", F.explode(F.array_distinct(F.concat(own, F.coalesce("variacoes", F.array().cast("array<string>"))))).alias("nome"))
-    found = matching.match_by_document(parties, documents).unionByName(matching.match_by_name(parties, names))
+    # What is matched twice by name is one row in the groups below.
+    found = matching.match_by_document(parties, documents).unionByName(matching.name_matches(parties, names).drop("again_"))
     asked = matching.matchable(searched).join(matching.matchable(documents), F.col("documento") == F.col("valor"))
     found = found.unionByName(asked.select("processo_id", "alvo_id", "cliente_id", F.lit(None).cast("string").alias("polo"), F.lit("confirmada").alias("confianca"), F.lit("busca_documento").alias("criterio")))
     # A search's match has the side of the best match by name, which is in the same group: the names are compared once.

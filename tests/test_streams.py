@@ -37,6 +37,14 @@ def test_merge_touches_its_parts_alone_and_once(spark, tmp_path):
     assert len(list((tmp_path / "t/data").glob(f"*/part_={part}"))) == 2 and len(table.versions()) == 2
 
 
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], parts=1)
+    big = spark.range(200_000).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("t"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    assert table.merge(big, latest(["k"], "t"), "w", 0)
+    assert len(list((tmp_path / "t/data").glob("*/part_=0/*.parquet"))) > 1
+    assert table.read().count() == 200_000 == table.read().distinct().count()
+
+
 def test_half_written_batch_leaves_nothing(spark, tmp_path, monkeypatch):
     table, combine = KeyedTable(spark, str(tmp_path / "t"), ["k"], parts=2), latest(["k"], "t")
     table.merge(spark.createDataFrame([(1, 1, "a")], DDL), combine, "w", 0)
